@@ -18,6 +18,22 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm.substring_dedup import substring_dedup
+
+    out = substring_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm.decontaminate import find_matches
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = F.array_sort(F.array_distinct("matches.item_id"))
+    out = find_matches(docs, table(spark, sf_dir, "benchmark")).withColumn("items", items)
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscope.llm.url_filter import filter_urls, rule_table
 
@@ -25,6 +41,15 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, rule_table(spark, RULES)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm.language_id import fit, predict
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
+    model = fit(docs.where(~held))
+    return predict(docs.select("doc_id", "text", held.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscope.llm.exact_dedup import exact_groups
 
@@ -40,9 +65,12 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_output": op1_token_output,
+    "op2_substring_dedup": op2_substring_dedup,
+    "op3_decontaminate": op3_decontaminate,
     "op4_url_filter": op4_url_filter,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mix_sources": op7_mix_sources,
+    "op9_language_id": op9_language_id,
 }
 
 _VALUES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
