@@ -34,6 +34,8 @@ SHARD_BYTES = 16 << 20
 CACHE_PIECES = 600_000
 #: zstd seekable format: skippable-frame magic, seekable magic, descriptor with the checksum flag.
 SKIP_MAGIC, SEEK_MAGIC, SEEK_FLAGS = 0x184D2A5E, 0x8F92EAB1, 0x80
+#: Punctuation that forms one pre-token after letters (no apostrophe, which may begin a contraction).
+TAIL = '.,;:!?)]}"'
 _TAIL = struct.pack("<I", SEEK_MAGIC)
 
 
@@ -63,14 +65,20 @@ class Encoder:
         vocab = self.tk.get_vocab()
         self.opens = np.zeros(max(vocab.values()) + 1, bool)
         self.opens[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
-        self.odd = re.compile(r" \s|\s |^ | $|[᠎\x1c-\x1f]")
-        self.pieces: dict[str, bytes] = {}
-        self.firsts: dict[str, bytes] = {}
+        self.ends = re.compile(r"^[\s\u180e]|[\s\u180e]$")
+        self.pieces: dict[str, bytes | None] = {}
+        self.firsts: dict[str, bytes | None] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tk.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, new: list[str]) -> None:
+        """Ids of " " + piece for new pieces; None for those that are empty or have white space at an end."""
+        odd = {p for p in new if not p or self.ends.search(p)}
+        self.pieces.update(dict.fromkeys(odd))
+        # letters with punctuation after them are two pre-tokens: the letters are mostly known
+        stems = {p: m for p in new if p not in odd and (m := p.rstrip(TAIL)) != p and m.isalpha()}
+        new = list({m for m in stems.values() if m not in self.pieces}.union(p for p in new if p not in odd and p not in stems))
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             ids = np.array(self.tk.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
@@ -78,26 +86,30 @@ class Encoder:
             if len(cuts) != len(part) + 1:
                 self.pieces.update((p, self.whole(" " + p)) for p in part)
                 continue
-            raw = ids.tobytes()
-            self.pieces.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+            raw, cuts = ids.tobytes(), (4 * cuts).tolist()
+            self.pieces.update(zip(part, map(raw.__getitem__, map(slice, cuts, cuts[1:])), strict=False))
+        for p, m in stems.items():
+            self.pieces[p] = self.pieces[m] + self.first(p[len(m) :])
+
+    def first(self, piece: str) -> bytes | None:
+        if piece not in self.firsts:
+            self.firsts[piece] = None if not piece or self.ends.search(piece) else self.whole(piece)
+        return self.firsts[piece]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.pieces) > CACHE_PIECES:
             self.pieces, self.firsts = {}, {}
-        cut = [None if self.odd.search(t) or not t else t.split(" ") for t in texts]
-        new = set()
-        for c in cut:
-            if c:
-                new.update(c[1:])
-        self.learn([p for p in new if p not in self.pieces])
-        get, out = self.pieces.__getitem__, []
-        for t, c in zip(texts, cut, strict=True):
-            if c is None:
-                out.append(self.whole(t) if t else b"")
-                continue
-            if c[0] not in self.firsts:
-                self.firsts[c[0]] = self.whole(c[0])
-            out.append(self.firsts[c[0]] + b"".join(map(get, c[1:])))
+        get, cut = self.pieces.get, [t.split(" ") for t in texts]
+        found = [list(map(get, c)) for c in cut]
+        known = self.pieces
+        new = {p for c, f in zip(cut, found, strict=True) if None in f for p, x in zip(c[1:], f[1:], strict=True) if x is None and p not in known}
+        self.learn(list(new))
+        out = []
+        for t, c, f in zip(texts, cut, found, strict=True):
+            f[0] = self.first(c[0])
+            if None in f:
+                f[1:] = map(get, c[1:])
+            out.append(b"".join(f) if None not in f else self.whole(t) if t else b"")
         return out
 
 
