@@ -8,23 +8,14 @@ from pyspark.sql import functions as F
 from folioscope.functions import markup
 from folioscope.operators import analytics, linkage, retrieval, store
 from folioscope.plans import boolean_query
+from folioscope.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from folioscope.sources.tables import table
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
 STOP = ["the", "and", "for", "that", "with", "this"]
 BOOLEAN = '(red or "small ring") and not promo* or bl?e'
 TERMS = ["the", "que", "und"]
 
 
-def query(sql: str):
-    def register(f):
-        QUERIES[f.__name__], ORACLE_SQL[f.__name__] = f, sql
-        return f
-
-    return register
-
-
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
     key = F.when(F.col("n_chars") >= 200, F.concat_ws(":", F.lit("FAM"), "lang", "source")).otherwise(F.concat(F.lit("SINGLE:"), F.col("doc_id").cast("string")))
@@ -231,3 +222,6 @@ def month_budget(spark, d):
 @query("SELECT p_type, p_brand, count(*) AS n FROM part GROUP BY p_type, p_brand")
 def tech_effect_matrix(spark, d):
     return table(spark, d, "part").groupBy("p_type", "p_brand").agg(F.count(F.lit(1)).alias("n"))
+
+
+from folioscope import catalog_documents  # noqa: E402, F401 - registers its queries

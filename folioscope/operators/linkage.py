@@ -59,3 +59,9 @@ def islands(df: DataFrame, by: list[str], order: list[str], label: str) -> DataF
     change = F.when(F.row_number().over(w) == 1, 1).otherwise(change)
     numbered = df.withColumn("_c", change).withColumn("island", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(*by, "island", label).agg(F.min(F.struct(*order)).alias("first"), F.count(F.lit(1)).alias("run"))
+
+
+def evict(df: DataFrame, by: str, used: list[str], size: str, cap: int) -> DataFrame:
+    """The rows that go when, newest use first, the sizes of a group exceed ``cap``."""
+    w = Window.partitionBy(by).orderBy(*[F.desc(c) for c in used]).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn("_held", F.sum(size).over(w)).where(F.col("_held") > cap).drop("_held")

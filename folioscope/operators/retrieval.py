@@ -45,3 +45,23 @@ def fuse(ranked: list[DataFrame], key: str, n: int) -> DataFrame:
 def ranks(top: DataFrame, *order) -> DataFrame:
     """rank of the rows of a list that a limit has bounded."""
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
+def cosine(vectors: DataFrame, query: list[float], n: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """The n vectors with the largest cosine to the query; a vector of length 0 has 0."""
+    q, v = F.array(*[F.lit(float(x)) for x in query]), F.col(vector).cast("array<double>")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    sim = F.coalesce(F.try_divide(dot(v, q), F.sqrt(dot(v, v)) * F.sqrt(dot(q, q))), F.lit(0.0))
+    return vectors.select(key, F.round(sim, 6).alias("sim")).orderBy(F.desc("sim"), key).limit(n)
+
+
+def chunks(docs: DataFrame, key: str, text: str, width: int = 500, step: int = 400, least: int = 50) -> DataFrame:
+    """key, pos, chunk: windows of ``width`` characters at every ``step``; those under ``least`` trimmed characters go."""
+    at = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(step))
+    cut = docs.where(F.col(text).isNotNull()).select(key, text, F.explode(at).alias("pos"))
+    return cut.select(key, "pos", F.substr(text, F.col("pos") + 1, F.lit(width)).alias("chunk")).where(F.length(F.trim("chunk")) >= least)
+
+
+def contains_any(df: DataFrame, needle: str, fields: list[str]) -> DataFrame:
+    """Rows of which a field contains the needle, whatever the case; ``%`` and ``_`` are plain characters."""
+    return df.where(reduce(lambda a, b: a | b, [F.coalesce(F.contains(F.lower(f), F.lit(needle.lower())), F.lit(False)) for f in fields]))
