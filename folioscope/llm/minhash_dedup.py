@@ -8,7 +8,7 @@
 3. Compared pairs must agree in at least ``SIGNATURE`` of the minima, then in the full sets, rebuilt from whole texts.
 4. After components of those links, a key whose members lie in several components has its remaining pairs compared:
    every member outside the key's largest component with every member of another component.  A pair is thus left
-   out only if other links connect it already.
+   out only if other links connect it already.  Where the keys of one hub repeat the same pairs, they are one unit.
 
 With 48 bands of 6 rows a pair of similarity 0.8 shares a key with probability 1 - 5e-7, and its minima agree in 0.68
 of 288 or more with probability 1 - 3e-7.
@@ -187,9 +187,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     # a pair of one hub and one other member is settled: the rest needs three members at least
     main = sizes.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("all")).where("parts > 1 and all > 2")
-    open_ = written(placed.join(main.select("key", "main"), "key"), "open")
-    left = open_.where("root != main").select("key", F.col("cls").alias("x"), F.col("root").alias("x_root"))
-    rest = left.join(open_.select("key", F.col("cls").alias("y"), F.col("root").alias("y_root")), "key").where("x_root != y_root")
+    open_ = written(placed.join(main.select("key", "main"), "key").join(hubs, "key"), "open")
+    rows_ = _units(open_)
+    left = rows_.where("root != main").select("unit", F.col("cls").alias("x"), F.col("root").alias("x_root"))
+    right = rows_.select("unit", F.col("cls").alias("y"), F.col("root").alias("y_root"), "main")
+    # of two members outside the main component each pair once
+    rest = left.join(right, "unit").where("x_root != y_root and (y_root = main or x > y)")
     more = verified(rest.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "more")
     if not more.isEmpty():
         comp = components(first.unionByName(more))
@@ -201,6 +204,22 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _units(open_: DataFrame) -> DataFrame:
+    """unit, cls, root, main of the members whose pairs are still open: a unit is a key, or all keys of a hub.
+
+    Near copies share several keys of one hub, and a pair then costs a row in each.  Taking those keys as one unit
+    covers every pair of them once; it is done for the hubs where that makes fewer pairs.
+    """
+    by_key = open_.groupBy("hub", "key").agg((F.count_if(F.col("root") != F.col("main")) * F.count(F.lit(1))).alias("n")).groupBy("hub").agg(F.sum("n").alias("by_key"))
+    once = open_.select("hub", "cls", "root").distinct()
+    roots = once.groupBy("hub", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("hub").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"))
+    wide = roots.join(by_key, "hub").where((F.col("all") - F.col("top.n")) * F.col("all") < F.col("by_key")).select("hub", F.col("top.root").alias("main"))
+    wide = written(wide, "wide")
+    hubs = once.join(wide, "hub").select(F.col("hub").alias("unit"), "cls", "root", "main")
+    keys = open_.join(wide.select("hub"), "hub", "left_anti").select(F.unhex(F.hex("key")).alias("unit"), "cls", "root", "main")
+    return written(hubs.unionByName(keys), "units")
+
+
 def _texts(docs: DataFrame, text_col: str, width: int, members: DataFrame) -> DataFrame:
     """cls, text of the classes among members."""
     def run(batches):
