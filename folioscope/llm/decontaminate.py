@@ -1,7 +1,7 @@
 """Benchmark decontamination with suffix arrays of the training text.
 
 Each shard (an Arrow batch of documents) gets a word-level suffix array.  Words are ranked by their hash, suffixes
-are sorted to the window's depth by three ranks at a time, only ties going on.  Every suffix of every benchmark item
+are sorted to the window's depth by one 64-bit key of ranks at a time (``LAYOUTS``), only ties going on.  Every suffix of every benchmark item
 is binary-searched in every shard; ranges of suffixes that share at least a window give the matches, consecutive
 matches on one diagonal merge to the longest verbatim matches with their places.
 
@@ -21,6 +21,8 @@ from folioscope.llm.common import IN_TERM, columns, lower_ascii, small_batches,
 WINDOW = 13
 #: Bytes of benchmark text that are broadcast at once.
 BENCH_BYTES = 32 << 20
+#: (ranks in a 64-bit key, bits of each). A shard takes the first whose ranks hold all its distinct words; rank 0 is an end.
+LAYOUTS = ((3, 21), (2, 32))
 _MATCH = pa.list_(pa.struct([("item_id", pa.string()), ("item_at", pa.int64()), ("doc_at", pa.int64()), ("words", pa.int64())]))
 MATCH = "array<struct<item_id:string,item_at:long,doc_at:long,words:long>>"
 
@@ -38,15 +40,18 @@ class SuffixArray:
 
     def __init__(self, words: np.ndarray, doc: np.ndarray, n_docs: int, depth: int) -> None:
         self.alphabet, rank = np.unique(words, return_inverse=True)
+        fits = [x for x in LAYOUTS if len(self.alphabet) < 1 << x[1]]
+        if not fits:
+            raise ValueError(f"{len(self.alphabet)} distinct words in one shard are more than a key's ranks hold")
+        self.per, self.bits = fits[0]
         counts = np.bincount(doc, minlength=n_docs)
         self.first = np.concatenate([[0], np.cumsum(counts + 1)])  # where each document starts, its end mark included
         place = np.arange(len(words)) + doc
-        self.s = np.zeros(self.first[-1] + 3 * (depth // 3 + 2), np.uint64)
+        self.s = np.zeros(self.first[-1] + self.per * (depth // self.per + 2), np.uint64)
         self.s[place] = rank.astype(np.uint64) + np.uint64(1)
-        s = self.s
-        self.key = (s[:-2] << np.uint64(42)) | (s[1:-1] << np.uint64(21)) | s[2:]
+        self.key = self.keys(self.s)
         order = place[np.argsort(self.key[place], kind="stable")]
-        for at in range(3, depth, 3):
+        for at in range(self.per, depth, self.per):
             # entries whose first `at` words equal a neighbour's
             same = self._equal(order, at)
             tied = np.concatenate([same, [False]]) | np.concatenate([[False], same])
@@ -58,9 +63,17 @@ class SuffixArray:
             order[slots] = part[np.lexsort((self.key[part + at], group))]
         self.order, self.head = order, self.key[order]
 
+    def keys(self, ranks: np.ndarray) -> np.ndarray:
+        """The key at each place that has `per` ranks from there on."""
+        n = len(ranks) - self.per + 1
+        out = ranks[:n]
+        for k in range(1, self.per):
+            out = (out << np.uint64(self.bits)) | ranks[k : k + n]
+        return out
+
     def _equal(self, order: np.ndarray, depth: int) -> np.ndarray:
         out = self.key[order[1:]] == self.key[order[:-1]]
-        for at in range(3, depth, 3):
+        for at in range(self.per, depth, self.per):
             on = np.flatnonzero(out)
             out[on] = self.key[order[on + 1] + at] == self.key[order[on] + at]
         return out
@@ -68,14 +81,14 @@ class SuffixArray:
     def find(self, pattern: np.ndarray, lo: int, hi: int, at: int) -> tuple[int, int]:
         """Range of the suffixes in [lo, hi) that go on with pattern[at:]."""
         while lo < hi and at < len(pattern):
-            part = pattern[at : at + 3]
-            shift = np.uint64(21 * (3 - len(part)))
+            part = pattern[at : at + self.per]
+            shift = np.uint64(self.bits * (self.per - len(part)))
             want = np.uint64(0)
             for x in part:
-                want = (want << np.uint64(21)) | x
+                want = (want << np.uint64(self.bits)) | x
             keys = (self.head[lo:hi] if at == 0 else self.key[self.order[lo:hi] + at]) >> shift
             lo, hi = lo + int(np.searchsorted(keys, want, "left")), lo + int(np.searchsorted(keys, want, "right"))
-            at += 3
+            at += self.per
         return lo, hi
 
 
@@ -104,16 +117,15 @@ class Bench:
         sa = SuffixArray(words, doc, len(texts), window)
         slot = np.minimum(np.searchsorted(sa.alphabet, self.words), len(sa.alphabet) - 1)
         rank = np.where(sa.alphabet[slot] == self.words, slot + 1, 0).astype(np.uint64)
-        padded = np.concatenate([rank, np.zeros(3, np.uint64)])
-        head = (padded[self.at] << np.uint64(42)) | (padded[self.at + 1] << np.uint64(21)) | padded[self.at + 2]
+        head = sa.keys(np.concatenate([rank, np.zeros(sa.per, np.uint64)]))[self.at]
         lo, hi = np.searchsorted(sa.head, head, "left"), np.searchsorted(sa.head, head, "right")
         hits = []
-        for k in np.flatnonzero((hi > lo) | (self.size < 3)):
+        for k in np.flatnonzero((hi > lo) | (self.size < sa.per)):
             i, at, offset, size = self.windows[k]
             pattern = rank[at : at + size]
             if not pattern.all():
                 continue
-            a, b = sa.find(pattern, int(lo[k]), int(hi[k]), 3) if size >= 3 else sa.find(pattern, 0, len(sa.order), 0)
+            a, b = sa.find(pattern, int(lo[k]), int(hi[k]), sa.per) if size >= sa.per else sa.find(pattern, 0, len(sa.order), 0)
             if a < b:
                 places = sa.order[a:b]
                 hits.append(np.stack([places, np.full(b - a, i), np.full(b - a, offset), np.full(b - a, size)]))

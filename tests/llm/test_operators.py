@@ -129,6 +129,44 @@ def test_decontaminate(spark, docs, none):
     assert find_matches(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontaminate_many_words():
+    """A shard of more distinct words than 21 bits number keeps every verbatim match."""
+    from folioscope.llm.decontaminate import Bench
+
+    words = [f"w{k}" for k in range(2_200_000)]
+    bench = Bench([("1", " ".join(words[1000:4000])), ("2", " ".join(words[-13:])), ("3", "w7 w8"), ("4", "w7 w9")], 13)
+    counts, found = bench.matches([" ".join(words).encode(), b"w8", b""], 13)
+    want = [("1", 0, 1000, 3000), ("2", 0, 2_199_987, 13), ("3", 0, 7, 2)]
+    assert counts.tolist() == [2_200_000, 1, 0]
+    assert [sorted(tuple(m.values()) for m in f) for f in found] == [want, [], []]
+
+
+@pytest.mark.parametrize("layouts", [((3, 21), (2, 32)), ((3, 2), (2, 32)), ((3, 5), (1, 20))])
+def test_decontaminate_layouts(monkeypatch, layouts):
+    """Keys of three, two or one ranks find what plain comparison finds; too many words for all of them is an error."""
+    from folioscope.llm import decontaminate as d
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789") for _ in range(300)).encode() for _ in range(6)]
+    items = [(str(k), b" ".join(texts[k].split()[9 * k : 9 * k + n]).decode()) for k, n in enumerate((1, 2, 3, 7, 14, 20))]
+    want = []
+    for t in texts:
+        w, hit = t.lower().split(), set()
+        for i, x in items:
+            x = x.lower().encode().split()
+            n = min(len(x), 13)
+            hit |= {(i, j, k) for j in range(len(x) - n + 1) for k in range(len(w) - n + 1) if w[k : k + n] == x[j : j + n]}
+        want.append(hit)
+    monkeypatch.setattr(d, "LAYOUTS", layouts)
+    _, found = d.Bench(items, 13).matches(texts, 13)
+    sizes = {i: min(len(x.split()), 13) for i, x in items}
+    got = [{(m["item_id"], m["item_at"] + j, m["doc_at"] + j) for m in f for j in range(m["words"] - sizes[m["item_id"]] + 1)} for f in found]
+    assert got == want and sum(map(len, want)) > 20
+    monkeypatch.setattr(d, "LAYOUTS", ((3, 3), (2, 4)))
+    with pytest.raises(ValueError):
+        d.Bench(items, 13).matches(texts, 13)
+
+
 def test_suffix_dedup(docs, none):
     from folioscope.llm.suffix_dedup import suffix_dedup
 
