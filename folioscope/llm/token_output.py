@@ -50,7 +50,8 @@ class Encoder:
 
     Byte-level BPE never merges over the border before a single space between two non-spaces, so texts split there
     and each piece is encoded once per worker.  New pieces of a batch are encoded in one call; each begins with a
-    token that begins with the space.  Texts with other spacing are encoded whole.
+    token that begins with the space.  Texts with other spacing are encoded whole, and so are those that hold an added
+    token's content (``<|endoftext|>``), which the library reads as that token wherever it stands.
     """
 
     def __init__(self, path: str) -> None:
@@ -61,7 +62,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tk = Tokenizer.from_file(path)
-        self.tk.encode_special_tokens = True
+        self.added = [t.content for t in self.tk.get_added_tokens_decoder().values()]
         vocab = self.tk.get_vocab()
         self.opens = np.zeros(max(vocab.values()) + 1, bool)
         self.opens[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
@@ -99,7 +100,8 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.pieces) > CACHE_PIECES:
             self.pieces, self.firsts = {}, {}
-        get, cut = self.pieces.get, [t.split(" ") for t in texts]
+        # an empty first piece and no other sends a text to whole()
+        get, cut = self.pieces.get, [[""] if any(a in t for a in self.added) else t.split(" ") for t in texts]
         found = [list(map(get, c)) for c in cut]
         known = self.pieces
         new = {p for c, f in zip(cut, found, strict=True) if None in f for p, x in zip(c[1:], f[1:], strict=True) if x is None and p not in known}

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +78,28 @@ def test_token_output(spark, docs, none, tmp_path):
     assert token_output(none).count() == 0
 
 
+def test_added_tokens(spark):
+    """The content of an added token is that token, as the library's plain encoding has it."""
+    from tokenizers import Tokenizer
+
+    from folioscope.llm.token_output import Encoder, token_output, tokenizer_path
+
+    tk, end = Tokenizer.from_file(tokenizer_path()), "<|endoftext|>"
+    texts = ["end <|endoftext|> next", end, f" {end}", f"{end} ", f"a{end}b", f"{end}{end} {end}", f"it's, {end}. so\n{end}\n", "<|endoftext", "<|end oftext|>", "plain words, before and after", ""]
+    want = [tk.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [437, 220, 50256, 1306] and sum(50256 in w for w in want) == 7
+    coder = Encoder(tokenizer_path())
+    for order in (texts, texts[::-1]):  # pieces are remembered from text to text
+        assert dict(zip(order, (np.frombuffer(x, "<u4").tolist() for x in coder.encode(order)), strict=True)) == dict(zip(texts, want, strict=True))
+    rows, start = {}, 0
+    for i, w in enumerate(want):
+        ids = [*w, 2]
+        rows[i] = (start, len(ids), zlib.crc32(b"".join(t.to_bytes(4, "little") for t in ids)))
+        start += len(ids)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert got(token_output(df), "start", "n_tokens", "ids_crc32") == rows
+
+
 def test_damaged_shard():
     from folioscope.llm.token_output import Shard, _TAIL, shard
 
