@@ -14,6 +14,9 @@ from folioscope.sources.tables import table
 STOP = ["the", "and", "for", "that", "with", "this"]
 BOOLEAN = '(red or "small ring") and not promo* or bl?e'
 TERMS = ["the", "que", "und"]
+# events.ts has no zone: Taipei's own clock
+QUOTA_WINDOW = """CASE WHEN isodow(ts) < 6 AND hour(ts) >= 8 AND hour(ts) < 18 THEN strftime(ts, '%Y-%m-%d') || ':narrow'
+ELSE strftime(ts - to_days(CASE WHEN isodow(ts) >= 6 THEN isodow(ts)::INT - 5 WHEN hour(ts) < 8 THEN 1 ELSE 0 END), '%Y-%m-%d') || ':wide' END"""
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
@@ -172,6 +175,11 @@ def window_key(spark, d):
     return table(spark, d, "events").groupBy(analytics.window_key(F.col("ts")).alias("window_key")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT " + QUOTA_WINDOW + " AS window_key, count(*) AS n FROM events GROUP BY 1")
+def quota_window(spark, d):
+    return table(spark, d, "events").groupBy(analytics.quota_window(F.col("ts")).alias("window_key")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("""WITH c AS (SELECT *, event_type IS DISTINCT FROM lag(event_type) OVER w OR row_number() OVER w = 1 AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 i AS (SELECT *, sum(c::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM c)
 SELECT user_id, island::BIGINT AS island, event_type, arg_min(event_id, ts) AS first_id, count(*) AS run FROM i GROUP BY user_id, island, event_type HAVING count(*) >= 3""")

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.catalog import QUOTA_WINDOW
 from folioscope.functions import envelopes, markup, pubno
 from folioscope.operators import analytics, claims, linkage, retrieval
 from folioscope.plans import boolean_query, rewrites
@@ -89,6 +90,11 @@ def quota_latch(spark, d):
     return streams.latch(table(spark, d, "events"), "user_id", analytics.window_key(F.col("ts")), F.col("value") > 90)
 
 
+@query("SELECT user_id, " + QUOTA_WINDOW + " AS window_key, max(value > 90) AS exhausted FROM events GROUP BY 1, 2")
+def quota_window_latch(spark, d):
+    return streams.latch(table(spark, d, "events"), "user_id", analytics.quota_window(F.col("ts")), F.col("value") > 90)
+
+
 # a claim set per conversation: its turns, numbered from 1
 _CLAIMS = r"""WITH c AS (SELECT conv_id, (turn + 1)::INT AS claim, regexp_replace(text, '^\s+|\s+$', '', 'g') AS body FROM conversations WHERE length(trim(text)) > 0 AND NOT regexp_matches(text, '\n[0-9]+\.')),
 p AS (SELECT *, regexp_extract(body, '(?i)claim ([0-9]+)', 1) AS parent FROM c),

@@ -31,12 +31,30 @@ def rigor(log: DataFrame, campaign: str, group: str, code: Column) -> DataFrame:
 
 
 def window_key(ts: Column) -> Column:
-    """Quota window of a moment: off-hours (weekend, or before 8 and from 18 on) or daytime, with its date."""
+    """Calendar date of a moment with off-hours (weekend, or before 8 and from 18 on) or daytime. Nights and weekends are cut
+    at midnight; ``quota_window`` has the windows in which a quota holds."""
     day = F.date_format(ts, "yyyy-MM-dd")
     off = (F.weekday(ts) >= 5) | (F.hour(ts) < 8) | (F.hour(ts) >= 18)
     return F.concat(day, F.when(off, "-off").otherwise("-day"))
 
 
+def quota_window(ts: Column, monday_fix: bool = False) -> Column:
+    """Quota window of a moment in Taipei (UTC+8): ``date:narrow`` on weekdays from 8 to 18, else ``date:wide``.
+
+    A wide window has the date it began on: a weekday before 8 the day before, Saturday and Sunday their Friday.  So
+    Monday before 8 has Sunday's date, as in the reference; with monday_fix it has Friday's.  A timestamp without a
+    zone is Taipei's own clock.
+    """
+    zoned, seconds = F.typeof(ts) == "timestamp", F.unix_seconds(ts.cast("timestamp")) + 8 * 3600
+    day = F.when(zoned, F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int"))).otherwise(ts.cast("date"))
+    hour = F.when(zoned, F.floor(F.pmod(seconds, F.lit(86400)) / 3600).cast("int")).otherwise(F.hour(ts))
+    weekday = F.weekday(day)
+    early = F.when(weekday == 0, 3).otherwise(1) if monday_fix else F.lit(1)
+    back = F.when(weekday >= 5, weekday - 4).when(hour < 8, early).otherwise(0)
+    narrow = (weekday < 5) & (hour >= 8) & (hour < 18)
+    return F.concat(F.date_format(F.date_sub(day, back), "yyyy-MM-dd"), F.when(narrow, ":narrow").otherwise(":wide"))
+
+
 def sessions(df: DataFrame, by: str, ts: str, tie: str, gap_seconds: int) -> DataFrame:
     """Sessions by gaps: start, end and number of rows."""
     w = Window.partitionBy(by).orderBy(ts, tie)

@@ -1,13 +1,13 @@
 """Numbers, rewrites, sources, sinks and streams on small inputs."""
 
 import json
-from datetime import date
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from folioscope.functions import envelopes, pubno
-from folioscope.operators import claims
+from folioscope.operators import analytics, claims
 from folioscope.plans import rewrites
 from folioscope.sources import readers, sinks
 from folioscope.streaming import events as streams
@@ -135,6 +135,48 @@ def test_claims(spark):
     assert tuple(claims.scores(parsed, found, "id").first()) == (1, 3, 3, round(100 - 11 / 3, 6))
 
 
+def anchored(now):
+    """Window of a moment on Taipei's clock, stepped back day by day."""
+    day = now
+    if now.weekday() < 5 and 8 <= now.hour < 18:
+        return f"{now:%Y-%m-%d}:narrow"
+    if now.weekday() >= 5:
+        while day.weekday() != 4:
+            day -= timedelta(days=1)
+    elif now.hour < 8:
+        day -= timedelta(days=1)
+    return f"{day:%Y-%m-%d}:wide"
+
+
+def test_quota_window(spark):
+    first = datetime(2023, 12, 28)
+    local = [first + timedelta(minutes=30 * k, microseconds=k % 2 * 999_999) for k in range(2 * 24 * 12)] + [datetime(1969, 12, 29, 7, 59, 59, 999_999), datetime(1960, 2, 29, 18)]
+    utc = [(i, t - timedelta(hours=8), t) for i, t in enumerate(local)]
+    rows = spark.createDataFrame(utc, "i int, u timestamp_ntz, t timestamp_ntz")
+    window = analytics.quota_window
+    want = [anchored(t) for t in local]
+    assert [r[0] for r in rows.orderBy("i").select(window(F.col("t"))).collect()] == want
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            moment = F.timestamp_micros(F.expr("cast(unix_micros(cast(concat(u, ' UTC') as timestamp)) as bigint)"))
+            assert [r[0] for r in rows.orderBy("i").select(window(moment)).collect()] == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    monday = rows.where("t = timestamp_ntz'2024-01-01 07:00:00'").select(window(F.col("t")), window(F.col("t"), monday_fix=True)).first()
+    assert tuple(monday) == ("2023-12-31:wide", "2023-12-29:wide")
+    assert spark.range(1).select(window(F.lit(None).cast("timestamp"))).first()[0] is None
+
+
+def test_quota_latch_holds(spark):
+    """An account that is exhausted in the evening, or on Saturday, stays so over midnight and frees at the next window."""
+    rows = [("a", datetime(2024, 1, 3, 20), True), ("a", datetime(2024, 1, 4, 2), False), ("a", datetime(2024, 1, 4, 9), False), ("b", datetime(2024, 1, 6, 9), True), ("b", datetime(2024, 1, 7, 9), False)]
+    events = spark.createDataFrame(rows, "account string, ts timestamp_ntz, exhausted boolean")
+    got = streams.latch(events, "account", analytics.quota_window(F.col("ts")), F.col("exhausted"))
+    assert sorted(map(tuple, got.collect())) == [("a", "2024-01-03:wide", True), ("a", "2024-01-04:narrow", False), ("b", "2024-01-05:wide", True)]
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     rows = [("2024-01-01 00:10:00", 1, "a"), ("2024-01-01 00:20:00", 1, "a"), ("2024-01-01 01:10:00", 2, "a"), ("2024-01-01 05:00:00", 3, "b")]
