@@ -155,7 +155,8 @@ def pool_chart_year(spark, d):
 @query(rf"""SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS term FROM documents)
 WHERE regexp_full_match(term, '[a-z]{{3,}}') AND term NOT IN ({', '.join(repr(w) for w in STOP)}) GROUP BY term ORDER BY n DESC, term LIMIT 50""")
 def term_top50(spark, d):
-    return analytics.term_counts(table(spark, d, "documents"), "text", STOP)
+    # the SQL is of ASCII words
+    return analytics.term_counts(table(spark, d, "documents"), "text", STOP, cjk=False)
 
 
 @query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events),

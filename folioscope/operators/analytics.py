@@ -11,9 +11,14 @@ def top_counts(df: DataFrame, key: str, n: int = 10, skip: str = "Unknown") -> D
     return df.where(F.col(key) != skip).groupBy(key).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), key).limit(n)
 
 
-def term_counts(df: DataFrame, text: str, stop: list[str], n: int = 50) -> DataFrame:
-    """The n most frequent lower-cased words that are three ASCII letters or more; letters beyond ASCII belong to words."""
-    words = df.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"(?<![\p{L}\p{N}_])([a-z]{3,})(?![\p{L}\p{N}_])"), F.lit(1))).alias("term"))
+def term_counts(df: DataFrame, text: str, stop: list[str], n: int = 50, cjk: bool = True) -> DataFrame:
+    """The n most frequent terms: lower-cased words that are three ASCII letters or more (letters beyond ASCII belong to
+    words), and with cjk runs of 2 to 4 ideographs, longest first from the left."""
+    low = F.lower(text)
+    terms = F.regexp_extract_all(low, F.lit(r"(?<![\p{L}\p{N}_])([a-z]{3,})(?![\p{L}\p{N}_])"), F.lit(1))
+    if cjk:
+        terms = F.concat(terms, F.regexp_extract_all(low, F.lit(r"[\u4e00-\u9fa5]{2,4}"), F.lit(0)))
+    words = df.select(F.explode(terms).alias("term"))
     return words.where(~F.col("term").isin(stop)).groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(n)
 
 

@@ -1,6 +1,8 @@
 """Numbers, rewrites, sources, sinks and streams on small inputs."""
 
 import json
+import re
+from collections import Counter
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -135,6 +137,18 @@ def test_claims(spark):
     assert tuple(claims.scores(parsed, found, "id").first()) == (1, 3, 3, round(100 - 11 / 3, 6))
 
 
+def test_terms(spark):
+    texts = ["Radar 雷達 radar與雷達系統設備 裝 radar中 the", "雷達, LIDAR 雷達系統設備甲 方法", None, "étude 123 abc_d"]
+    stop, want = ["the", "方法"], Counter()
+    for t in filter(None, texts):
+        want.update(w.lower() for w in re.findall(r"\b[a-zA-Z]{3,}\b", t) if w.lower() not in stop)
+        want.update(w for w in re.findall(r"[\u4e00-\u9fa5]{2,4}", t) if w not in stop)
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r["term"]: r["n"] for r in analytics.term_counts(df, "t", stop).collect()}
+    assert got == want and want["雷達"] == 2 and want["雷達系統"] == 1
+    assert {r["term"] for r in analytics.term_counts(df, "t", stop, cjk=False).collect()} == {"radar", "lidar"}
+
+
 def anchored(now):
     """Window of a moment on Taipei's clock, stepped back day by day."""
     day = now
