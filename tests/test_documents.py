@@ -1,5 +1,6 @@
 """Numbers, rewrites, sources, sinks and streams on small inputs."""
 
+import hashlib
 import json
 import re
 from collections import Counter
@@ -137,6 +138,24 @@ def test_claims(spark):
     assert tuple(claims.scores(parsed, found, "id").first()) == (1, 3, 3, round(100 - 11 / 3, 6))
 
 
+def test_claims_of_numbered_turns(spark, tmp_path):
+    """Turns that hold numbered lines are in claims, issues and scores."""
+    from folioscope import catalog
+
+    turns = [(1, 0, "u", "A pump."), (1, 1, "a", "Claims:\n1. A good valve.\n2. The valve of claim 1, such as this.\n"), (1, 2, "u", " \t"), (2, 0, "u", "5\n10. A seal"), (3, 0, "u", "plain claim 4"), (3, 1, "u", None)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    want = []
+    for conv in (1, 2, 3):
+        text = "\n".join(f"{t + 1}. {x}" for c, t, _, x in turns if c == conv and x and x.strip(" "))
+        for n, body in re.findall(r"(?:^|\n)(\d+)\.\s+(.+?)(?=\n\d+\.|$)", text, re.DOTALL):
+            parent = re.search(r"claim (\d+)", body, re.I)
+            want.append((conv, int(n), hashlib.md5(body.strip().encode()).hexdigest(), int(parent[1]) if parent and parent[1] != n else None, parent is None))
+    got = {name: [tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()] for name in ("claim_parse", "claim_rules", "claim_scores")}
+    assert sorted(got["claim_parse"], key=str) == sorted(want, key=str) and len(want) > 6
+    assert sorted(got["claim_rules"]) == [(1, 1, "subjective_term", "good", "IMPORTANT"), (1, 2, "definiteness", "such as", "IMPORTANT")]
+    assert {r[0]: r[2] for r in got["claim_scores"]} == {1: 2, 2: 0, 3: 0}
+
+
 def test_terms(spark):
     texts = ["Radar 雷達 radar與雷達系統設備 裝 radar中 the", "雷達, LIDAR 雷達系統設備甲 方法", None, "étude 123 abc_d"]
     stop, want = ["the", "方法"], Counter()
