@@ -1,16 +1,18 @@
-"""Suffix-array dedup of bytes: a logarithmic family of suffix arrays over the windows that can repeat at all.
+"""Dedup of repeated bytes: a sieve by anchors, then a logarithmic family of sorted windows for those it can't settle.
 
 1. Sieve.  Of the ``K``-byte strings in each window of ``WIDTH`` bytes the one with the least hash is the window's
    anchor; equal windows have equal anchors.  Blocks send their distinct anchors, buckets answer which ones another
    block has too.  Windows whose anchor only one document has cannot repeat and go no further.
 2. Family.  The other windows travel as contexts (the bytes of a run of windows with one anchor), each distinct
    context once per block with the smallest doc_id that holds it, to the bucket of their anchor.  There documents come
-   in doc_id order in batches.  A batch gets a suffix array (its windows in byte order), is merge-scanned against
+   in doc_id order in batches.  A batch gets its windows in byte order, is merge-scanned against
    every level of the family for full-length matches, and becomes a level; levels of one size merge, so there are
    as many levels as the logarithm of the batches.  The answer is one bit per window: a smaller document has it.
 3. Blocks mark those windows and merge them to maximal spans of bytes.
 
-Windows are compared by their bytes; hashes only route.  Scale: texts are packed once; anchors are about one in 13
+The sieve settles most copies: contexts with equal 64-bit hashes count as equal, without a byte check, and only anchors
+with two or more different contexts reach the family.  There windows are compared by their bytes; its levels are sorted
+windows of ``WIDTH`` bytes inside one call, not suffix arrays with longest matches.  Scale: texts are packed once; anchors are about one in 13
 bytes and cost about 6 bytes each in the shuffle; contexts travel only for passages in two documents at least.
 """
 
