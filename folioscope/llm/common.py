@@ -4,6 +4,9 @@ Packed blocks.  ``pack`` writes the texts once as rows of a few MB (``ids``, ``l
 shared folder.  A block is re-read, never re-cut, so every later pass sees the same rows in the same order; a
 row is known by (block_id, index), which keeps repeated doc_ids apart.
 
+Scale of an exchange: blocks x buckets messages.  Both sizes follow the corpus between fixed bounds: 10 million messages
+at 30 GB, 160 million of 6 kB at 1 TB.  At 100 TB a message holds a few keys and its frame costs about half as much again.
+
 Block exchange.  ``exchange`` deals what each block emits to buckets, reduces every bucket, and ``finish`` brings
 each bucket's answer back to the block that asked.  The answers are aligned with what the block emitted, so no
 positions travel.  Blocks emit each distinct hash once, which is the map-side combine that keeps hot keys small:
@@ -17,19 +20,22 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Raw text bytes of a block, and of the text behind one bucket of an exchange.
-BLOCK_BYTES = 4 << 20
-BUCKET_BYTES = 16 << 20
-MIN_BUCKETS = 64
+#: Least and most raw text bytes of a block, and of the text behind one bucket of an exchange.  Between them both
+#: follow the corpus (``SHARES`` blocks), so that blocks x buckets messages keep a payload worth sending.
+BLOCK_BYTES, MAX_BLOCK_BYTES = 4 << 20, 32 << 20
+BUCKET_BYTES, MAX_BUCKET_BYTES = 12 << 20, 192 << 20
+SHARES = 4096
+MIN_BUCKETS = 8
 #: Rows of an Arrow batch that go to Python at once; bounds a worker's memory.
 ARROW_ROWS = 1000
-#: Stands for a null doc_id inside blocks: larger than every real one.
+#: Stands for a null doc_id where ids are compared: no real one is larger.  Which ids are null is kept beside them.
 NULL_ID = np.iinfo(np.int64).max
-BLOCK_SCHEMA = "block_id long, n long, raw long, ids binary, lens binary, data binary"
+BLOCK_SCHEMA = "block_id long, n long, raw long, ids binary, nulls binary, lens binary, data binary"
 SENT = "bucket int, block_id long, payload binary"
 
 
@@ -37,9 +43,11 @@ SENT = "bucket int, block_id long, payload binary"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests) one of our own, which is then set."""
+    """The folder of spark.checkpoint.dir.  Only a local session, where all share one machine, may leave it unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file:///tmp/checkpoints"
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -49,26 +57,40 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/folio-{name}-{uuid.uuid4().hex[:12]}"
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """df as a written table: cuts the lineage, survives lost executors."""
+    """df as a written table: cuts the lineage, survives lost executors.  Its shuffle files go once it is written."""
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    path, before = new_path(spark, name), spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._folio_path = path
     return out
 
 
-def drop(df: DataFrame) -> None:
-    """Deletes a table made by written() once nothing reads it any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._folio_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables made by written() once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._folio_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def pieces(batches, rows: int = ARROW_ROWS):
+    """Arrow batches cut to `rows` rows, so that a worker's arrays stay small whatever the session's batch size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bounds the Arrow batches, and lets Python workers find this package where the driver does."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def find_package(spark: SparkSession) -> None:
+    """Lets Python workers find this package where the driver does."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
@@ -158,7 +180,7 @@ class Rolling:
         return (p[width:] - p[:-width]) * self.down[: len(x) - width + 1]
 
 
-CHARS, WORDS = Rolling(0x9E3779B97F4A7C15 | 1), Rolling(0xD1342543DE82EF95)
+CHARS = Rolling(0x9E3779B97F4A7C15)
 _SPACES = np.ones(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -180,8 +202,26 @@ def word_spans(data: np.ndarray, inside: np.ndarray = IN_WORD) -> tuple[np.ndarr
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+_LENGTH = np.uint64(0x9E3779B97F4A7C15)
+#: Words above this many bytes are hashed one by one.
+LONG_WORD = 64
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return mix(CHARS.spans(CHARS.prefix(BYTE[data]), starts, ends))
+    """64-bit hash of every word: 8 bytes at a time through the finaliser, so no word structure cancels out."""
+    n = ends - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    h = mix(mix(n.astype(np.uint64) * _LENGTH) ^ (eight[starts] & _KEEP[np.minimum(n, 8)]))
+    more, k = np.flatnonzero(n > 8), 8
+    while len(more) and k < LONG_WORD:
+        h[more] = mix(h[more] ^ (eight[starts[more] + k] & _KEEP[np.minimum(n[more] - k, 8)]))
+        k += 8
+        more = more[n[more] > k]
+    for i in more.tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return h
 
 
 # ---------------------------------------------------------------- packed blocks
@@ -190,8 +230,8 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 class Block:
     """ids, lens and bytes of some documents; each text is followed by one space, which belongs to none."""
 
-    def __init__(self, block_id: int, ids: np.ndarray, lens: np.ndarray, data: np.ndarray) -> None:
-        self.block_id, self.ids, self.data = block_id, ids, data
+    def __init__(self, block_id: int, ids: np.ndarray, no_id: np.ndarray, lens: np.ndarray, data: np.ndarray) -> None:
+        self.block_id, self.ids, self.no_id, self.data = block_id, ids, no_id, data
         self.null, self.lens = lens < 0, np.maximum(lens, 0)
         self.offs = np.zeros(len(ids) + 1, np.int64)
         np.cumsum(self.lens + 1, out=self.offs[1:])
@@ -204,24 +244,28 @@ class Block:
             yield at, min(to, n)
             at = to
 
+    def id_column(self) -> pa.Array:
+        return pa.array(self.ids, mask=self.no_id)
+
     def text(self, i: int) -> bytes:
         return self.data[self.offs[i] : self.offs[i] + self.lens[i]].tobytes()
 
 
-def pack_bytes(block_id: int, ids: np.ndarray, lens: np.ndarray, parts: list[bytes]) -> dict:
+def pack_bytes(block_id: int, ids: np.ndarray, nulls: np.ndarray, lens: np.ndarray, parts: list[bytes]) -> dict:
     raw = b" ".join(parts) + b" "
-    return {"block_id": block_id, "n": len(ids), "raw": len(raw), "ids": ids.tobytes(), "lens": lens.tobytes(), "data": zstandard.ZstdCompressor(level=1).compress(raw)}
+    return {"block_id": block_id, "n": len(ids), "raw": len(raw), "ids": ids.tobytes(), "nulls": np.packbits(nulls).tobytes(), "lens": lens.tobytes(), "data": zstandard.ZstdCompressor(level=1).compress(raw)}
 
 
-_BLOCK_ARROW = pa.schema([("block_id", pa.int64()), ("n", pa.int64()), ("raw", pa.int64()), ("ids", pa.binary()), ("lens", pa.binary()), ("data", pa.binary())])
+_BLOCK_ARROW = pa.schema([("block_id", pa.int64()), ("n", pa.int64()), ("raw", pa.int64()), ("ids", pa.binary()), ("nulls", pa.binary()), ("lens", pa.binary()), ("data", pa.binary())])
 
 
-def columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """ids (null: NULL_ID), lens (null: -1) and texts as bytes of a batch of (doc_id, text)."""
-    ids = batch.column(0).cast(pa.int64()).fill_null(int(NULL_ID)).to_numpy(zero_copy_only=False)
+def columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """ids (null: NULL_ID), which of them are null, lens (null: -1) and texts as bytes of a batch of (doc_id, text)."""
+    ids = batch.column(0).cast(pa.int64())
+    nulls = ids.is_null().to_numpy(zero_copy_only=False)
     texts = batch.column(1).cast(pa.binary()).to_pylist()
     lens = np.fromiter((-1 if t is None else len(t) for t in texts), np.int64, len(texts))
-    return ids, lens, [t or b"" for t in texts]
+    return ids.fill_null(int(NULL_ID)).to_numpy(zero_copy_only=False), nulls, lens, [t or b"" for t in texts]
 
 
 def _packer(block_bytes: int):
@@ -229,26 +273,27 @@ def _packer(block_bytes: int):
         from pyspark import TaskContext
 
         first, seq = TaskContext.get().partitionId() << 32, 0
-        ids, lens, parts, size = [], [], [], 0
+        ids, nulls, lens, parts, size = [], [], [], [], 0
 
         def full():
-            return pa.RecordBatch.from_pylist([pack_bytes(first + seq, np.concatenate(ids), np.concatenate(lens), parts)], schema=_BLOCK_ARROW)
+            return pa.RecordBatch.from_pylist([pack_bytes(first + seq, np.concatenate(ids), np.concatenate(nulls), np.concatenate(lens), parts)], schema=_BLOCK_ARROW)
 
         for batch in batches:
-            i, n, t = columns(batch)
+            i, z, n, t = columns(batch)
             at = 0
             while at < len(i):
                 ends = np.cumsum(np.maximum(n[at:], 0) + 1)
-                to = at + max(1, int(np.searchsorted(ends, block_bytes - size, "right"))) if not parts else at + int(np.searchsorted(ends, block_bytes - size, "right"))
+                to = at + max(0 if parts else 1, int(np.searchsorted(ends, block_bytes - size, "right")))
                 if to > at:
                     ids.append(i[at:to])
+                    nulls.append(z[at:to])
                     lens.append(n[at:to])
                     parts += t[at:to]
                     size += int(ends[to - at - 1])
                 if to < len(i) or size >= block_bytes:
                     yield full()
                     seq += 1
-                    ids, lens, parts, size = [], [], [], 0
+                    ids, nulls, lens, parts, size = [], [], [], [], 0
                 at = to
         if parts:
             yield full()
@@ -256,16 +301,24 @@ def _packer(block_bytes: int):
     return run
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def share(total: int, least: int, most: int) -> int:
+    return min(max(total // SHARES, least), most)
+
+
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None) -> DataFrame:
     """Writes the documents as packed blocks in the shared folder. Other columns don't travel."""
-    small_batches(docs.sparkSession)
-    two = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    find_package(docs.sparkSession)
+    two = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    if block_bytes is None:
+        total = two.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        block_bytes = share(total, BLOCK_BYTES, MAX_BLOCK_BYTES)
     return written(two.mapInArrow(_packer(block_bytes), BLOCK_SCHEMA), "blocks", "uncompressed")
 
 
 def block_of(row: dict) -> Block:
     data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["data"]), np.uint8)
-    return Block(row["block_id"], np.frombuffer(row["ids"], np.int64), np.frombuffer(row["lens"], np.int64), data)
+    nulls = np.unpackbits(np.frombuffer(row["nulls"], np.uint8), count=row["n"]).astype(bool)
+    return Block(row["block_id"], np.frombuffer(row["ids"], np.int64), nulls, np.frombuffer(row["lens"], np.int64), data)
 
 
 def rows_of(batches):
@@ -275,10 +328,10 @@ def rows_of(batches):
             yield batch.slice(k, 1).to_pylist()[0]
 
 
-def n_buckets(blocks: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
-    """Buckets follow the size of the corpus, so that a bucket's share stays the same at every size."""
+def n_buckets(blocks: DataFrame) -> int:
+    """Buckets follow the size of the corpus, so that a bucket's share stays the same up to SHARES * BUCKET_BYTES of text."""
     total = blocks.agg(F.sum("raw")).first()[0] or 0
-    return max(MIN_BUCKETS, -(-total // bucket_bytes))
+    return max(MIN_BUCKETS, -(-total // share(total, BUCKET_BYTES, MAX_BUCKET_BYTES)))
 
 
 _SENT_ARROW = pa.schema([("bucket", pa.int32()), ("block_id", pa.int64()), ("payload", pa.binary())])
@@ -302,10 +355,9 @@ def exchange(blocks: DataFrame, emit, reduce, buckets: int) -> DataFrame:
     return blocks.mapInArrow(send, SENT).groupBy("bucket").applyInArrow(gather, SENT)
 
 
-def with_answers(blocks: DataFrame, answers: DataFrame, name: str = "back") -> DataFrame:
-    """Each block with the list of (bucket, payload) that came back to it; a bucket answers a block once."""
-    got = answers.groupBy("block_id").agg(F.collect_list(F.struct("bucket", "payload")).alias(name))
-    return blocks.join(got, "block_id", "left")
+def listed(answers: DataFrame, name: str) -> DataFrame:
+    """block_id with the list of (bucket, payload) that came back to it; a bucket answers a block once."""
+    return answers.groupBy("block_id").agg(F.collect_list(F.struct("bucket", "payload")).alias(name))
 
 
 def split_sorted(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -322,7 +374,7 @@ def runs_from(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def group_min(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
     """For each entry the smallest of the values that share its key."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     k = keys[order]
     new = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)
     least = np.minimum.reduceat(values[order], np.flatnonzero(new)) if len(k) else values

@@ -6,7 +6,7 @@ is binary-searched in every shard; ranges of suffixes that share at least a wind
 matches on one diagonal merge to the longest verbatim matches with their places.
 
 Scale: documents are read once and never shuffled.  The benchmark is the broadcast side: its bytes are summed
-first, and a benchmark above ``BENCH_BYTES`` goes through in hashed parts, one pass of the same plan after another.
+first, and a benchmark above ``BENCH_BYTES`` goes through in hashed parts, one written pass of the same plan after another.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import IN_TERM, columns, lower_ascii, small_batches, word_hashes, word_spans
+from folioscope.llm.common import IN_TERM, find_package, lower_ascii, pieces, word_hashes, word_spans, written
 
 WINDOW = 13
 #: Bytes of benchmark text that are broadcast at once.
@@ -150,15 +150,13 @@ def _hit_words(n: int, matches: list[dict]) -> int:
     return int(mask.sum())
 
 
-def parts_of(benchmark: DataFrame, item_col: str, text_col: str) -> list[list[tuple[str, str]]]:
-    """The benchmark as (item_id, text) lists of about BENCH_BYTES at most."""
+def parts_of(benchmark: DataFrame, item_col: str, text_col: str):
+    """The benchmark as (item_id, text) lists of about BENCH_BYTES at most, one at a time."""
     two = benchmark.select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    n = -(-(two.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BENCH_BYTES)
-    out = []
+    n = -(-(two.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // BENCH_BYTES)
     for k in range(max(n, 1)):
         part = two if n <= 1 else two.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        out.append([(r["item_id"], r["text"]) for r in part.toLocalIterator()])
-    return out
+        yield [(r["item_id"], r["text"]) for r in part.toLocalIterator()]
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", bench_text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -171,21 +169,25 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     Columns of docs with these four names are replaced.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    find_package(spark)
     made = ("n_words", "n_hit", "matches", "contaminated")
     base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in made])
     out = base.withColumns({"n_words": F.lit(0).cast("long"), "n_hit": F.lit(0).cast("long"), "matches": F.from_json(F.lit("[]"), MATCH), "contaminated": F.lit(False)})
     schema = out.schema
+    last = None
     for items in parts_of(benchmark, item_col, bench_text):
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(Bench(items, window)), base.columns.index(text_col), len(base.columns), window), schema)
+        if last is not None:  # the part before is done with: neither the driver nor the workers keep it
+            done = written(out, "matched")
+            last.destroy()
+            out = done
+        last = spark.sparkContext.broadcast(Bench(items, window))
+        out = out.mapInArrow(_scan(last, base.columns.index(text_col), len(base.columns), window), schema)
     return out
 
 
 def _scan(bench, text_at: int, width: int, window: int):
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in pieces(batches):
             texts = [t or b"" for t in batch.column(text_at).cast(pa.binary()).to_pylist()]
             counts, found = bench.value.matches(texts, window)
             matches = [a + b for a, b in zip(batch.column(width + 2).to_pylist(), found, strict=True)]

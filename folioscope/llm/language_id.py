@@ -1,32 +1,34 @@
 """Language ID: word log frequencies per language, with back-off to character n-grams for unseen words.
 
 The model is fitted on a sample of labelled documents, bounded per language by ``max_docs`` (a hash of doc_id
-decides), and bounded again by ``max_words`` words and ``max_grams`` n-grams of each length per language; so what is
-broadcast has a fixed bound.  Every document is scored over its whole text, in one pass without a shuffle.
+decides).  All words and n-grams of the sample count; what is broadcast is bounded by the sample, whatever the corpus.
+Every document is scored over its whole text, in one pass without a shuffle; a worker process remembers words it has scored.
 
 A word is what stands between white space, lower-cased, without digits and punctuation at its ends.  A known word
 scores by its log frequency in each language.  For an unseen word each place takes the longest known n-gram that
 starts there, from ``MAX_N`` letters down to one, and the word scores the mean of those.  A document's score is the
-posterior of its best language, where at most ``EVIDENCE`` words' worth of evidence counts.
+posterior of its best language over all its words.
 """
 
 from __future__ import annotations
 
-import re
+import functools
+import uuid
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import small_batches
+from folioscope.llm.common import find_package
 
-MAX_DOCS, MAX_WORDS, MAX_GRAMS, MAX_N = 2000, 50_000, 20_000, 4
-EVIDENCE = 20
+MAX_DOCS, MAX_N = 2000, 4
 CACHE_WORDS = 250_000
 ENDS = "0123456789!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»¿¡…–—“”‘’·•"
-_LETTER = re.compile(r"[^\W\d_]")
+#: Unicode category L: not the numerals and marks that \w has besides.
+_LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
 
@@ -37,50 +39,36 @@ def grams(word: str):
         yield [w[i : i + n] for n in range(min(MAX_N, len(w) - i), 0, -1)]
 
 
-def _fit(max_words: int, max_grams: int):
-    def fit(key, table):
+def _count(batches):
+    """(lang, word, count) of (lang, text), counted by batch."""
+    for batch in batches:
         words: Counter = Counter()
-        for text in table.column("text").to_pylist():
-            words.update(text.lower().split())
+        for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            words.update((lang, w) for w in text.lower().split())
         clean: Counter = Counter()
-        for w, n in words.items():
+        for (lang, w), n in words.items():
             if (w := w.strip(ENDS)) and _LETTER.search(w):
-                clean[w] += n
-        by_n = [Counter() for _ in range(MAX_N + 1)]
-        for w, n in clean.items():
-            for place in grams(w):
-                for g in place:
-                    by_n[len(g)][g] += n
-        rows = [(0, w, c) for w, c in sorted(clean.items(), key=lambda x: (-x[1], x[0]))[:max_words] if c > 1]
-        rows.append((0, "", sum(clean.values())))
-        for n in range(1, MAX_N + 1):
-            rows += [(n, g, c) for g, c in sorted(by_n[n].items(), key=lambda x: (-x[1], x[0]))[:max_grams]]
-            rows.append((n, "", sum(by_n[n].values())))
-        lang = key[0].as_py()
-        return pa.table({"lang": [lang] * len(rows), "n": pa.array([r[0] for r in rows], pa.int32()), "gram": [r[1] for r in rows], "count": pa.array([r[2] for r in rows], pa.int64())})
-
-    return fit
+                clean[lang, w] += n
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in clean], pa.string()), pa.array([x[1] for x in clean], pa.string()), pa.array(list(clean.values()), pa.int64())], names=["lang", "word", "count"])
 
 
 class Model:
-    def __init__(self, langs: list[str], rows: list[tuple[str, int, str, int]]) -> None:
+    """Log frequencies by language of words (0) and of n-grams of 1 to MAX_N letters, add-half smoothed."""
+
+    def __init__(self, langs: list[str], rows: list[tuple[str, str, int]]) -> None:
         self.langs = langs
         at = {g: i for i, g in enumerate(langs)}
-        total = np.ones((MAX_N + 1, len(langs)))
-        for lang, n, g, c in rows:
-            if not g:
-                total[n, at[lang]] += c
-        seen: list[dict[str, int]] = [{} for _ in range(MAX_N + 1)]
-        for _, n, g, _c in rows:
-            if g:
-                seen[n].setdefault(g, len(seen[n]))
-        self.index, self.table = seen, []
-        for n in range(MAX_N + 1):
-            t = np.full((len(seen[n]), len(langs)), 0.5)
-            for lang, m, g, c in rows:
-                if g and m == n:
-                    t[seen[n][g], at[lang]] += c
-            self.table.append(np.log(t / (total[n] + 0.5 * len(seen[n]))).astype(np.float32))
+        counts: list[dict[str, np.ndarray]] = [{} for _ in range(MAX_N + 1)]
+        for lang, w, c in rows:
+            for n, g in [(0, w), *((len(g), g) for place in grams(w) for g in place)]:
+                if g not in counts[n]:
+                    counts[n][g] = np.full(len(langs), 0.5)
+                counts[n][g][at[lang]] += c
+        self.index, self.table = [], []
+        for c in counts:
+            t = np.array(list(c.values())) if c else np.zeros((0, len(langs)))
+            self.index.append({g: i for i, g in enumerate(c)})
+            self.table.append(np.log(t / (1 + t.sum(axis=0))).astype(np.float32))
 
     def word(self, raw: str) -> np.ndarray | None:
         """Log frequencies of a word by language, None if it has no letter or nothing is known about it."""
@@ -124,18 +112,15 @@ class Scorer:
         total = self.rows[np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))].sum(axis=0, dtype=np.float64)
         if len(self.slot) > CACHE_WORDS:
             self.clear()
-        n, x = total[-1], total[:-1]
-        if not n:
-            x, n = np.zeros(len(x)), 1
-        x = x * min(n, EVIDENCE) / n
+        x = total[:-1] if total[-1] else np.zeros(len(total) - 1)
         p = np.exp(x - x.max())
         k = int(np.argmax(x))
         return self.model.langs[k], float(p[k] / p.sum())
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
-    """Model from rows with text and a language; about ``max_docs`` rows of each language are used."""
-    small_batches(labelled.sparkSession)
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = MAX_DOCS) -> Model:
+    """Model from rows with text and a language; about ``max_docs`` rows of each language are used, whole."""
+    find_package(labelled.sparkSession)
     rows = labelled.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull())
     counts = {r["lang"]: r["n"] for r in rows.groupBy(F.col(f"`{lang_col}`").alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
     langs = sorted(counts)
@@ -144,13 +129,21 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     share = F.coalesce(*[F.when(F.col("lang") == g, F.lit(min(1.0, max_docs / n))) for g, n in counts.items()])
     place = F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("string")), F.lit(1 << 20)) / float(1 << 20)
     sample = rows.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"), place.alias("place")).where(F.col("place") < share).select("lang", "text")
-    got = sample.groupBy("lang").applyInArrow(_fit(max_words, max_grams), "lang string, n int, gram string, count long")
-    return Model(langs, [tuple(r) for r in got.toLocalIterator()])
+    got = sample.mapInArrow(_count, "lang string, word string, count long").groupBy("lang", "word").agg(F.sum("count").alias("count"))
+    return Model(langs, sorted(tuple(r) for r in got.toLocalIterator()))
+
+
+@functools.lru_cache(maxsize=2)
+def _scorer(name: str) -> list:
+    """A place for one model's scorer in this worker process."""
+    return []
 
 
-def _predict(model, text_at: int):
+def _predict(model, name: str, text_at: int):
     def run(batches):
-        scorer = Scorer(model.value)
+        if not (place := _scorer(name)):
+            place.append(Scorer(model.value))
+        scorer = place[0]
         for batch in batches:
             got = [scorer.predict(t) for t in batch.column(text_at).to_pylist()]
             cols = [batch.column(k) for k in range(batch.num_columns)] + [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
@@ -166,7 +159,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     Without any labelled row all is ``und``.  Repeated rows stay; columns named lang_pred or score are replaced.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    find_package(spark)
     base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")])
     schema = base.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
-    return base.mapInArrow(_predict(spark.sparkContext.broadcast(model), base.columns.index(text_col)), schema)
+    return base.mapInArrow(_predict(spark.sparkContext.broadcast(model), uuid.uuid4().hex, base.columns.index(text_col)), schema)

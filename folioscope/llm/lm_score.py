@@ -1,16 +1,21 @@
 """LM scoring: a probabilistic suffix tree over words, gathered from all training documents.
 
-The root state is the add-one unigram model.  A context of one or two words becomes a state if it occurs at least
+The root state is the add-one unigram model.  A context of up to ``depth`` words becomes a state if it occurs at least
 ``MIN_COUNT`` times in training and passes the divergence test: its count times the Kullback-Leibler divergence of its
 next-word distribution from its parent's is at least the number of different next words (one nat per parameter).
 A state's distribution is smoothed with its parent's (Witten-Bell): (c(s,w) + T(s) * P(w|parent)) / (c(s) + T(s)) with T
 different next words.  A word is scored in the longest suffix state of what precedes it; a document begins with a
 mark of its own and ends with one end token.
 
-Three block exchanges gather words, words after one word, words after two words.  A block sends each distinct entry
-once, held-out entries with count 0, and gets the entry's log probability back; nothing of the tree is broadcast or
-collected.  So the tree grows with the input and no task holds more than a bucket's share.  A context is one bucket's
-affair: it has one entry per block and different next word there.
+Texts are tokenised once, to packed word numbers.  One block exchange counts words, then one for each depth counts
+(context, next word); depths are added while contexts stay frequent, ``depth`` at most.  A block knows how often its
+contexts occur from the depth before, so contexts under ``MIN_COUNT`` don't travel.  It sends each distinct entry once,
+held-out ones with count 0, and gets back its count and its log probability.
+
+Hot contexts: one above ``HOT`` occurrences (or 2^-20 of all tokens, where that is more) is split by next word over as
+many salts as it takes.  Its buckets count pairs and give partial totals, different words and divergence, which Spark adds
+up; the sums of at most 2^20 hot contexts (32 bytes each) are broadcast, and blocks finish those entries themselves.
+So the tree grows with the input, nothing else of it is broadcast or collected, and no bucket holds more than its share.
 """
 
 from __future__ import annotations
@@ -20,18 +25,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import NULL_ID, Block, block_of, dec, enc, exchange, lower_ascii, mix, n_buckets, pack, rows_of, split_sorted, with_answers, word_hashes, word_spans, written
+from folioscope.llm.common import Block, block_of, dec, drop, enc, exchange, listed, lower_ascii, mix, n_buckets, pack, rows_of, split_sorted, word_hashes, word_spans, written
 
-MIN_COUNT = 4
+MIN_COUNT, DEPTH = 4, 3
+#: Occurrences from which a context is split; more than 2^20 contexts never are.
+HOT, MAX_HOT = 1 << 16, 1 << 20
 START, END = np.uint64(1), np.uint64(2)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _TOTALS = -1  # stands for no block: a bucket's totals
 
 
 class Tokens:
-    """Words of a block's documents, each with its end token; the first byte of a text says if it is for training."""
-
-    def __init__(self, block: Block) -> None:
+    """Words of a block's documents, each with its end token."""
+
+    def __init__(self, row: dict) -> None:
+        self.ids, no_id, held, self.count, keys, slot = dec(row["tokens"])
+        self.no_id, self.held = no_id.astype(bool), held.astype(bool)
+        self.keys, self.slot = np.cumsum(keys, dtype=np.uint64), slot.astype(np.int64)
+        self.word = self.keys[self.slot]
+        self.first = np.concatenate([[0], np.cumsum(self.count, dtype=np.int64)])
+        self.train = np.repeat(~self.held, self.count)
+        self.nth = np.arange(len(self.word)) - np.repeat(self.first[:-1], self.count)
+
+    def back(self, k: int) -> np.ndarray:
+        """The word k places before each token; the mark of the start where there is none."""
+        out = np.full(len(self.word), START, np.uint64)
+        out[k:] = self.word[:-k]
+        out[self.nth < k] = START
+        return out
+
+
+def _tokenize(batches):
+    """The words of packed documents as packed numbers; the first byte of a text says if it is for training."""
+    for row in rows_of(batches):
+        block: Block = block_of(row)
         words, docs = [], []
         for a, b in block.chunks():
             offs = block.offs[a : b + 1] - block.offs[a]
@@ -41,16 +68,13 @@ class Tokens:
             words.append(word_hashes(data, starts, ends))
             docs.append(np.searchsorted(offs[1:], starts, "right") + a)
         words, doc = np.concatenate(words), np.concatenate(docs)
-        n = len(block.ids)
-        at = np.arange(len(words)) + doc  # one end token per document before
-        self.count = np.bincount(doc, minlength=n) + 1
-        self.first = np.concatenate([[0], np.cumsum(self.count)])
-        self.word = np.full(self.first[-1], END, np.uint64)
-        self.word[at] = words
-        self.train = np.repeat(block.data[block.offs[:-1]] == 49, self.count)
-        self.keys, self.slot = np.unique(self.word, return_inverse=True)
-        self.before = np.concatenate([[START], self.word[:-1]])
-        self.before[self.first[:-1]] = START
+        count = np.bincount(doc, minlength=len(block.ids)) + 1
+        word = np.full(count.sum(), END, np.uint64)
+        word[np.arange(len(words)) + doc] = words  # one end token per document before
+        keys, slot = np.unique(word, return_inverse=True)
+        held = block.data[block.offs[:-1]] != 49
+        tokens = enc(block.ids, block.no_id.astype(np.uint8), held.astype(np.uint8), count.astype(np.uint32), np.diff(keys, prepend=np.uint64(0)), slot.astype(np.uint16 if len(keys) < 65536 else np.uint32))
+        yield pa.RecordBatch.from_arrays([pa.array([row["block_id"]]), pa.array([row["raw"]]), pa.array([tokens], pa.binary())], names=["block_id", "raw", "tokens"])
 
 
 def _answers(back, cut: np.ndarray, *kinds) -> list[np.ndarray]:
@@ -62,27 +86,28 @@ def _answers(back, cut: np.ndarray, *kinds) -> list[np.ndarray]:
     return out
 
 
-def _sent(order_keys: np.ndarray, cut: np.ndarray, *columns):
-    for k in range(len(cut) - 1):
-        a, b = cut[k], cut[k + 1]
-        if a < b:
-            yield k, enc(np.diff(order_keys[a:b], prepend=np.uint64(0)), *(c[a:b] for c in columns))
+def _small(x: np.ndarray) -> np.ndarray:
+    top = int(x.max()) if len(x) else 0
+    return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.int64)
 
 
 def _words(buckets: int):
     def emit(row):
-        t = Tokens(block_of(row))
-        count = np.bincount(t.slot, t.train, len(t.keys)).astype(np.uint32)
-        yield from _sent(t.keys, split_sorted(t.keys, buckets), count)
+        t = Tokens(row)
+        count, cut = _small(np.bincount(t.slot, t.train, len(t.keys)).astype(np.int64)), split_sorted(t.keys, buckets)
+        for k in range(buckets):
+            a, b = cut[k], cut[k + 1]
+            if a < b:
+                yield k, enc(np.diff(t.keys[a:b], prepend=np.uint64(0)), count[a:b])
 
     def total(bucket, got):
         parts = [dec(p) for _, p in got]
         keys = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
         _, slot = np.unique(keys, return_inverse=True)
-        counts = np.bincount(slot, np.concatenate([p[1] for p in parts]).astype(np.float64))
+        counts = np.bincount(slot, np.concatenate([p[1] for p in parts]).astype(np.float64)).astype(np.int64)
         at = 0
         for (block_id, _), p in zip(got, parts, strict=True):
-            yield block_id, enc(counts[slot[at : at + len(p[0])]].astype(np.int64))
+            yield block_id, enc(_small(counts[slot[at : at + len(p[0])]]))
             at += len(p[0])
         yield _TOTALS, enc(np.array([counts.sum(), (counts > 0).sum()], np.int64))
 
@@ -90,79 +115,122 @@ def _words(buckets: int):
 
 
 class Level:
-    """Entries (context, next word) of one depth: sorted by context, each once; at: entry of every token, -1 without."""
-
-    def __init__(self, t: Tokens, ctx: np.ndarray, use: np.ndarray, buckets: int) -> None:
-        c, w = ctx[use], t.word[use]
-        order = np.lexsort((w, c))
-        c, w = c[order], w[order]
-        new = np.concatenate([[True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])]) if len(c) else np.zeros(0, bool)
-        self.at = np.full(len(t.word), -1)
-        self.at[use[order]] = np.cumsum(new) - 1
-        self.ctx, self.next = c[new], (w[new] >> np.uint64(32)).astype(np.uint32)
-        self.next[w[new] == END] = 0
-        self.token = use[order][new]
-        self.cut = split_sorted(self.ctx, buckets)
-        self.count = np.bincount(self.at[use], t.train[use], len(self.ctx)).astype(np.uint32) if len(use) else np.zeros(0, np.uint32)
+    """Distinct entries (context, next word) of one depth in order of their buckets; at: entry of each used token."""
+
+    def __init__(self, t: Tokens, ctx: np.ndarray, size: np.ndarray, use: np.ndarray, hot: int, buckets: int) -> None:
+        pair = mix(ctx[use] * _STEP ^ mix(t.word[use]))
+        order = np.argsort(pair)
+        p = pair[order]
+        new = np.concatenate([[True], p[1:] != p[:-1]]) if len(p) else np.zeros(0, bool)
+        token, pair = use[order[new]], p[new]
+        ctx, salts = ctx[token], -(-size[token] // hot)
+        key, hot = ctx.copy(), salts > 1
+        key[hot] = mix(ctx[hot] + (mix(pair[hot] ^ _STEP) % salts[hot].astype(np.uint64) + np.uint64(1)) * _STEP)
+        by_key = np.argsort(key)
+        place = np.empty(len(key), np.int64)
+        place[by_key] = np.arange(len(key))
+        self.use, self.at = use, np.empty(len(use), np.int64)
+        self.at[order] = place[np.cumsum(new) - 1]
+        self.key, self.pair, self.token, self.ctx, self.hot = key[by_key], pair[by_key], token[by_key], ctx[by_key], hot[by_key]
+        self.count = _small(np.bincount(self.at, t.train[use], len(key)).astype(np.int64))
+        self.cut = split_sorted(self.key, buckets)
+
+    def send(self, up: np.ndarray):
+        """Entries, their parents' log probabilities, and which of their keys stand for a salt of which hot context."""
+        up = up[self.token].astype(np.float32)
+        for k in range(len(self.cut) - 1):
+            a, b = self.cut[k], self.cut[k + 1]
+            if a < b:
+                key, hot = self.key[a:b], np.flatnonzero(self.hot[a:b])
+                hot = hot[np.unique(key[hot], return_index=True)[1]]
+                yield k, enc(np.diff(key, prepend=np.uint64(0)), self.pair[a:b], self.count[a:b], up[a:b], key[hot], self.ctx[a:b][hot])
 
 
 class Scores:
-    """Log10 probabilities of a block's tokens, as far as the answers so far allow."""
+    """Log10 probabilities of a block's tokens as far as the answers go, and what the next depth asks."""
 
-    def __init__(self, row: dict, total: tuple[int, int], buckets: int) -> None:
-        self.t = t = Tokens(block_of(row))
-        (count,) = _answers(row["words"], split_sorted(t.keys, buckets), np.int64)
+    def __init__(self, row: dict, total: tuple[int, int], sums: list, hot: int, buckets: int, ask: bool) -> None:
+        self.t = t = Tokens(row)
+        (count,) = _answers(row["a0"], split_sorted(t.keys, buckets), np.int64)
         self.known = count[t.slot] > 0
         self.base = np.log10((count + 1) / (total[0] + total[1] + 1))[t.slot]
-        self.one = Level(t, mix(t.before), np.arange(len(t.word)), buckets)
-
-    def second(self, row: dict, buckets: int) -> None:
-        p, often = _answers(row["one"], self.one.cut, np.float32, np.uint8)
-        t = self.t
-        self.p = p[self.one.at].astype(np.float64)
-        grown = np.concatenate([[0], often[self.one.at][:-1]]).astype(bool)  # the pair before this token is frequent
-        grown[t.first[:-1]] = False
-        older = np.concatenate([[START], t.before[:-1]])
-        self.two = Level(t, mix(mix(older * _STEP + t.before) ^ _STEP), np.flatnonzero(grown), buckets)
+        self.p = self.base.copy()
+        at = int(np.searchsorted(t.keys, END))  # every document has one end token
+        size, ctx = np.concatenate([[0], count[t.slot][:-1]]), np.full(len(t.word), _STEP)
+        size[t.first[:-1]] = count[at]
+        for depth in range(1, len(sums) + 1 + ask):
+            ctx = mix(ctx * _STEP + t.back(depth))
+            self.level = lv = Level(t, ctx, size, np.flatnonzero((size >= MIN_COUNT) & (t.nth >= depth - 1)), hot, buckets)
+            if depth > len(sums):
+                break
+            n, p = _answers(row[f"a{depth}"], lv.cut, np.int64, np.float32)
+            p = p.astype(np.float64)
+            far = np.flatnonzero(lv.hot)
+            if len(far):
+                keys, totals, kinds, keep = sums[depth - 1].value
+                s, up = np.searchsorted(keys, lv.ctx[far]), self.p[lv.token[far]].astype(np.float32).astype(np.float64)
+                p[far] = np.where(keep[s], np.log10((n[far] + kinds[s] * 10**up) / (totals[s] + kinds[s])), up).astype(np.float32)
+            self.p[lv.use] = p[lv.at]
+            size = np.zeros(len(t.word), np.int64)  # the next context ends with this token: its count is this pair's
+            size[lv.use] = n[lv.at]
+            size = np.concatenate([[0], size[:-1]])
+            size[t.first[:-1]] = 0
 
 
 def _state(bucket, got):
-    """Tests and smooths the contexts of a bucket."""
+    """Counts a bucket's pairs, tests and smooths its contexts; hot ones give partial sums."""
     parts = [dec(p) for _, p in got]
-    ctx = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
-    nxt, count, parent = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
-    order = np.lexsort((nxt, ctx))
-    c, w = ctx[order], nxt[order]
-    new_c = np.concatenate([[True], c[1:] != c[:-1]])
-    new = new_c | np.concatenate([[True], w[1:] != w[:-1]])
-    pair = np.empty(len(ctx), np.int64)
-    pair[order] = np.cumsum(new) - 1
-    n = np.add.reduceat(count[order].astype(np.float64), np.flatnonzero(new))
-    up = parent[order][new].astype(np.float64)
-    owner = (np.cumsum(new_c) - 1)[new]
+    key = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
+    pair, count, up = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
+    hot, first = np.unique(np.concatenate([p[4] for p in parts]), return_index=True)
+    hot_ctx = np.concatenate([p[5] for p in parts])[first]
+    order = np.argsort(pair)
+    p = pair[order]
+    new = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+    slot = np.empty(len(pair), np.int64)
+    slot[order] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(p))))
+    n = np.bincount(slot, count.astype(np.float64))
+    up, key = up[order[new]].astype(np.float64), key[order[new]]
+    keys, owner = np.unique(key, return_inverse=True)
     total, kinds = np.bincount(owner, n), np.bincount(owner, n > 0)
     with np.errstate(divide="ignore", invalid="ignore"):
-        gain = np.where(n > 0, n * (np.log(n / total[owner]) - up * np.log(10)), 0)
+        gain = np.bincount(owner, np.where(n > 0, n * (np.log(n) - up * np.log(10)), 0))  # less total * log(total)
         p = np.log10((n + kinds[owner] * 10**up) / (total + kinds)[owner])
-    keep = (total >= MIN_COUNT) & (np.bincount(owner, gain) >= kinds)
-    p, often = np.where(keep[owner], p, up).astype(np.float32), (n >= MIN_COUNT).astype(np.uint8)
-    at = 0
+        keep = (total >= MIN_COUNT) & (gain - total * np.log(total) >= kinds)
+    p = np.where(keep[owner], p, up).astype(np.float32)
+    at, n = 0, n.astype(np.int64)
     for (block_id, _), x in zip(got, parts, strict=True):
-        k = pair[at : at + len(x[0])]
-        yield block_id, enc(p[k], often[k])
+        s = slot[at : at + len(x[0])]
+        yield block_id, enc(_small(n[s]), p[s])
         at += len(x[0])
+    if len(hot):
+        k = np.searchsorted(keys, hot)
+        yield _TOTALS, enc(hot_ctx, total[k], kinds[k].astype(np.float64), gain[k])
+
+
+def _partial(batches):
+    for batch in batches:
+        for payload in batch.column(0).to_pylist():
+            ctx, *sums = dec(payload)
+            yield pa.RecordBatch.from_arrays([pa.array(ctx.view(np.int64)), *map(pa.array, sums)], names=["ctx", "total", "kinds", "gain"])
 
 
-def _finish(total: tuple[int, int], buckets: int):
+def _hot_sums(answers: DataFrame) -> tuple:
+    """Sorted contexts, their totals, different words and whether they are states; MAX_HOT rows at most."""
+    rows = answers.where(F.col("block_id") == _TOTALS).select("payload").mapInArrow(_partial, "ctx long, total double, kinds double, gain double")
+    sums = rows.groupBy("ctx").agg(F.sum("total"), F.sum("kinds"), F.sum(F.col("gain").cast("decimal(30,6)")).cast("double"))
+    got = sorted((r[0] & ((1 << 64) - 1), *r[1:]) for r in sums.collect())
+    total, kinds, gain = (np.array([r[k] for r in got], np.float64) for k in (1, 2, 3))
+    keep = (total >= MIN_COUNT) & (gain - total * np.log(np.maximum(total, 1)) >= kinds)
+    return np.array([r[0] for r in got], np.uint64), total, kinds, keep
+
+
+def _finish(total: tuple[int, int], sums: list, hot: int, buckets: int):
     def run(batches):
         for row in rows_of(batches):
-            block, s = block_of(row), Scores(row, total, buckets)
-            s.second(row, buckets)
-            p, _ = _answers(row["two"], s.two.cut, np.float32, np.uint8)
-            on = s.two.at >= 0
-            s.p[on] = p[s.two.at[on]]
-            at = s.t.first[:-1]
-            cols = [pa.array(block.ids, mask=block.ids == NULL_ID), pa.array(~s.t.train[at])]
+            s = Scores(row, total, sums, hot, buckets, False)
+            t, at = s.t, s.t.first[:-1]
+            cols = [pa.array(t.ids, mask=t.no_id), pa.array(t.held)]
             cols += [pa.array(np.add.reduceat(x, at)) for x in (np.ones(len(s.p), np.int64), s.known.astype(np.int64))]
             cols += [pa.array(np.full(len(at), total[0], np.int64)), pa.array(np.add.reduceat(s.base, at)), pa.array(np.add.reduceat(s.p, at))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
@@ -170,7 +238,7 @@ def _finish(total: tuple[int, int], buckets: int):
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_col: str = "held_out") -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_col: str = "held_out", depth: int = DEPTH, hot: int = HOT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; learns where held_col is not true.
 
     Tokens: words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z, then one end.  base_score: sum of
@@ -178,33 +246,44 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
     empty: the end token alone.  A null held_col means training.  Rows that repeat an id or a text all count.  With no
     training row N and V are 0.  An empty table gives an empty result; other columns don't take part.
     """
+    spark = docs.sparkSession
     flag = F.when(F.col(f"`{held_col}`"), F.lit("0")).otherwise(F.lit("1"))
     flagged = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.concat(flag, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("text"))
     blocks = pack(flagged)
-    buckets = n_buckets(blocks)
-    words = written(exchange(blocks, *_words(buckets), buckets), "words", "uncompressed")
+    tokens = written(blocks.mapInArrow(_tokenize, "block_id long, raw long, tokens binary"), "tokens", "uncompressed")
+    drop(blocks)
+    buckets = n_buckets(tokens)
+    answers = [written(exchange(tokens, *_words(buckets), buckets), "words", "uncompressed")]
 
-    def sums(batches):
+    def totals(batches):
         for batch in batches:
             if batch.num_rows:
                 got = np.array([dec(p)[0] for p in batch.column(0).to_pylist()]).sum(axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(got[:1]), pa.array(got[1:])], names=["n", "v"])
 
-    row = words.where(F.col("block_id") == _TOTALS).select("payload").mapInArrow(sums, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
+    row = answers[0].where(F.col("block_id") == _TOTALS).select("payload").mapInArrow(totals, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
     total = (row[0] or 0, row[1] or 0)
-
-    def first(row):
-        s = Scores(row, total, buckets)
-        yield from _sent(s.one.ctx, s.one.cut, s.one.next, s.one.count, s.base[s.one.token].astype(np.float32))
-
-    def then(row):
-        s = Scores(row, total, buckets)
-        s.second(row, buckets)
-        yield from _sent(s.two.ctx, s.two.cut, s.two.next, s.two.count, s.p[s.two.token].astype(np.float32))
-
-    have = with_answers(blocks, words, "words")
-    one = written(exchange(have, first, _state, buckets), "one", "uncompressed")
-    have = with_answers(have, one, "one")
-    two = exchange(have, then, _state, buckets)
+    hot, sums = max(hot, -(-total[0] // MAX_HOT)), []
+
+    def have() -> DataFrame:
+        out = tokens
+        lists = None
+        for k, a in enumerate(answers):
+            got = listed(a.where(F.col("block_id") != _TOTALS), f"a{k}")
+            lists = got if lists is None else lists.join(got, "block_id", "left")  # every block has words
+        return out.join(lists, "block_id", "left")
+
+    for k in range(1, depth + 1):
+        known = list(sums)
+
+        def ask(row, known=known):
+            s = Scores(row, total, known, hot, buckets, True)
+            yield from s.level.send(s.p)
+
+        found = written(exchange(have(), ask, _state, buckets), f"depth-{k}", "uncompressed")
+        if found.isEmpty():  # no context is frequent any more
+            break
+        answers.append(found)
+        sums.append(spark.sparkContext.broadcast(_hot_sums(found)))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return with_answers(have, two, "two").mapInArrow(_finish(total, buckets), schema)
+    return have().mapInArrow(_finish(total, sums, hot, buckets), schema)

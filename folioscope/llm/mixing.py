@@ -49,7 +49,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ``quality``: (doc_id, weight) rows, the largest weight of a doc_id counts, 1 where there is none.  The document
     on the border of the budget is taken if that brings the source nearer to its target.  Null or empty text: size
     0, taken 0.  A null source is a source of its own.  Rows that repeat a doc_id are documents of their own with
-    one key.  Empty table: empty result.
+    one key, taken by size.  Empty table: empty result.
     """
     base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)).cast("long"), F.lit(0).cast("long")).alias("size"))
     weight = F.lit(1.0)
@@ -69,7 +69,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     p = plan.select(F.col("source").alias("p_source"), "source_size", "target")
     sums = sums.join(p, F.col("source").eqNullSafe(F.col("p_source"))).select(F.col("source").alias("s_source"), F.col("range").alias("s_range"), "before", "source_size", "target")
     rows = base.join(sums, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("range") == F.col("s_range")))
-    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("upto", F.col("before") + F.sum("size").over(inside))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.col("target") - epochs * F.col("source_size")

@@ -125,7 +125,7 @@ l AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE - (sum(cap) OVER (ORDER BY r
 b AS (SELECT source, source_size, round(CASE WHEN ratio < level THEN cap::DOUBLE
         ELSE w * (SELECT arg_min(x.level, {'r': x.ratio, 'p': x.pos}) FROM l x WHERE NOT x.ratio < x.level) END, 6) AS target FROM l),
 r AS (SELECT d.doc_id, d.size, b.source_size, b.target,
-        sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id ROWS UNBOUNDED PRECEDING) AS upto,
+        sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS upto,
         CASE WHEN b.source_size > 0 THEN floor(b.target / b.source_size)::BIGINT ELSE 0 END AS epochs
       FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, size::BIGINT AS size, source_size, target,

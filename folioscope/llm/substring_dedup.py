@@ -1,13 +1,15 @@
 """Substring dedup: Rabin-Karp hashes of every window of `width` words, counted in Spark, merged to removal intervals.
 
-Every block hashes all its windows and sends each distinct hash once with the smallest doc_id that holds it.  A
-bucket takes the smallest doc_id of each hash over all blocks and answers one bit per entry: a smaller document has
-it.  The block computes its windows again, marks those that are in a larger document than the smallest holder, and
-merges marked windows to maximal intervals of words.
-
-Hashes have 64 bits: with n windows about n^2 / 2^65 pairs of different windows meet (0.0004 for 10^8 windows).
-Scale: texts are packed once and shuffled once, compressed; windows travel as about 8 bytes each.  A window that is
-in a third of all documents has one entry per block.
+1. Every block hashes all its windows and sends each distinct hash once with the smallest doc_id that holds it.  A
+   bucket takes the smallest doc_id of each hash over all blocks and answers two bits per entry: a smaller document
+   has it, several documents have it.
+2. Windows that several documents have are confirmed by a second Rabin-Karp hash of other base and other word hashes,
+   in an exchange of their own.  A window counts as repeated if a smaller document has it by both hashes.
+3. The block marks those windows and merges them to maximal intervals of words.
+
+With n windows, of which r repeat, about n^2 / 2^65 meet by the first hash alone and r / 2^64 of those by the second: for
+10^13 windows less than one.  Scale: texts are packed once and shuffled twice, compressed; windows travel as about
+8 bytes each, repeated ones again.  A window that is in a third of all documents has one entry per block.
 """
 
 from __future__ import annotations
@@ -15,70 +17,116 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from folioscope.llm.common import (
-    NULL_ID,
-    WORDS,
+    Rolling,
     Block,
     block_of,
     dec,
     enc,
     exchange,
     group_min,
+    listed,
     mix,
     n_buckets,
     pack,
     rows_of,
     runs_from,
     split_sorted,
-    with_answers,
     word_hashes,
     word_spans,
+    written,
 )
 
 WIDTH = 50
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept_text", pa.string())])
 
 
+#: Two independent polynomials, each over its own hash of the words.
+BASES = (Rolling(0xD1342543DE82EF95), Rolling(0xAF251AF3B0F025B5))
+_SALTS = (np.uint64(0), np.uint64(0x94D049BB133111EB))
+
+
 class Windows:
-    """All windows of a block: hash, first word and document of each; words count through the block."""
+    """All windows of a block: two hashes, first word and document of each; words count through the block."""
 
-    def __init__(self, block: Block, width: int) -> None:
-        hashes, firsts, docs, counts, base = [], [], [], [], 0
+    def __init__(self, block: Block, width: int, other: bool = True) -> None:
+        hashes: tuple[list, list] = ([], [])
+        firsts, docs, counts, base = [], [], [], 0
         for a, b in block.chunks():
             data = block.data[block.offs[a] : block.offs[b]]
             starts, ends = word_spans(data)
             words = word_hashes(data, starts, ends)
             doc = np.searchsorted(block.offs[a + 1 : b + 1] - block.offs[a], starts, "right")
             counts.append(np.bincount(doc, minlength=b - a))
-            h = WORDS.windows(words, width)
-            at = np.flatnonzero(doc[: len(h)] == doc[width - 1 :][: len(h)]) if len(h) else np.zeros(0, np.int64)
-            hashes.append(mix(h[at]))
+            n = max(len(words) - width + 1, 0)
+            at = np.flatnonzero(doc[:n] == doc[len(doc) - n :])
+            for k in range(1 + other):
+                hashes[k].append(mix(BASES[k].windows(mix(words ^ _SALTS[k]), width)[at]))
             firsts.append(at + base)
             docs.append(doc[at] + a)
             base += len(starts)
-        self.hash, self.first, self.doc = np.concatenate(hashes), np.concatenate(firsts), np.concatenate(docs)
+        self.hash = [np.concatenate(h) for h in hashes if h]
+        self.first, self.doc = np.concatenate(firsts), np.concatenate(docs)
+        self.ids = block.ids[self.doc]
         self.bounds = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
-        order = np.argsort(self.hash, kind="stable")
-        h = self.hash[order]
+
+
+class Distinct:
+    """Sorted distinct hashes with the least id of each; slot: place of every hash; several: it has two ids or more."""
+
+    def __init__(self, hashes: np.ndarray, ids: np.ndarray) -> None:
+        order = np.argsort(hashes)
+        h, i = hashes[order], ids[order]
         new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
-        self.keys = h[new]
-        self.slot = np.empty(len(h), np.int64)
+        at = np.flatnonzero(new)
+        self.keys, self.slot = h[new], np.empty(len(h), np.int64)
         self.slot[order] = np.cumsum(new) - 1
-        ids = block.ids[self.doc]
-        self.least = np.minimum.reduceat(ids[order], np.flatnonzero(new)) if len(h) else ids
+        self.least = np.minimum.reduceat(i, at) if len(h) else i
+        self.several = (np.maximum.reduceat(i, at) if len(h) else i) != self.least
 
-
-def _emit(width: int, buckets: int):
-    def emit(row):
-        w = Windows(block_of(row), width)
-        cut = split_sorted(w.keys, buckets)
+    def send(self, buckets: int):
+        cut = split_sorted(self.keys, buckets)
         for k in range(buckets):
             a, b = cut[k], cut[k + 1]
             if a < b:
-                ids, at = np.unique(w.least[a:b], return_inverse=True)
-                keys = w.keys[a:b]
-                yield k, enc(np.diff(keys, prepend=np.uint64(0)), np.diff(ids, prepend=0), at.astype(np.uint16 if len(ids) < 65536 else np.uint32))
+                ids, at = np.unique(self.least[a:b], return_inverse=True)
+                yield k, enc(np.diff(self.keys[a:b], prepend=np.uint64(0)), np.diff(ids, prepend=0), at.astype(np.uint16 if len(ids) < 65536 else np.uint32))
+
+    def answers(self, back, buckets: int) -> list[np.ndarray]:
+        """Bits of the buckets for each key: a smaller document has it, several documents have it."""
+        cut, out = split_sorted(self.keys, buckets), [np.zeros(len(self.keys), bool) for _ in range(2)]
+        for x in back or []:
+            a, b = cut[x["bucket"]], cut[x["bucket"] + 1]
+            for o, bits in zip(out, dec(x["payload"]), strict=True):
+                o[a:b] = np.unpackbits(bits, count=b - a)
+        return out
+
+
+def _first(width: int, buckets: int):
+    def emit(row):
+        w = Windows(block_of(row), width, other=False)
+        yield from Distinct(w.hash[0], w.ids).send(buckets)
+
+    return emit
+
+
+def _repeated(row, width: int, buckets: int):
+    """The block, its windows, those that several documents have by the first hash, and if a smaller one is among them."""
+    block = block_of(row)
+    w = Windows(block, width)
+    d = Distinct(w.hash[0], w.ids)
+    smaller, shared = d.answers(row["back"], buckets)
+    on = np.flatnonzero((shared | d.several)[d.slot])
+    slot = d.slot[on]
+    return block, w, on, smaller[slot] | (d.least[slot] < w.ids[on])
+
+
+def _second(width: int, buckets: int):
+    def emit(row):
+        _, w, on, _ = _repeated(row, width, buckets)
+        yield from Distinct(w.hash[1][on], w.ids[on]).send(buckets)
 
     return emit
 
@@ -91,22 +139,20 @@ def _reduce(bucket, got):
         ids.append(np.cumsum(i)[at])
         blocks.append(block_id)
     ends = np.cumsum([len(k) for k in keys])
-    ids = np.concatenate(ids)
-    smaller = group_min(np.concatenate(keys), ids) < ids
+    keys, ids = np.concatenate(keys), np.concatenate(ids)
+    least = group_min(keys, ids)
+    smaller, shared = least < ids, least != ~group_min(keys, ~ids)
     for block_id, a, b in zip(blocks, [0, *ends[:-1]], ends, strict=True):
-        yield block_id, enc(np.packbits(smaller[a:b]))
+        yield block_id, enc(np.packbits(smaller[a:b]), np.packbits(shared[a:b]))
 
 
 def _finish(width: int, buckets: int):
     def run(batches):
         for row in rows_of(batches):
-            block = block_of(row)
-            w = Windows(block, width)
-            cut, smaller = split_sorted(w.keys, buckets), np.zeros(len(w.keys), bool)
-            for x in row["back"] or []:
-                a, b = cut[x["bucket"]], cut[x["bucket"] + 1]
-                smaller[a:b] = np.unpackbits(dec(x["payload"])[0], count=b - a)
-            hit = w.first[smaller[w.slot] | (w.least[w.slot] < block.ids[w.doc])]
+            block, w, on, sure = _repeated(row, width, buckets)
+            d = Distinct(w.hash[1][on], w.ids[on])
+            smaller, _ = d.answers(row["back2"], buckets)
+            hit = w.first[on[sure & (smaller[d.slot] | (d.least[d.slot] < w.ids[on]))]]
             step = np.zeros(w.bounds[-1] + 1, np.int32)
             np.add.at(step, hit, 1)
             np.subtract.at(step, hit + width, 1)
@@ -119,7 +165,7 @@ def _finish(width: int, buckets: int):
                 if mask.any():
                     spans = [{"start": s, "end": e} for s, e in zip(*map(np.ndarray.tolist, runs_from(mask)), strict=True)]
                     words = [x for x, gone in zip(words, mask.tolist(), strict=True) if not gone]
-                out.append({"doc_id": int(block.ids[i]) if block.ids[i] != NULL_ID else None, "n_words": int(b - a), "n_removed": int(mask.sum()), "spans": spans, "kept_text": b" ".join(words).decode("utf-8", "replace")})
+                out.append({"doc_id": None if block.no_id[i] else int(block.ids[i]), "n_words": int(b - a), "n_removed": int(mask.sum()), "spans": spans, "kept_text": b" ".join(words).decode("utf-8", "replace")})
                 if len(out) == 200:
                     yield pa.RecordBatch.from_pylist(out, schema=_OUT)
                     out = []
@@ -139,6 +185,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     blocks = pack(docs, id_col, text_col)
     buckets = n_buckets(blocks)
-    answers = exchange(blocks, _emit(width, buckets), _reduce, buckets)
+
+    def asked(emit, source: DataFrame, name: str) -> DataFrame:
+        return written(exchange(source, emit(width, buckets), _reduce, buckets), name, "uncompressed")
+
+    back = listed(asked(_first, blocks, "windows"), "back")
+    back2 = listed(asked(_second, blocks.join(back, "block_id", "left"), "confirmed"), "back2")
     schema = "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept_text string"
-    return with_answers(blocks, answers).mapInArrow(_finish(width, buckets), schema)
+    return blocks.join(back.join(back2, "block_id", "full"), "block_id", "left").mapInArrow(_finish(width, buckets), schema)

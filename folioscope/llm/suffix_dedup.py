@@ -274,7 +274,7 @@ def _finish(buckets: int):
                 if mask.any():
                     spans = [{"start": s, "end": e} for s, e in zip(*map(np.ndarray.tolist, runs_from(mask)), strict=True)]
                     text = text[~mask]
-                out.append({"doc_id": int(block.ids[i]) if block.ids[i] != NULL_ID else None, "n_bytes": int(b - a), "n_removed": int(mask.sum()), "spans": spans, "kept": text.tobytes()})
+                out.append({"doc_id": None if block.no_id[i] else int(block.ids[i]), "n_bytes": int(b - a), "n_removed": int(mask.sum()), "spans": spans, "kept": text.tobytes()})
                 if len(out) == 200:
                     yield pa.RecordBatch.from_pylist(out, schema=_OUT)
                     out = []

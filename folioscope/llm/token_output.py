@@ -3,12 +3,14 @@
 File format (one shard per file, documents in ascending doc_id order):
 
     frame 0 .. n-1   ids of one document as little-endian unsigned 32-bit integers, an independent zstd frame
-    frame n          the doc_ids of the shard as little-endian signed 64-bit integers, an independent zstd frame
+    frame n          the doc_ids of the shard as little-endian signed 64-bit integers, then one byte each, 1 where the
+                     doc_id is null; an independent zstd frame
     skippable frame  zstd seekable-format seek table: per frame compressed size, decompressed size and the low 32
                      bits of the XXH64 of the decompressed bytes; then number of frames, descriptor, magic number
 
 A reader takes the last 9 bytes, then the table, then the index frame, then the frames it wants: four range reads
-for one document.  Shards are written by Spark's own text writer, one row per file: the row is the shard up to the
+for one document.  ``token_output`` leaves the first and last doc_id of every file in ``_ranges`` beside the files, so that
+``fetch`` opens only the files that can hold what it looks for.  Shards are written by Spark's own text writer, one row per file: the row is the shard up to the
 seek table's magic number, and that number is the writer's line separator.  So files go to any file system that
 Spark reaches, with its commit protocol, and no task writes beside it.
 
@@ -17,6 +19,7 @@ Scale: one range shuffle of texts by doc_id; a worker holds one shard (``SHARD_B
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
 
@@ -27,9 +30,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import NULL_ID, new_path, shuffle_width, small_batches, written
+from folioscope.llm.common import NULL_ID, new_path, shuffle_width, find_package, written
 
 SHARD_BYTES = 16 << 20
+RANGES = "_ranges"
 #: Pieces a worker remembers; beyond that it starts anew, which changes speed only.
 CACHE_PIECES = 600_000
 #: zstd seekable format: skippable-frame magic, seekable magic, descriptor with the checksum flag.
@@ -115,10 +119,17 @@ class Encoder:
         return out
 
 
-def shard(ids: list[int], docs: list[bytes]) -> bytes:
+@functools.lru_cache(maxsize=2)
+def coder(path: str) -> Encoder:
+    """One per worker process: what a task has learned serves the next ones."""
+    return Encoder(path)
+
+
+def shard(ids: list[int | None], docs: list[bytes]) -> bytes:
     """A shard's bytes without the last four, which are the seekable magic number."""
     zstd, out, table = zstandard.ZstdCompressor(level=1, write_content_size=True), [], []
-    for raw in [*docs, np.array(ids, "<i8").tobytes()]:
+    index = np.array([NULL_ID if i is None else i for i in ids], "<i8").tobytes() + bytes(i is None for i in ids)
+    for raw in [*docs, index]:
         frame = zstd.compress(raw)
         out.append(frame)
         table.append(struct.pack("<III", len(frame), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF))
@@ -135,7 +146,8 @@ class Shard:
             raise ValueError("no seek table with checksums")
         self.read, self.table = read, np.frombuffer(read(size - 9 - 12 * n, 12 * n), "<u4").reshape(n, 3)
         self.at = np.concatenate([[0], np.cumsum(self.table[:, 0].astype(np.int64))])
-        self.ids = np.frombuffer(self.frame(n - 1), "<i8")
+        index, n = self.frame(n - 1), n - 1
+        self.ids, self.no_id = np.frombuffer(index, "<i8", n), np.frombuffer(index, bool, n, 8 * n)
 
     @classmethod
     def of(cls, raw: bytes) -> Shard:
@@ -150,24 +162,24 @@ class Shard:
 
     def document(self, doc_id: int) -> np.ndarray:
         k = int(np.searchsorted(self.ids, doc_id))
-        if k == len(self.ids) or self.ids[k] != doc_id:
+        if k == len(self.ids) or self.ids[k] != doc_id or self.no_id[k]:
             raise KeyError(doc_id)
         return np.frombuffer(self.frame(k), "<u4")
 
 
 def _writer(path: str, end_id: int, shard_bytes: int):
     def run(batches):
-        coder, end = Encoder(path), np.array([end_id], "<u4").tobytes()
+        encode, end = coder(path).encode, np.array([end_id], "<u4").tobytes()
         ids, docs, size = [], [], 0
 
         def full():
             return pa.RecordBatch.from_arrays([pa.array([shard(ids, docs)], pa.binary())], names=["shard"])
 
         for batch in batches:
-            keys = batch.column(0).fill_null(int(NULL_ID)).to_pylist()
+            keys = batch.column(0).to_pylist()
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for k in range(0, len(texts), 100):
-                for key, raw in zip(keys[k : k + 100], coder.encode(texts[k : k + 100]), strict=True):
+                for key, raw in zip(keys[k : k + 100], encode(texts[k : k + 100]), strict=True):
                     ids.append(key)
                     docs.append(raw + end)
                     size += len(raw) // 2
@@ -184,9 +196,9 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """Writes all documents' ids, each with end_id after it, as shards in ascending doc_id order.
 
     Null text is empty: the document is the end id alone.  Rows that repeat a doc_id are documents of their own,
-    ordered by text.  A null doc_id comes last and reads as 2^63 - 1.  An empty table gives no shard.
+    ordered by text.  A null doc_id comes last and reads back as null.  An empty table gives no shard.
     """
-    small_batches(docs.sparkSession)
+    find_package(docs.sparkSession)
     two = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
     dealt = two.repartitionByRange(shuffle_width(docs.sparkSession), *order).sortWithinPartitions(*order, "text")
@@ -204,29 +216,41 @@ def read_index(spark: SparkSession, path: str, digest: bool = True) -> DataFrame
                 s = Shard.of(raw)
                 n = len(s.ids)
                 crc = [zlib.crc32(s.frame(i)) if digest else None for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(range(n), pa.int64()), pa.array(s.ids), pa.array((s.table[:n, 1] // 4).astype(np.int64)), pa.array(crc, pa.int64())], names=["file", "at", "doc_id", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(range(n), pa.int64()), pa.array(s.ids, mask=s.no_id), pa.array((s.table[:n, 1] // 4).astype(np.int64)), pa.array(crc, pa.int64())], names=["file", "at", "doc_id", "n_tokens", "ids_crc32"])
 
-    small_batches(spark, 1)
+    find_package(spark)
     files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
     return files.mapInArrow(run, "file string, at long, doc_id long, n_tokens long, ids_crc32 long")
 
 
 def fetch(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
-    """doc_id and ids of some documents; only their frames are decompressed."""
+    """doc_id and ids of some documents; only files whose range can hold them are read, only their frames decompressed."""
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
                 s = Shard.of(batch.column(1)[k].as_py())
-                hit = np.flatnonzero(np.isin(s.ids, doc_ids))
+                hit = np.flatnonzero(np.isin(s.ids, doc_ids) & ~s.no_id)
                 if len(hit):
                     yield pa.RecordBatch.from_pylist([{"doc_id": int(s.ids[i]), "ids": np.frombuffer(s.frame(i), "<u4").astype(np.int64).tolist()} for i in hit], schema=pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int64()))]))
 
-    small_batches(spark, 1)
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    find_package(spark)
+    ranges, paths = f"{path}/{RANGES}", path
+    if _exists(spark, ranges):
+        want = spark.createDataFrame([(i,) for i in doc_ids], "want long")
+        found = spark.read.parquet(ranges).join(want, (F.col("want") >= F.col("low")) & (F.col("want") <= F.col("high"))).select("file").distinct()
+        paths = [f"{path}/{r['file']}" for r in found.collect()]  # at most a few files per wanted document
+    if not paths:
+        return spark.createDataFrame([], "doc_id long, ids array<long>")
+    files = spark.read.format("binaryFile").load(paths).select("path", "content")
     return files.mapInArrow(run, "doc_id long, ids array<long>")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def token_output(docs: DataFrame, path: str | None = None, **kw) -> DataFrame:
     """Writes the documents, reads the files back, and gives doc_id, start, n_tokens, ids_crc32, file, at.
 
@@ -237,10 +261,10 @@ def token_output(docs: DataFrame, path: str | None = None, **kw) -> DataFrame:
     path = path or new_path(spark, "tokens")
     write_tokens(docs, path, **kw)
     index = written(read_index(spark, path), "index")  # small, and the files are then decoded once
+    index.groupBy("file").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).write.parquet(f"{path}/{RANGES}")
     files = index.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     files = files.select("file", (F.sum("n").over(before) - F.col("n")).alias("base"))
     inside = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = index.join(files, "file").withColumn("start", F.col("base") + F.sum("n_tokens").over(inside) - F.col("n_tokens"))
-    doc_id = F.when(F.col("doc_id") < F.lit(int(NULL_ID)), F.col("doc_id"))
-    return out.select(doc_id.alias("doc_id"), "start", "n_tokens", "ids_crc32", "file", "at")
+    return out.select("doc_id", "start", "n_tokens", "ids_crc32", "file", "at")
