@@ -7,15 +7,15 @@ A state's distribution is smoothed with its parent's (Witten-Bell): (c(s,w) + T(
 different next words.  A word is scored in the longest suffix state of what precedes it; a document begins with a
 mark of its own and ends with one end token.
 
-Texts are tokenised once, to packed word numbers.  One block exchange counts words, then one for each depth counts
-(context, next word); depths are added while contexts stay frequent, ``depth`` at most.  A block knows how often its
-contexts occur from the depth before, so contexts under ``MIN_COUNT`` don't travel.  It sends each distinct entry once,
-held-out ones with count 0, and gets back its count and its log probability.
-
-Hot contexts: one above ``HOT`` occurrences (or 2^-20 of all tokens, where that is more) is split by next word over as
-many salts as it takes.  Its buckets count pairs and give partial totals, different words and divergence, which Spark adds
-up; the sums of at most 2^20 hot contexts (32 bytes each) are broadcast, and blocks finish those entries themselves.
-So the tree grows with the input, nothing else of it is broadcast or collected, and no bucket holds more than its share.
+Texts are tokenised once, to packed word numbers.  One block exchange counts words, then each depth takes two: pairs of
+(context, next word) come back with their counts, then contexts with their number of different next words and whether
+they are states.  For those a block adds up over its occurrences of a context 1 / c(s,w), which over all blocks gives
+T(s), and log c(s,w) / P(w|parent), which gives the divergence; c(s) it knows from the depth before.  The second exchange
+of one depth goes with the first of the next.  Depths are added while contexts stay frequent, ``depth`` at most.
+
+Contexts under ``MIN_COUNT`` don't travel; any other word, pair or context has one entry per block at most (held-out ones
+with count 0), whatever its next words, so hot contexts are not gathered anywhere.  Nothing of the tree is broadcast or
+collected; it grows with the input.
 """
 
 from __future__ import annotations
@@ -28,8 +28,6 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import Block, block_of, dec, drop, enc, exchange, listed, lower_ascii, mix, n_buckets, pack, rows_of, split_sorted, word_hashes, word_spans, written
 
 MIN_COUNT, DEPTH = 4, 3
-#: Occurrences from which a context is split; more than 2^20 contexts never are.
-HOT, MAX_HOT = 1 << 16, 1 << 20
 START, END = np.uint64(1), np.uint64(2)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _TOTALS = -1  # stands for no block: a bucket's totals
@@ -39,9 +37,11 @@ class Tokens:
     """Words of a block's documents, each with its end token."""
 
     def __init__(self, row: dict) -> None:
-        self.ids, no_id, held, self.count, keys, slot = dec(row["tokens"])
+        self.ids, no_id, held, self.count, keys, rank, slot = dec(row["tokens"])
+        by_rank = np.empty(len(rank), np.int64)
+        by_rank[rank] = np.arange(len(rank))
         self.no_id, self.held = no_id.astype(bool), held.astype(bool)
-        self.keys, self.slot = np.cumsum(keys, dtype=np.uint64), slot.astype(np.int64)
+        self.keys, self.slot = np.cumsum(keys, dtype=np.uint64), by_rank[slot]
         self.word = self.keys[self.slot]
         self.first = np.concatenate([[0], np.cumsum(self.count, dtype=np.int64)])
         self.train = np.repeat(~self.held, self.count)
@@ -71,164 +71,164 @@ def _tokenize(batches):
         count = np.bincount(doc, minlength=len(block.ids)) + 1
         word = np.full(count.sum(), END, np.uint64)
         word[np.arange(len(words)) + doc] = words  # one end token per document before
-        keys, slot = np.unique(word, return_inverse=True)
+        keys, slot, often = np.unique(word, return_inverse=True, return_counts=True)
+        rank = np.empty(len(keys), np.int64)  # frequent words get small numbers, which pack better
+        rank[np.argsort(-often)] = np.arange(len(keys))
         held = block.data[block.offs[:-1]] != 49
-        tokens = enc(block.ids, block.no_id.astype(np.uint8), held.astype(np.uint8), count.astype(np.uint32), np.diff(keys, prepend=np.uint64(0)), slot.astype(np.uint16 if len(keys) < 65536 else np.uint32))
+        tokens = enc(block.ids, block.no_id.astype(np.uint8), held.astype(np.uint8), count.astype(np.uint32), np.diff(keys, prepend=np.uint64(0)), _small(rank), _small(rank[slot]))
         yield pa.RecordBatch.from_arrays([pa.array([row["block_id"]]), pa.array([row["raw"]]), pa.array([tokens], pa.binary())], names=["block_id", "raw", "tokens"])
 
 
-def _answers(back, cut: np.ndarray, *kinds) -> list[np.ndarray]:
+def _answers(back, cut: np.ndarray, first: int, *kinds) -> list[np.ndarray]:
+    """What the buckets from `first` on gave for the entries that `cut` deals to them."""
     out = [np.zeros(cut[-1], k) for k in kinds]
     for x in back or []:
-        a, b = cut[x["bucket"]], cut[x["bucket"] + 1]
-        for o, v in zip(out, dec(x["payload"]), strict=True):
-            o[a:b] = v
+        k = x["bucket"] - first
+        if 0 <= k < len(cut) - 1:
+            for o, v in zip(out, dec(x["payload"]), strict=True):
+                o[cut[k] : cut[k + 1]] = v
     return out
 
 
+def _sent(keys: np.ndarray, cut: np.ndarray, first: int, *columns):
+    for k in range(len(cut) - 1):
+        a, b = cut[k], cut[k + 1]
+        if a < b:
+            yield first + k, enc(np.diff(keys[a:b], prepend=np.uint64(0)), *(c[a:b] for c in columns))
+
+
 def _small(x: np.ndarray) -> np.ndarray:
     top = int(x.max()) if len(x) else 0
     return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.int64)
 
 
+def _slots(got):
+    """The messages, and for every entry the number of its key among all of a bucket's."""
+    parts = [dec(p) for _, p in got]
+    keys = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
+    order = np.argsort(keys)
+    k = keys[order]
+    slot = np.empty(len(k), np.int64)
+    slot[order] = np.cumsum(np.concatenate([[True], k[1:] != k[:-1]])) - 1
+    return parts, slot
+
+
+def _back(got, parts, slot, *columns):
+    at = 0
+    for (block_id, _), p in zip(got, parts, strict=True):
+        k = slot[at : at + len(p[0])]
+        yield block_id, enc(*(c[k] for c in columns))
+        at += len(p[0])
+
+
+def _counts(got):
+    parts, slot = _slots(got)
+    n = np.bincount(slot, np.concatenate([p[1] for p in parts]).astype(np.float64)).astype(np.int64)
+    return parts, slot, n
+
+
 def _words(buckets: int):
     def emit(row):
         t = Tokens(row)
-        count, cut = _small(np.bincount(t.slot, t.train, len(t.keys)).astype(np.int64)), split_sorted(t.keys, buckets)
-        for k in range(buckets):
-            a, b = cut[k], cut[k + 1]
-            if a < b:
-                yield k, enc(np.diff(t.keys[a:b], prepend=np.uint64(0)), count[a:b])
+        count = _small(np.bincount(t.slot, t.train, len(t.keys)).astype(np.int64))
+        yield from _sent(t.keys, split_sorted(t.keys, buckets), 0, count)
 
     def total(bucket, got):
-        parts = [dec(p) for _, p in got]
-        keys = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
-        _, slot = np.unique(keys, return_inverse=True)
-        counts = np.bincount(slot, np.concatenate([p[1] for p in parts]).astype(np.float64)).astype(np.int64)
-        at = 0
-        for (block_id, _), p in zip(got, parts, strict=True):
-            yield block_id, enc(_small(counts[slot[at : at + len(p[0])]]))
-            at += len(p[0])
-        yield _TOTALS, enc(np.array([counts.sum(), (counts > 0).sum()], np.int64))
+        parts, slot, n = _counts(got)
+        yield from _back(got, parts, slot, _small(n))
+        yield _TOTALS, enc(np.array([n.sum(), (n > 0).sum()], np.int64))
 
     return emit, total
 
 
+def _tree(buckets: int):
+    """Buckets below `buckets` count pairs, those above judge contexts."""
+
+    def reduce(bucket, got):
+        if bucket < buckets:
+            parts, slot, n = _counts(got)
+            yield from _back(got, parts, slot, _small(n))
+            return
+        parts, slot = _slots(got)
+        kinds, gain = (np.bincount(slot, np.concatenate([p[k] for p in parts])) for k in (1, 2))
+        kinds = np.rint(kinds)
+        yield from _back(got, parts, slot, _small(kinds.astype(np.int64)), (gain >= kinds).astype(np.uint8))
+
+    return reduce
+
+
 class Level:
-    """Distinct entries (context, next word) of one depth in order of their buckets; at: entry of each used token."""
+    """Distinct entries (context, next word) of one depth, sorted by hash; at: entry of each used token."""
 
-    def __init__(self, t: Tokens, ctx: np.ndarray, size: np.ndarray, use: np.ndarray, hot: int, buckets: int) -> None:
-        pair = mix(ctx[use] * _STEP ^ mix(t.word[use]))
+    def __init__(self, t: Tokens, ctx: np.ndarray, use: np.ndarray, buckets: int) -> None:
+        pair = mix(ctx[use] * _STEP ^ t.mixed[use])
         order = np.argsort(pair)
         p = pair[order]
         new = np.concatenate([[True], p[1:] != p[:-1]]) if len(p) else np.zeros(0, bool)
-        token, pair = use[order[new]], p[new]
-        ctx, salts = ctx[token], -(-size[token] // hot)
-        key, hot = ctx.copy(), salts > 1
-        key[hot] = mix(ctx[hot] + (mix(pair[hot] ^ _STEP) % salts[hot].astype(np.uint64) + np.uint64(1)) * _STEP)
-        by_key = np.argsort(key)
-        place = np.empty(len(key), np.int64)
-        place[by_key] = np.arange(len(key))
-        self.use, self.at = use, np.empty(len(use), np.int64)
-        self.at[order] = place[np.cumsum(new) - 1]
-        self.key, self.pair, self.token, self.ctx, self.hot = key[by_key], pair[by_key], token[by_key], ctx[by_key], hot[by_key]
-        self.count = _small(np.bincount(self.at, t.train[use], len(key)).astype(np.int64))
-        self.cut = split_sorted(self.key, buckets)
-
-    def send(self, up: np.ndarray):
-        """Entries, their parents' log probabilities, and which of their keys stand for a salt of which hot context."""
-        up = up[self.token].astype(np.float32)
-        for k in range(len(self.cut) - 1):
-            a, b = self.cut[k], self.cut[k + 1]
-            if a < b:
-                key, hot = self.key[a:b], np.flatnonzero(self.hot[a:b])
-                hot = hot[np.unique(key[hot], return_index=True)[1]]
-                yield k, enc(np.diff(key, prepend=np.uint64(0)), self.pair[a:b], self.count[a:b], up[a:b], key[hot], self.ctx[a:b][hot])
+        self.use, self.at, self.pair, self.token = use, np.empty(len(use), np.int64), p[new], use[order[new]]
+        self.at[order] = np.cumsum(new) - 1
+        self.count = np.bincount(self.at, t.train[use], len(self.pair)).astype(np.int64)
+        self.cut = split_sorted(self.pair, buckets)
+        self.ctx, self.buckets = ctx[self.token], buckets
+
+    def contexts(self) -> None:
+        self.keys, self.of = np.unique(self.ctx, return_inverse=True)
+        self.ctx_cut = split_sorted(self.keys, self.buckets)
 
 
 class Scores:
-    """Log10 probabilities of a block's tokens as far as the answers go, and what the next depth asks."""
+    """Log10 probabilities of a block's tokens as far as the answers of `passes` exchanges go, and what the next one asks.
 
-    def __init__(self, row: dict, total: tuple[int, int], sums: list, hot: int, buckets: int, ask: bool) -> None:
-        self.t = t = Tokens(row)
-        (count,) = _answers(row["a0"], split_sorted(t.keys, buckets), np.int64)
+    Exchange k answers the pairs of depth k and the contexts of depth k - 1.
+    """
+
+    def __init__(self, row: dict, total: tuple[int, int], passes: int, depth: int, buckets: int, ask: bool) -> None:
+        self.t, self.buckets = Tokens(row), buckets
+        t = self.t
+        (count,) = _answers(row["a0"], split_sorted(t.keys, buckets), 0, np.int64)
         self.known = count[t.slot] > 0
         self.base = np.log10((count + 1) / (total[0] + total[1] + 1))[t.slot]
-        self.p = self.base.copy()
-        at = int(np.searchsorted(t.keys, END))  # every document has one end token
-        size, ctx = np.concatenate([[0], count[t.slot][:-1]]), np.full(len(t.word), _STEP)
-        size[t.first[:-1]] = count[at]
-        for depth in range(1, len(sums) + 1 + ask):
-            ctx = mix(ctx * _STEP + t.back(depth))
-            self.level = lv = Level(t, ctx, size, np.flatnonzero((size >= MIN_COUNT) & (t.nth >= depth - 1)), hot, buckets)
-            if depth > len(sums):
+        self.p, self.pairs, self.open = self.base.copy(), None, None
+        t.mixed = mix(t.keys)[t.slot]
+        size = np.concatenate([[0], count[t.slot][:-1]])
+        size[t.first[:-1]] = count[np.searchsorted(t.keys, END)]  # every document has one end token
+        ctx = np.full(len(t.word), _STEP)
+        for k in range(1, min(depth, passes if ask else passes - 1) + 1 + (ask and passes < depth)):
+            ctx = mix(ctx * _STEP + t.back(k))
+            lv = Level(t, ctx, np.flatnonzero((size >= MIN_COUNT) & (t.nth >= k - 1)), buckets)
+            if k > passes:
+                self.pairs = lv
                 break
-            n, p = _answers(row[f"a{depth}"], lv.cut, np.int64, np.float32)
-            p = p.astype(np.float64)
-            far = np.flatnonzero(lv.hot)
-            if len(far):
-                keys, totals, kinds, keep = sums[depth - 1].value
-                s, up = np.searchsorted(keys, lv.ctx[far]), self.p[lv.token[far]].astype(np.float32).astype(np.float64)
-                p[far] = np.where(keep[s], np.log10((n[far] + kinds[s] * 10**up) / (totals[s] + kinds[s])), up).astype(np.float32)
-            self.p[lv.use] = p[lv.at]
+            (n,) = _answers(row[f"a{k}"], lv.cut, 0, np.int64)
+            lv.contexts()
+            if k == passes:
+                self.open = lv, n, size[lv.token]
+            else:
+                kinds, keep = _answers(row[f"a{k + 1}"], lv.ctx_cut, buckets, np.int64, np.uint8)
+                up, kinds = self.p[lv.token], kinds[lv.of]
+                p = np.log10((n + kinds * 10**up) / (size[lv.token] + kinds))
+                self.p[lv.use] = np.where(keep[lv.of], p, up)[lv.at]
             size = np.zeros(len(t.word), np.int64)  # the next context ends with this token: its count is this pair's
             size[lv.use] = n[lv.at]
             size = np.concatenate([[0], size[:-1]])
             size[t.first[:-1]] = 0
 
+    def send(self):
+        if self.open:
+            lv, n, size = self.open
+            on = lv.count > 0
+            each = lv.count[on] / n[on]
+            gain = lv.count[on] * (np.log(n[on]) - np.log(size[on]) - self.p[lv.token[on]] * np.log(10))
+            kinds, gain = (np.bincount(lv.of[on], x, len(lv.keys)) for x in (each, gain))
+            yield from _sent(lv.keys, lv.ctx_cut, self.buckets, kinds, gain)
+        if self.pairs:
+            yield from _sent(self.pairs.pair, self.pairs.cut, 0, _small(self.pairs.count))
 
-def _state(bucket, got):
-    """Counts a bucket's pairs, tests and smooths its contexts; hot ones give partial sums."""
-    parts = [dec(p) for _, p in got]
-    key = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
-    pair, count, up = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
-    hot, first = np.unique(np.concatenate([p[4] for p in parts]), return_index=True)
-    hot_ctx = np.concatenate([p[5] for p in parts])[first]
-    order = np.argsort(pair)
-    p = pair[order]
-    new = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-    slot = np.empty(len(pair), np.int64)
-    slot[order] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(p))))
-    n = np.bincount(slot, count.astype(np.float64))
-    up, key = up[order[new]].astype(np.float64), key[order[new]]
-    keys, owner = np.unique(key, return_inverse=True)
-    total, kinds = np.bincount(owner, n), np.bincount(owner, n > 0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = np.bincount(owner, np.where(n > 0, n * (np.log(n) - up * np.log(10)), 0))  # less total * log(total)
-        p = np.log10((n + kinds[owner] * 10**up) / (total + kinds)[owner])
-        keep = (total >= MIN_COUNT) & (gain - total * np.log(total) >= kinds)
-    p = np.where(keep[owner], p, up).astype(np.float32)
-    at, n = 0, n.astype(np.int64)
-    for (block_id, _), x in zip(got, parts, strict=True):
-        s = slot[at : at + len(x[0])]
-        yield block_id, enc(_small(n[s]), p[s])
-        at += len(x[0])
-    if len(hot):
-        k = np.searchsorted(keys, hot)
-        yield _TOTALS, enc(hot_ctx, total[k], kinds[k].astype(np.float64), gain[k])
-
-
-def _partial(batches):
-    for batch in batches:
-        for payload in batch.column(0).to_pylist():
-            ctx, *sums = dec(payload)
-            yield pa.RecordBatch.from_arrays([pa.array(ctx.view(np.int64)), *map(pa.array, sums)], names=["ctx", "total", "kinds", "gain"])
-
-
-def _hot_sums(answers: DataFrame) -> tuple:
-    """Sorted contexts, their totals, different words and whether they are states; MAX_HOT rows at most."""
-    rows = answers.where(F.col("block_id") == _TOTALS).select("payload").mapInArrow(_partial, "ctx long, total double, kinds double, gain double")
-    sums = rows.groupBy("ctx").agg(F.sum("total"), F.sum("kinds"), F.sum(F.col("gain").cast("decimal(30,6)")).cast("double"))
-    got = sorted((r[0] & ((1 << 64) - 1), *r[1:]) for r in sums.collect())
-    total, kinds, gain = (np.array([r[k] for r in got], np.float64) for k in (1, 2, 3))
-    keep = (total >= MIN_COUNT) & (gain - total * np.log(np.maximum(total, 1)) >= kinds)
-    return np.array([r[0] for r in got], np.uint64), total, kinds, keep
-
-
-def _finish(total: tuple[int, int], sums: list, hot: int, buckets: int):
+
+def _finish(total: tuple[int, int], passes: int, depth: int, buckets: int):
     def run(batches):
         for row in rows_of(batches):
-            s = Scores(row, total, sums, hot, buckets, False)
+            s = Scores(row, total, passes, depth, buckets, False)
             t, at = s.t, s.t.first[:-1]
             cols = [pa.array(t.ids, mask=t.no_id), pa.array(t.held)]
             cols += [pa.array(np.add.reduceat(x, at)) for x in (np.ones(len(s.p), np.int64), s.known.astype(np.int64))]
@@ -238,7 +238,7 @@ def _finish(total: tuple[int, int], sums: list, hot: int, buckets: int):
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_col: str = "held_out", depth: int = DEPTH, hot: int = HOT) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_col: str = "held_out", depth: int = DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; learns where held_col is not true.
 
     Tokens: words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z, then one end.  base_score: sum of
@@ -246,7 +246,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
     empty: the end token alone.  A null held_col means training.  Rows that repeat an id or a text all count.  With no
     training row N and V are 0.  An empty table gives an empty result; other columns don't take part.
     """
-    spark = docs.sparkSession
     flag = F.when(F.col(f"`{held_col}`"), F.lit("0")).otherwise(F.lit("1"))
     flagged = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.concat(flag, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("text"))
     blocks = pack(flagged)
@@ -263,27 +262,22 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
 
     row = answers[0].where(F.col("block_id") == _TOTALS).select("payload").mapInArrow(totals, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
     total = (row[0] or 0, row[1] or 0)
-    hot, sums = max(hot, -(-total[0] // MAX_HOT)), []
 
     def have() -> DataFrame:
-        out = tokens
         lists = None
         for k, a in enumerate(answers):
             got = listed(a.where(F.col("block_id") != _TOTALS), f"a{k}")
             lists = got if lists is None else lists.join(got, "block_id", "left")  # every block has words
-        return out.join(lists, "block_id", "left")
+        return tokens.join(lists, "block_id", "left")
 
-    for k in range(1, depth + 1):
-        known = list(sums)
+    for k in range(1, depth + 2):
 
-        def ask(row, known=known):
-            s = Scores(row, total, known, hot, buckets, True)
-            yield from s.level.send(s.p)
+        def ask(row, passes=k - 1):
+            yield from Scores(row, total, passes, depth, buckets, True).send()
 
-        found = written(exchange(have(), ask, _state, buckets), f"depth-{k}", "uncompressed")
+        found = written(exchange(have(), ask, _tree(buckets), buckets), f"depth-{k}", "uncompressed")
         if found.isEmpty():  # no context is frequent any more
             break
         answers.append(found)
-        sums.append(spark.sparkContext.broadcast(_hot_sums(found)))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return have().mapInArrow(_finish(total, sums, hot, buckets), schema)
+    return have().mapInArrow(_finish(total, len(answers) - 1, depth, buckets), schema)
