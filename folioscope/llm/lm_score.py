@@ -30,6 +30,7 @@ from folioscope.llm.common import Block, block_of, dec, drop, enc, exchange, lis
 MIN_COUNT, DEPTH = 4, 3
 START, END = np.uint64(1), np.uint64(2)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
+_LN10 = np.log(10)
 _TOTALS = -1  # stands for no block: a bucket's totals
 
 
@@ -150,7 +151,7 @@ def _tree(buckets: int):
             yield from _back(got, parts, slot, _small(n))
             return
         parts, slot = _slots(got)
-        kinds, gain = (np.bincount(slot, np.concatenate([p[k] for p in parts])) for k in (1, 2))
+        kinds, gain = (np.bincount(slot, np.concatenate([p[k] for p in parts]).astype(np.float64)) for k in (1, 2))
         kinds = np.rint(kinds)
         yield from _back(got, parts, slot, _small(kinds.astype(np.int64)), (gain >= kinds).astype(np.uint8))
 
@@ -165,19 +166,23 @@ class Level:
         order = np.argsort(pair)
         p = pair[order]
         new = np.concatenate([[True], p[1:] != p[:-1]]) if len(p) else np.zeros(0, bool)
-        self.use, self.at, self.pair, self.token = use, np.empty(len(use), np.int64), p[new], use[order[new]]
-        self.at[order] = np.cumsum(new) - 1
+        self.use, self.at, self.pair, self.token = use, np.empty(len(use), np.int32), p[new], use[order[new]]
+        self.at[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
         self.count = np.bincount(self.at, t.train[use], len(self.pair)).astype(np.int64)
         self.cut = split_sorted(self.pair, buckets)
         self.ctx, self.buckets = ctx[self.token], buckets
 
     def contexts(self) -> None:
-        self.keys, self.of = np.unique(self.ctx, return_inverse=True)
+        order = np.argsort(self.ctx)
+        c = self.ctx[order]
+        new = np.concatenate([[True], c[1:] != c[:-1]]) if len(c) else np.zeros(0, bool)
+        self.keys, self.of = c[new], np.empty(len(c), np.int32)
+        self.of[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
         self.ctx_cut = split_sorted(self.keys, self.buckets)
 
 
 class Scores:
-    """Log10 probabilities of a block's tokens as far as the answers of `passes` exchanges go, and what the next one asks.
+    """Natural log probabilities of a block's tokens as far as the answers of `passes` exchanges go, and what the next one asks.
 
     Exchange k answers the pairs of depth k and the contexts of depth k - 1.
     """
@@ -187,7 +192,7 @@ class Scores:
         t = self.t
         (count,) = _answers(row["a0"], split_sorted(t.keys, buckets), 0, np.int64)
         self.known = count[t.slot] > 0
-        self.base = np.log10((count + 1) / (total[0] + total[1] + 1))[t.slot]
+        self.base = (np.log(count + 1) - np.log(total[0] + total[1] + 1))[t.slot]
         self.p, self.pairs, self.open = self.base.copy(), None, None
         t.mixed = mix(t.keys)[t.slot]
         size = np.concatenate([[0], count[t.slot][:-1]])
@@ -206,8 +211,10 @@ class Scores:
             else:
                 kinds, keep = _answers(row[f"a{k + 1}"], lv.ctx_cut, buckets, np.int64, np.uint8)
                 up, kinds = self.p[lv.token], kinds[lv.of]
-                p = np.log10((n + kinds * 10**up) / (size[lv.token] + kinds))
-                self.p[lv.use] = np.where(keep[lv.of], p, up)[lv.at]
+                on = np.flatnonzero(keep[lv.of])
+                kinds = kinds[on]
+                up[on] = np.log((n[on] + kinds * np.exp(up[on])) / (size[lv.token[on]] + kinds))
+                self.p[lv.use] = up[lv.at]
             size = np.zeros(len(t.word), np.int64)  # the next context ends with this token: its count is this pair's
             size[lv.use] = n[lv.at]
             size = np.concatenate([[0], size[:-1]])
@@ -218,9 +225,9 @@ class Scores:
             lv, n, size = self.open
             on = lv.count > 0
             each = lv.count[on] / n[on]
-            gain = lv.count[on] * (np.log(n[on]) - np.log(size[on]) - self.p[lv.token[on]] * np.log(10))
+            gain = lv.count[on] * (np.log(n[on]) - np.log(size[on]) - self.p[lv.token[on]])
             kinds, gain = (np.bincount(lv.of[on], x, len(lv.keys)) for x in (each, gain))
-            yield from _sent(lv.keys, lv.ctx_cut, self.buckets, kinds, gain)
+            yield from _sent(lv.keys, lv.ctx_cut, self.buckets, kinds, gain.astype(np.float32))
         if self.pairs:
             yield from _sent(self.pairs.pair, self.pairs.cut, 0, _small(self.pairs.count))
 
@@ -232,7 +239,7 @@ def _finish(total: tuple[int, int], passes: int, depth: int, buckets: int):
             t, at = s.t, s.t.first[:-1]
             cols = [pa.array(t.ids, mask=t.no_id), pa.array(t.held)]
             cols += [pa.array(np.add.reduceat(x, at)) for x in (np.ones(len(s.p), np.int64), s.known.astype(np.int64))]
-            cols += [pa.array(np.full(len(at), total[0], np.int64)), pa.array(np.add.reduceat(s.base, at)), pa.array(np.add.reduceat(s.p, at))]
+            cols += [pa.array(np.full(len(at), total[0], np.int64)), pa.array(np.add.reduceat(s.base, at) / _LN10), pa.array(np.add.reduceat(s.p, at) / _LN10)]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
