@@ -224,6 +224,22 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return h
 
 
+def same_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rep: np.ndarray) -> bool:
+    """Whether every word has the bytes of the word that stands for it."""
+    n, other = ends - starts, starts[rep]
+    if not np.array_equal(n, n[rep]):
+        return False
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    more, k = np.flatnonzero((n > 0) & (starts != other)), 0
+    while len(more) and k < LONG_WORD:
+        if np.any((eight[starts[more] + k] ^ eight[other[more] + k]) & _KEEP[np.minimum(n[more] - k, 8)]):
+            return False
+        k += 8
+        more = more[n[more] > k]
+    return all(np.array_equal(data[starts[i] : ends[i]], data[other[i] : other[i] + n[i]]) for i in more.tolist())
+
+
 # ---------------------------------------------------------------- packed blocks
 
 

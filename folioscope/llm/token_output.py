@@ -20,6 +20,7 @@ Scale: one range shuffle of texts by doc_id; a worker holds one shard (``SHARD_B
 from __future__ import annotations
 
 import functools
+import string
 import struct
 import zlib
 
@@ -30,16 +31,17 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import NULL_ID, new_path, shuffle_width, find_package, written
+from folioscope.llm.common import NULL_ID, find_package, new_path, same_words, shuffle_width, word_hashes, written
 
 SHARD_BYTES = 16 << 20
 RANGES = "_ranges"
-#: Pieces a worker remembers; beyond that it starts anew, which changes speed only.
+#: Pieces a worker remembers before it forgets those it has met only once; changes speed only.
 CACHE_PIECES = 600_000
+#: Text that is cut to pieces at once.
+ENCODE_BYTES = 2 << 20
 #: zstd seekable format: skippable-frame magic, seekable magic, descriptor with the checksum flag.
 SKIP_MAGIC, SEEK_MAGIC, SEEK_FLAGS = 0x184D2A5E, 0x8F92EAB1, 0x80
-#: Punctuation that forms one pre-token after letters (no apostrophe, which may begin a contraction).
-TAIL = '.,;:!?)]}"'
+_LETTERS, _PUNCTUATION = (np.isin(np.arange(256), list(x.encode())) for x in (string.ascii_letters, string.punctuation))
 _TAIL = struct.pack("<I", SEEK_MAGIC)
 
 
@@ -52,10 +54,12 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 class Encoder:
     """Ids of texts with the tokenizers library, as little-endian bytes.
 
-    Byte-level BPE never merges over the border before a single space between two non-spaces, so texts split there
-    and each piece is encoded once per worker.  New pieces of a batch are encoded in one call; each begins with a
-    token that begins with the space.  Texts with other spacing are encoded whole, and so are those that hold an added
-    token's content (``<|endoftext|>``), which the library reads as that token wherever it stands.
+    The tokenizer's pre-tokens never reach over the border before a single space between two non-spaces, around a
+    newline between two of them, or from a letter to punctuation, so texts split there.  Pieces are found, hashed and told
+    apart in numpy (equal hashes are checked byte by byte), and each is encoded once per worker; new ones that begin with
+    the space go to the library in one call, and each begins with a token that begins with the space.  Texts with
+    other spacing are encoded whole, and so are those that hold an added token's content (``<|endoftext|>``), which the
+    library reads as that token wherever it stands.
     """
 
     def __init__(self, path: str) -> None:
@@ -66,57 +70,130 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tk = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tk.get_added_tokens_decoder().values()]
+        self.added = [t.content.encode() for t in self.tk.get_added_tokens_decoder().values()]
         vocab = self.tk.get_vocab()
         self.opens = np.zeros(max(vocab.values()) + 1, bool)
         self.opens[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
         self.ends = re.compile(r"^[\s\u180e]|[\s\u180e]$")
-        self.pieces: dict[str, bytes | None] = {}
-        self.firsts: dict[str, bytes | None] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tk.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, new: list[str]) -> None:
-        """Ids of " " + piece for new pieces; None for those that are empty or have white space at an end."""
-        odd = {p for p in new if not p or self.ends.search(p)}
-        self.pieces.update(dict.fromkeys(odd))
-        # letters with punctuation after them are two pre-tokens: the letters are mostly known
-        stems = {p: m for p in new if p not in odd and (m := p.rstrip(TAIL)) != p and m.isalpha()}
-        new = list({m for m in stems.values() if m not in self.pieces}.union(p for p in new if p not in odd and p not in stems))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            ids = np.array(self.tk.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+        self.keep({}, np.zeros(0, np.int64), np.zeros(0, np.uint32))
+
+    def keep(self, slots: dict[bytes, int], size: np.ndarray, ids: np.ndarray) -> None:
+        """slots: number of each known piece; its ids are pool[at : at + size], size -1 where it can't stand alone."""
+        self.slots = slots
+        self.pool, self.at, self.size, self.used = Growing(np.uint32), Growing(np.int64), Growing(np.int64), Growing(np.int64)
+        self.add(size, ids)
+
+    def add(self, size: np.ndarray, ids: np.ndarray) -> None:
+        real = np.maximum(size, 0)
+        self.at.extend(self.pool.n + np.cumsum(real) - real)
+        self.pool.extend(ids)
+        self.size.extend(size)
+        self.used.extend(np.zeros(len(size), np.int64))
+
+    def gather(self, piece: np.ndarray, size: np.ndarray) -> np.ndarray:
+        ends = np.cumsum(size)
+        return self.pool[np.repeat(self.at[piece] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def forget(self) -> None:
+        """Drops the pieces that came up once only."""
+        often = (self.used.data > 1).tolist()
+        stay = [(k, i) for k, i in self.slots.items() if often[i]]
+        old = np.array([i for _, i in stay], np.int64)
+        size = self.size[old]
+        self.keep({k: i for i, (k, _) in enumerate(stay)}, size, self.gather(old, np.maximum(size, 0)))
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tk.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def learn(self, keys: list[bytes]) -> None:
+        """Ids of new pieces, in groups: what can't stand alone, what has no space before it, what has."""
+        bad, plain, spaced, odd = [], [], [], self.ends.search
+        for k in keys:
+            if k[0] == 32:
+                (bad if len(k) == 1 or odd(k[1:].decode()) else spaced).append(k)
+            else:
+                (bad if k != b"\n" and odd(k.decode()) else plain).append(k)
+        found = [(bad, np.full(len(bad), -1, np.int64), np.zeros(0, np.uint32))]
+        ids = [e.ids for e in self.tk.encode_batch_fast([k.decode() for k in plain], add_special_tokens=False)]
+        found.append((plain, np.array([len(x) for x in ids], np.int64), np.array([i for x in ids for i in x], np.uint32)))
+        for k in range(0, len(spaced), 4096):
+            part = spaced[k : k + 4096]
+            ids = np.array(self.tk.encode_batch_fast([b"".join(part).decode()], add_special_tokens=False)[0].ids, np.uint32)
             cuts = np.append(np.flatnonzero(self.opens[ids]), len(ids))
             if len(cuts) != len(part) + 1:
-                self.pieces.update((p, self.whole(" " + p)) for p in part)
-                continue
-            raw, cuts = ids.tobytes(), (4 * cuts).tolist()
-            self.pieces.update(zip(part, map(raw.__getitem__, map(slice, cuts, cuts[1:])), strict=False))
-        for p, m in stems.items():
-            self.pieces[p] = self.pieces[m] + self.first(p[len(m) :])
-
-    def first(self, piece: str) -> bytes | None:
-        if piece not in self.firsts:
-            self.firsts[piece] = None if not piece or self.ends.search(piece) else self.whole(piece)
-        return self.firsts[piece]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.pieces) > CACHE_PIECES:
-            self.pieces, self.firsts = {}, {}
-        # an empty first piece and no other sends a text to whole()
-        get, cut = self.pieces.get, [[""] if any(a in t for a in self.added) else t.split(" ") for t in texts]
-        found = [list(map(get, c)) for c in cut]
-        known = self.pieces
-        new = {p for c, f in zip(cut, found, strict=True) if None in f for p, x in zip(c[1:], f[1:], strict=True) if x is None and p not in known}
-        self.learn(list(new))
-        out = []
-        for t, c, f in zip(texts, cut, found, strict=True):
-            f[0] = self.first(c[0])
-            if None in f:
-                f[1:] = map(get, c[1:])
-            out.append(b"".join(f) if None not in f else self.whole(t) if t else b"")
-        return out
+                each = [self.whole(p.decode()) for p in part]
+                ids, cuts = np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
+            found.append((part, np.diff(cuts), ids))
+        for part, size, ids in found:
+            first = len(self.slots)
+            self.slots.update(zip(part, range(first, first + len(part)), strict=True))
+            self.add(size, ids)
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text (UTF-8)."""
+        if len(self.slots) > CACHE_PIECES:
+            self.forget()
+        stops = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+        data = np.frombuffer(b"\0" + b"\0".join(texts) + b"\0", np.uint8)
+        mark = np.zeros(len(data), bool)  # the zeros around texts
+        mark[stops] = True
+        line = data == 10
+        begin = (data == 32) | line | mark
+        begin[1:] |= mark[:-1] | line[:-1] | (_LETTERS[data[:-1]] & _PUNCTUATION[data[1:]])
+        starts = np.flatnonzero(begin)
+        ends = np.append(starts[1:], len(data))
+        mark, byte = mark[starts], data[starts]
+        # a newline before a space or newline is a token of its own; two of them, or one at the end, may be one token
+        after = np.append((byte == 32) | (byte == 10) | mark, True)[1:]
+        bare = (byte == 10) & ~mark & after
+        odd = bare & np.append(bare | mark, True)[1:]
+        text = np.searchsorted(stops, starts, "right") - 1
+        odd = np.bincount(text[odd], minlength=len(texts))[: len(texts)] > 0
+        real = np.flatnonzero(~mark)
+        starts, ends, text = starts[real], ends[real], text[real]
+        h = word_hashes(data, starts, ends)
+        order = np.argsort(h)
+        k = h[order]
+        new = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)
+        rep, slot = order[new], np.empty(len(h), np.int64)
+        slot[order] = np.cumsum(new) - 1
+        if not same_words(data, starts, ends, rep[slot]):
+            return [self.whole(t.decode()).astype("<u4").tobytes() for t in texts]
+        raw = data.tobytes()
+        keys = list(map(raw.__getitem__, map(slice, starts[rep].tolist(), ends[rep].tolist())))
+        if missing := [k for k in keys if k not in self.slots]:
+            self.learn(missing)
+        mine = np.fromiter(map(self.slots.__getitem__, keys), np.int64, len(keys))
+        self.used[mine] += np.bincount(slot, minlength=len(keys))
+        piece = mine[slot]
+        size = self.size[piece]
+        odd |= np.bincount(text[size < 0], minlength=len(texts)) > 0
+        for a in self.added:
+            if a in raw:
+                odd |= [a in t for t in texts]
+        size[odd[text]] = 0
+        ids = self.gather(piece, size).astype("<u4").tobytes()
+        cuts = 4 * np.concatenate([[0], np.cumsum(np.bincount(text, size, len(texts)).astype(np.int64))])
+        return [self.whole(t.decode()).astype("<u4").tobytes() if o else ids[a:b] for t, o, a, b in zip(texts, odd.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+
+class Growing:
+    """An array that grows at its end."""
+
+    def __init__(self, kind) -> None:
+        self.n, self.data = 0, np.zeros(1 << 12, kind)
+
+    def extend(self, x: np.ndarray) -> None:
+        if self.n + len(x) > len(self.data):
+            self.data = np.concatenate([self.data[: self.n], np.zeros(self.n + len(x), self.data.dtype)])
+        self.data[self.n : self.n + len(x)] = x
+        self.n += len(x)
+
+    def __getitem__(self, k):
+        return self.data[k]
+
+    def __setitem__(self, k, x) -> None:
+        self.data[k] = x
 
 
 @functools.lru_cache(maxsize=2)
@@ -167,6 +244,18 @@ class Shard:
         return np.frombuffer(self.frame(k), "<u4")
 
 
+def _parts(texts: list[bytes]):
+    """(first, end) of runs of texts of about ENCODE_BYTES."""
+    first, size = 0, 0
+    for k, t in enumerate(texts):
+        size += len(t)
+        if size >= ENCODE_BYTES:
+            yield first, k + 1
+            first, size = k + 1, 0
+    if first < len(texts):
+        yield first, len(texts)
+
+
 def _writer(path: str, end_id: int, shard_bytes: int):
     def run(batches):
         encode, end = coder(path).encode, np.array([end_id], "<u4").tobytes()
@@ -177,9 +266,9 @@ def _writer(path: str, end_id: int, shard_bytes: int):
 
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for k in range(0, len(texts), 100):
-                for key, raw in zip(keys[k : k + 100], encode(texts[k : k + 100]), strict=True):
+            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            for a, b in _parts(texts):
+                for key, raw in zip(keys[a:b], encode(texts[a:b]), strict=True):
                     ids.append(key)
                     docs.append(raw + end)
                     size += len(raw) // 2

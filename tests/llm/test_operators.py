@@ -90,7 +90,7 @@ def test_added_tokens(spark):
     assert want[0] == [437, 220, 50256, 1306] and sum(50256 in w for w in want) == 7
     coder = Encoder(tokenizer_path())
     for order in (texts, texts[::-1]):  # pieces are remembered from text to text
-        assert dict(zip(order, (np.frombuffer(x, "<u4").tolist() for x in coder.encode(order)), strict=True)) == dict(zip(texts, want, strict=True))
+        assert dict(zip(order, (np.frombuffer(x, "<u4").tolist() for x in coder.encode([t.encode() for t in order])), strict=True)) == dict(zip(texts, want, strict=True))
     rows, start = {}, 0
     for i, w in enumerate(want):
         ids = [*w, 2]
@@ -100,6 +100,24 @@ def test_added_tokens(spark):
     assert got(token_output(df), "start", "n_tokens", "ids_crc32") == rows
 
 
+def test_pieces(monkeypatch):
+    """Texts in pieces give what the library gives for whole ones, whatever their spacing and the worker's memory."""
+    from tokenizers import Tokenizer
+
+    from folioscope.llm import token_output as t
+
+    tk, rng = Tokenizer.from_file(t.tokenizer_path()), random.Random(5)
+    parts = ["word", "Ünï", "it's", "'s", "x.", "###", "a1", "12", "…", "日本", "\x00", " ", " ", " ", "\n", "\n", "\n\n", "\t", "\r", "\u00a0", "\u180e", "end.\nNext", "'", "don't,"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(3000)] + ["a\n\nb", "a\n\n b", "a\n b", "a\n\n\nb", "\n", "\na", "a\n", "a \nb", "a\n\tb"]
+    for limit in (t.CACHE_PIECES, 20):
+        monkeypatch.setattr(t, "CACHE_PIECES", limit)
+        coder = t.Encoder(t.tokenizer_path())
+        for at in range(0, len(texts), 10):
+            part = texts[at : at + 10]
+            for x, ids in zip(part, coder.encode([x.encode() for x in part]), strict=True):
+                assert np.frombuffer(ids, "<u4").tolist() == tk.encode(x, add_special_tokens=False).ids, x
+
+
 def test_damaged_shard():
     from folioscope.llm.token_output import Shard, _TAIL, shard
 
