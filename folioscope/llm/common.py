@@ -74,11 +74,11 @@ def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return out
 
 
-def drop(*tables: DataFrame) -> None:
-    """Deletes tables made by written() once nothing reads them any more."""
+def drop(*tables: DataFrame | str) -> None:
+    """Deletes tables made by written(), or at a path, once nothing reads them any more."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._folio_path)
+        spark = SparkSession.active() if isinstance(df, str) else df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df if isinstance(df, str) else df._folio_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -205,7 +205,7 @@ def word_spans(data: np.ndarray, inside: np.ndarray = IN_WORD) -> tuple[np.ndarr
 _KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 _LENGTH = np.uint64(0x9E3779B97F4A7C15)
 #: Words above this many bytes are hashed one by one.
-LONG_WORD = 64
+LONG_WORD = 128
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -353,8 +353,11 @@ def n_buckets(blocks: DataFrame) -> int:
 _SENT_ARROW = pa.schema([("bucket", pa.int32()), ("block_id", pa.int64()), ("payload", pa.binary())])
 
 
-def exchange(blocks: DataFrame, emit, reduce, buckets: int) -> DataFrame:
-    """emit(row) gives (bucket, payload) pairs; reduce(bucket, [(block_id, payload)]) gives (block_id, payload) pairs."""
+def exchange(blocks: DataFrame | None, emit, reduce, more: DataFrame | None = None) -> DataFrame:
+    """emit(row) gives (bucket, payload) pairs; reduce(bucket, [(block_id, payload)]) gives (block_id, payload) pairs.
+
+    more: rows (bucket, block_id, payload) that are there already.
+    """
 
     def send(batches):
         for row in rows_of(batches):
@@ -368,7 +371,10 @@ def exchange(blocks: DataFrame, emit, reduce, buckets: int) -> DataFrame:
         out = list(reduce(bucket, got))
         return pa.Table.from_arrays([pa.array([bucket] * len(out), pa.int32()), pa.array([b for b, _ in out], pa.int64()), pa.array([p for _, p in out], pa.binary())], schema=_SENT_ARROW)
 
-    return blocks.mapInArrow(send, SENT).groupBy("bucket").applyInArrow(gather, SENT)
+    sent = blocks.mapInArrow(send, SENT) if blocks is not None else more
+    if blocks is not None and more is not None:
+        sent = sent.unionByName(more)
+    return sent.groupBy("bucket").applyInArrow(gather, SENT)
 
 
 def listed(answers: DataFrame, name: str) -> DataFrame:

@@ -259,7 +259,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
     tokens = written(blocks.mapInArrow(_tokenize, "block_id long, raw long, tokens binary"), "tokens", "uncompressed")
     drop(blocks)
     buckets = n_buckets(tokens)
-    answers = [written(exchange(tokens, *_words(buckets), buckets), "words", "uncompressed")]
+    answers = [written(exchange(tokens, *_words(buckets)), "words", "uncompressed")]
 
     def totals(batches):
         for batch in batches:
@@ -282,7 +282,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
         def ask(row, passes=k - 1):
             yield from Scores(row, total, passes, depth, buckets, True).send()
 
-        found = written(exchange(have(), ask, _tree(buckets), buckets), f"depth-{k}", "uncompressed")
+        found = written(exchange(have(), ask, _tree(buckets)), f"depth-{k}", "uncompressed")
         if found.isEmpty():  # no context is frequent any more
             break
         answers.append(found)

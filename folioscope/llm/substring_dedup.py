@@ -187,7 +187,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = n_buckets(blocks)
 
     def asked(emit, source: DataFrame, name: str) -> DataFrame:
-        return written(exchange(source, emit(width, buckets), _reduce, buckets), name, "uncompressed")
+        return written(exchange(source, emit(width, buckets), _reduce), name, "uncompressed")
 
     back = listed(asked(_first, blocks, "windows"), "back")
     back2 = listed(asked(_second, blocks.join(back, "block_id", "left"), "confirmed"), "back2")

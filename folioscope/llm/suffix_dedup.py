@@ -6,21 +6,26 @@
 2. Family.  The other windows travel as contexts (the bytes of a run of windows with one anchor), each distinct
    context once per block with the smallest doc_id that holds it, to the bucket of their anchor.  There documents come
    in doc_id order in batches.  A batch gets its windows in byte order, is merge-scanned against
-   every level of the family for full-length matches, and becomes a level; levels of one size merge, so there are
+   every level of the family for full-length matches, and becomes a level; levels of like size merge, so there are
    as many levels as the logarithm of the batches.  The answer is one bit per window: a smaller document has it.
 3. Blocks mark those windows and merge them to maximal spans of bytes.
 
-The sieve settles most copies: contexts with equal 64-bit hashes count as equal, without a byte check, and only anchors
-with two or more different contexts reach the family.  There windows are compared by their bytes; its levels are sorted
-windows of ``WIDTH`` bytes inside one call, not suffix arrays with longest matches.  Scale: texts are packed once; anchors are about one in 13
-bytes and cost about 6 bytes each in the shuffle; contexts travel only for passages in two documents at least.
+``SuffixIndex`` keeps levels as Parquet tables of contexts for batches that come one after another: a new batch is
+matched against all levels and itself, becomes a level, and levels of one size merge.  It has no sieve, as any anchor
+may come up again.  ``suffix_dedup`` is the case of one batch that no other follows.
+
+Equal contexts settle most copies; they are found by 64-bit hashes and compared byte by byte, and windows by their bytes.
+The suffixes are those at anchors, to the depth of a window, not at every byte.  Scale: texts are packed once; anchors are
+about one in 13 bytes and cost about 6 bytes each in the shuffle; contexts travel only for passages in two documents at
+least, to buckets that have room for six bytes of context per byte of text.  An anchor that more than ``HOT_BLOCKS``
+blocks have is hot: its windows part by the ``SIDE`` bytes before or after it, whichever they hold.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import (
@@ -31,14 +36,19 @@ from folioscope.llm.common import (
     block_of,
     dec,
     enc,
+    drop,
     exchange,
-    group_min,
+    find_package,
+    listed,
     mix,
     n_buckets,
+    new_path,
     pack,
     rows_of,
     runs_from,
+    same_words,
     split_sorted,
+    word_hashes,
     written,
 )
 
@@ -46,6 +56,11 @@ WIDTH, K = 50, 25
 SPAN = WIDTH - K + 1
 #: Windows of one batch of the family.
 BATCH = 1 << 15
+#: Buckets of contexts for each of anchors; blocks that make an anchor hot; bytes beside it that part its windows.
+SPREAD, HOT_BLOCKS, SIDE = 6, 1024, (SPAN - 1) // 2
+#: Stands for the documents of earlier batches: smaller than all others.
+EARLIER = np.iinfo(np.int64).min
+_LEVEL = -1  # stands for no block: contexts of a level
 _INDEX = np.uint64((1 << 30) - 1)
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
@@ -60,7 +75,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 class Runs:
-    """Runs of windows with one anchor in a block: anchor hash, first and last window, document, hash of the bytes."""
+    """Runs of windows with one anchor in a block: anchor hash and place, first and last window, document."""
 
     def __init__(self, block: Block) -> None:
         self.block = block
@@ -83,14 +98,27 @@ class Runs:
             first = at[new]
             last = at[np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1)]
             doc = np.searchsorted(block.offs[a + 1 : b + 1] - base, first, "right") + a
-            text = mix(CHARS.spans(prefix, first, last + WIDTH) + (last - first).astype(np.uint64))
-            for c, x in zip(cols, (h[anchor[new]], first + base, last + base, doc, text), strict=True):
+            for c, x in zip(cols, (h[anchor[new]], anchor[new] + base, first + base, last + base, doc), strict=True):
                 c.append(x)
-        kinds = (np.uint64, np.int64, np.int64, np.int64, np.uint64)
-        self.anchor, self.first, self.last, self.doc, self.text = (np.concatenate(c) if c else np.zeros(0, k) for c, k in zip(cols, kinds, strict=True))
+        kinds = (np.uint64, np.int64, np.int64, np.int64, np.int64)
+        self.anchor, self.place, self.first, self.last, self.doc = (np.concatenate(c) if c else np.zeros(0, k) for c, k in zip(cols, kinds, strict=True))
         self.ids = block.ids[self.doc]
         self.keys, self.slot = np.unique(self.anchor, return_inverse=True)
 
+    def only(self, on: np.ndarray, hot: np.ndarray) -> None:
+        """Keeps the runs of the anchors in `on`; those of hot ones become two, by which side of the anchor they hold."""
+        stay = np.flatnonzero(on[self.slot])
+        far = hot[self.slot[stay]]
+        near, far = stay[~far], stay[far]
+        parts = [(self.anchor[near], near, self.first[near], self.last[near])]
+        left, right = self.place[far] - SIDE - 1, self.place[far] - SIDE  # windows up to `left` begin SIDE bytes before the anchor or more
+        for first, last, side in ((self.first[far], np.minimum(self.last[far], left), self.place[far] - SIDE), (np.maximum(self.first[far], right), self.last[far], self.place[far] + K)):
+            have = np.flatnonzero(first <= last)
+            beside = word_hashes(self.block.data, side[have], side[have] + SIDE)
+            parts.append((mix(self.anchor[far[have]] ^ mix(beside + np.uint64(len(parts)))), far[have], first[have], last[have]))
+        self.anchor, at, self.first, self.last = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.doc, self.ids = self.doc[at], self.ids[at]
+
     def several(self) -> np.ndarray:
         """Anchors that two documents of this block have."""
         n = len(self.keys)
@@ -99,22 +127,25 @@ class Runs:
         np.maximum.at(hi, self.slot, self.ids)
         return lo != hi
 
-    def contexts(self, shared: np.ndarray):
-        """Distinct contexts with a shared anchor: (anchor, first run of each with the least doc_id, slot of each run or -1)."""
-        on = np.flatnonzero(shared[self.slot])
-        order = on[np.lexsort((self.ids[on], self.text[on], self.anchor[on]))]
-        a, t = self.anchor[order], self.text[order]
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (t[1:] != t[:-1])]) if len(order) else np.zeros(0, bool)
-        slot = np.full(len(self.anchor), -1)
-        slot[order] = np.cumsum(new) - 1
+    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct contexts: first run of each in order of anchor and bytes' hash, with the least doc_id; context of each run."""
+        text, end, salt = None, self.last + WIDTH, 0
+        while text is None or not same_words(self.block.data, self.first, end, order[new][slot]):  # noqa: F821
+            text, salt = mix(word_hashes(self.block.data, self.first, end) + np.uint64(salt)) ^ self.anchor, salt + 1
+            order = np.lexsort((self.ids, text, self.anchor))
+            a, t = self.anchor[order], text[order]
+            new = np.concatenate([[True], (a[1:] != a[:-1]) | (t[1:] != t[:-1])]) if len(order) else np.zeros(0, bool)
+            slot = np.empty(len(a), np.int64)
+            slot[order] = np.cumsum(new) - 1
         return order[new], slot
 
 
-def _bits(row, name: str, cut: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(n, bool)
+def _bits(row, name: str, cut: np.ndarray, n: int, columns: int = 1) -> list[np.ndarray]:
+    out = [np.zeros(n, bool) for _ in range(columns)]
     for x in row[name] or []:
         a, b = cut[x["bucket"]], cut[x["bucket"] + 1]
-        out[a:b] = np.unpackbits(dec(x["payload"])[0], count=b - a)
+        for o, bits in zip(out, dec(x["payload"]), strict=True):
+            o[a:b] = np.unpackbits(bits, count=b - a)
     return out
 
 
@@ -129,22 +160,30 @@ def _send_anchors(buckets: int):
     return emit
 
 
-def _shared_anchors(bucket, got):
-    parts = [np.cumsum(dec(p)[0], dtype=np.uint64) for _, p in got]
-    keys = np.sort(np.concatenate(parts))
-    twice = np.unique(keys[1:][keys[1:] == keys[:-1]])
-    for (block_id, _), k in zip(got, parts, strict=True):
-        at = np.minimum(np.searchsorted(twice, k), max(len(twice) - 1, 0))
-        yield block_id, enc(np.packbits(twice[at] == k if len(twice) else np.zeros(len(k), bool)))
+def _shared_anchors(hot_blocks: int):
+    def reduce(bucket, got):
+        parts = [np.cumsum(dec(p)[0], dtype=np.uint64) for _, p in got]
+        _, slot, n = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        shared, hot, at = n[slot] > 1, n[slot] > hot_blocks, 0
+        for (block_id, _), k in zip(got, parts, strict=True):
+            yield block_id, enc(np.packbits(shared[at : at + len(k)]), np.packbits(hot[at : at + len(k)]))
+            at += len(k)
+
+    return reduce
 
 
 def _chosen(row, buckets: int):
-    """Runs of a block, its distinct contexts, the run's context, where the buckets cut the contexts, windows before each."""
+    """Runs of a block, its distinct contexts, the run's context, where the buckets cut the contexts, windows before each.
+
+    A row without answers of the sieve has all its runs chosen.
+    """
     runs = Runs(block_of(row))
-    shared = _bits(row, "back", split_sorted(runs.keys, buckets), len(runs.keys)) | runs.several()
-    reps, slot = runs.contexts(shared)
+    if "back" in row:
+        shared, hot = _bits(row, "back", split_sorted(runs.keys, buckets), len(runs.keys), 2)
+        runs.only(shared | runs.several(), hot)
+    reps, slot = runs.contexts()
     windows = np.concatenate([[0], np.cumsum(runs.last[reps] - runs.first[reps] + 1)])
-    return runs, reps, slot, split_sorted(runs.anchor[reps], buckets), windows
+    return runs, reps, slot, split_sorted(runs.anchor[reps], SPREAD * buckets), windows
 
 
 def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -157,7 +196,7 @@ def _send_contexts(buckets: int):
     def emit(row):
         runs, reps, _, cut, _ = _chosen(row, buckets)
         size = runs.last[reps] - runs.first[reps] + WIDTH
-        for k in range(buckets):
+        for k in range(SPREAD * buckets):
             a, b = cut[k], cut[k + 1]
             if a < b:
                 r = reps[a:b]
@@ -167,10 +206,10 @@ def _send_contexts(buckets: int):
 
 
 class SuffixFamily:
-    """Levels of sorted windows with the least doc_id of each; as a binary counter, equal levels merge."""
+    """Levels of sorted windows with the least doc_id of each; a level joins the one before it that is no larger."""
 
     def __init__(self) -> None:
-        self.levels: list[tuple[int, np.ndarray, np.ndarray]] = []
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
 
     @staticmethod
     def _distinct(windows: np.ndarray, ids: np.ndarray):
@@ -181,42 +220,77 @@ class SuffixFamily:
         slot[order] = np.cumsum(new) - 1
         return w[new], np.minimum.reduceat(ids[order], np.flatnonzero(new)), slot
 
+    @staticmethod
+    def _merge(a, b):
+        """Two sorted levels as one, each entry put where the other's order has it."""
+        (k, i), (l, j) = a, b
+        at = np.searchsorted(k, l)
+        both = np.flatnonzero(k[np.minimum(at, len(k) - 1)] == l)
+        i[at[both]] = np.minimum(i[at[both]], j[both])
+        new = np.ones(len(l), bool)
+        new[both] = False
+        return np.insert(k, at[new], l[new]), np.insert(i, at[new], j[new])
+
     def add(self, windows: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Least doc_id that each window has, in the batch or in a level; then the batch joins the family."""
         keys, least, slot = self._distinct(windows, ids)
         seen = least.copy()
-        for _, k, i in self.levels:
+        for k, i in self.levels:
             at = np.minimum(np.searchsorted(k, keys), len(k) - 1)
             seen = np.where(k[at] == keys, np.minimum(seen, i[at]), seen)
-        size = 0
-        while self.levels and self.levels[-1][0] == size:
-            _, k, i = self.levels.pop()
-            keys, least, _ = self._distinct(np.concatenate([k, keys]), np.concatenate([i, least]))
-            size += 1
-        self.levels.append((size, keys, least))
+        level = keys, least
+        while self.levels and len(self.levels[-1][0]) <= len(level[0]):
+            level = self._merge(self.levels.pop(), level)
+        self.levels.append(level)
         return seen[slot]
 
 
-def _match_contexts(bucket, got):
+def _match_contexts(level: bool):
+    def reduce(bucket, got):
+        return _matched(got, level)
+
+    return reduce
+
+
+def _contexts_of(got):
+    """anchor, ids, size and bytes of all contexts sent to a bucket, and of each the first equal one in order of doc_id."""
     parts = [dec(p) for _, p in got]
     anchor = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
     ids = np.concatenate([p[1] for p in parts])
     size = np.concatenate([p[2] for p in parts]).astype(np.int64)
     data = np.concatenate([p[3] for p in parts])
-    start = np.cumsum(size) - size
-    text = np.empty(len(size), np.uint64)
-    for a in range(0, len(size), 1 << 15):
-        b = min(a + (1 << 15), len(size))
-        piece = data[start[a] : start[b - 1] + size[b - 1]]
-        prefix = CHARS.prefix(BYTE[piece])
-        text[a:b] = mix(CHARS.spans(prefix, start[a:b] - start[a], start[a:b] - start[a] + size[a:b]) + (size[a:b] - WIDTH).astype(np.uint64))
-    name = mix(text ^ (anchor * np.uint64(0x9E3779B97F4A7C15)))
-    order = np.lexsort((ids, name))
-    n = name[order]
-    new = np.concatenate([[True], n[1:] != n[:-1]])
-    rep = np.empty(len(order), np.int64)
-    rep[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]  # the entry with the least doc_id among equal contexts
-    reps = order[new]
+    start, rep, salt = np.cumsum(size) - size, None, 0
+    while rep is None or not same_words(data, start, start + size, rep):
+        name = np.empty(len(size), np.uint64)
+        for a in range(0, len(size), 1 << 15):
+            b = min(a + (1 << 15), len(size))
+            piece = data[start[a] : start[b - 1] + size[b - 1]]
+            name[a:b] = word_hashes(piece, start[a:b] - start[a], start[a:b] - start[a] + size[a:b])
+        name = mix(name + np.uint64(salt)) ^ mix(anchor)
+        order = np.lexsort((ids, name))
+        n = name[order]
+        new = np.concatenate([[True], n[1:] != n[:-1]])
+        rep = np.empty(len(order), np.int64)
+        rep[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+        salt += 1
+    return parts, anchor, ids, size, data, start, rep, order[new]
+
+
+def _as_level(anchor, size, data, start, reps) -> bytes:
+    reps = reps[np.argsort(anchor[reps], kind="stable")]
+    return enc(np.diff(anchor[reps], prepend=np.uint64(0)), np.full(len(reps), EARLIER), size[reps].astype(np.uint8), _gather(data, start[reps], size[reps]))
+
+
+def _merged(bucket, got):
+    """Two levels' contexts of one bucket as one level's."""
+    _, anchor, _, size, data, start, _, reps = _contexts_of(got)
+    yield _LEVEL, _as_level(anchor, size, data, start, reps)
+
+
+def _matched(got, level: bool):
+    parts, anchor, ids, size, data, start, rep, reps = _contexts_of(got)
+    if level and len(fresh := reps[ids[reps] != EARLIER]):
+        yield _LEVEL, _as_level(anchor, size, data, start, fresh)
     # anchors with one context only need no windows
     a = np.sort(anchor[reps])
     many = np.unique(a[1:][a[1:] == a[:-1]])
@@ -247,7 +321,8 @@ def _match_contexts(bucket, got):
     smaller[np.repeat(before[copy] - (np.cumsum(n) - n), n) + np.arange(n.sum())] = flags
     at = 0
     for (block_id, _), p in zip(got, parts, strict=True):
-        yield block_id, enc(np.packbits(smaller[before[at] : before[at + len(p[1])]]))
+        if block_id != _LEVEL:
+            yield block_id, enc(np.packbits(smaller[before[at] : before[at + len(p[1])]]))
         at += len(p[1])
 
 
@@ -256,13 +331,11 @@ def _finish(buckets: int):
         for row in rows_of(batches):
             runs, reps, slot, cut, before = _chosen(row, buckets)
             block = runs.block
-            smaller = _bits(row, "back2", before[cut], before[-1])
-            on = np.flatnonzero(slot >= 0)
-            n = runs.last[on] - runs.first[on] + 1
+            (smaller,) = _bits(row, "back2", before[cut], before[-1])
+            n = runs.last - runs.first + 1
             inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            least = runs.ids[reps]
-            hit = smaller[np.repeat(before[slot[on]], n) + inner] | np.repeat(least[slot[on]] < runs.ids[on], n)
-            at = (np.repeat(runs.first[on], n) + inner)[hit]
+            hit = smaller[np.repeat(before[slot], n) + inner] | np.repeat(runs.ids[reps][slot] < runs.ids, n)
+            at = (np.repeat(runs.first, n) + inner)[hit]
             step = np.zeros(len(block.data) + 1, np.int32)
             np.add.at(step, at, 1)
             np.subtract.at(step, at + WIDTH, 1)
@@ -293,13 +366,50 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     blocks = pack(docs, id_col, text_col)
     buckets = n_buckets(blocks)
-    anchors = written(exchange(blocks, _send_anchors(buckets), _shared_anchors, buckets), "anchors", "uncompressed")
+    back = listed(written(exchange(blocks, _send_anchors(buckets), _shared_anchors(HOT_BLOCKS)), "anchors", "uncompressed"), "back")
+    asked = blocks.join(back, "block_id", "left")
+    matches = written(exchange(asked, _send_contexts(buckets), _match_contexts(False)), "matches", "uncompressed")
+    answers = back.join(listed(matches, "back2"), "block_id", "full")
+    return blocks.join(answers, "block_id", "left").mapInArrow(_finish(buckets), SCHEMA)
+
 
-    def listed(answers: DataFrame, name: str) -> DataFrame:
-        return answers.groupBy("block_id").agg(F.collect_list(F.struct("bucket", "payload")).alias(name))
+SCHEMA = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
+
+
+class SuffixIndex:
+    """A family of levels in the shared folder: ``add_batch`` gives a batch's repeated bytes and makes it a level.
+
+    A level is a Parquet table (bucket, payload) of the distinct contexts of one batch or of several; two levels of as many
+    batches merge, bucket by bucket.  ``buckets`` is fixed for the index: about one for 12 MB of text to come.
+    """
 
-    asked = blocks.join(listed(anchors, "back"), "block_id", "left")
-    matches = written(exchange(asked, _send_contexts(buckets), _match_contexts, buckets), "matches", "uncompressed")
-    answers = listed(anchors, "back").join(listed(matches, "back2"), "block_id", "full")
-    schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
-    return blocks.join(answers, "block_id", "left").mapInArrow(_finish(buckets), schema)
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 64) -> None:
+        self.spark, self.path, self.buckets = spark, path or new_path(spark, "suffix-index"), buckets
+        find_package(spark)
+
+    def levels(self) -> list[tuple[int, int, str]]:
+        """(batches, number, path) of the levels there are."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [x.getPath().getName() for x in fs.listStatus(root)] if fs.exists(root) else []
+        return sorted((*map(int, n.split("-")[1:]), f"{self.path}/{n}") for n in names if n.startswith("level-"))
+
+    def _rows(self, paths: list[str]) -> DataFrame | None:
+        return self.spark.read.parquet(*paths).select("bucket", F.lit(_LEVEL).cast("long").alias("block_id"), "payload") if paths else None
+
+    def _write(self, rows: DataFrame, batches: int, number: int) -> None:
+        rows.where(F.col("block_id") == _LEVEL).select("bucket", "payload").write.option("compression", "uncompressed").parquet(f"{self.path}/level-{batches}-{number}")
+
+    def add_batch(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """As suffix_dedup for the batch, with all documents of earlier batches before it."""
+        blocks, have = pack(docs, id_col, text_col), self.levels()
+        found = written(exchange(blocks, _send_contexts(self.buckets), _match_contexts(True), self._rows([p for _, _, p in have])), "matches", "uncompressed")
+        number = max((n for _, n, _ in have), default=0) + 1
+        self._write(found, 1, number)
+        while len(same := [x for x in self.levels() if x[0] == self.levels()[0][0]][:2]) == 2:
+            number += 1
+            self._write(exchange(None, None, _merged, self._rows([p for _, _, p in same])), 2 * same[0][0], number)
+            for _, _, path in same:
+                drop(path)
+        back = listed(found.where(F.col("block_id") != _LEVEL), "back2")
+        return blocks.join(back, "block_id", "left").mapInArrow(_finish(self.buckets), SCHEMA)

@@ -208,9 +208,7 @@ def test_decontaminate_layouts(monkeypatch, layouts):
         d.Bench(items, 13).matches(texts, 13)
 
 
-def test_suffix_dedup(docs, none):
-    from folioscope.llm.suffix_dedup import suffix_dedup
-
+def repeated_bytes():
     least, want = {}, {}
     for i, t in RAW.items():
         for k in range(len(t or b"") - 49):
@@ -222,9 +220,33 @@ def test_suffix_dedup(docs, none):
         spans = sum(j - 1 not in gone for j in gone)
         want[i] = (len(t), len(gone), spans, sha(bytes(x for j, x in enumerate(t) if j not in gone)))
     assert any(w[2] for w in want.values())
-    out = suffix_dedup(docs).withColumn("s", F.sha2("kept", 256)).withColumn("k", F.size("spans"))
-    assert got(out, "n_bytes", "n_removed", "k", "s") == want
-    assert suffix_dedup(none).count() == 0
+    return want
+
+
+def spans_of(out):
+    return got(out.withColumn("s", F.sha2("kept", 256)).withColumn("k", F.size("spans")), "n_bytes", "n_removed", "k", "s")
+
+
+@pytest.mark.parametrize("hot", [1024, 0])
+def test_suffix_dedup(docs, none, monkeypatch, hot):
+    """hot 0: every anchor's windows part by the bytes beside it, which changes nothing."""
+    from folioscope.llm import suffix_dedup as s
+
+    monkeypatch.setattr(s, "HOT_BLOCKS", hot)
+    assert spans_of(s.suffix_dedup(docs)) == repeated_bytes()
+    assert s.suffix_dedup(none).count() == 0
+
+
+def test_suffix_index(spark, docs, none, tmp_path):
+    """Batches in order of doc_id give what one run over all of them gives; levels merge like a binary counter."""
+    from folioscope.llm.suffix_dedup import SuffixIndex
+
+    index, found, edges = SuffixIndex(spark, str(tmp_path / "index"), buckets=4), {}, [0, 15, 30, 33, 50, 99]
+    for a, b in zip(edges, edges[1:], strict=False):
+        found |= spans_of(index.add_batch(docs.where((F.col("doc_id") > a) & (F.col("doc_id") <= b))))
+    assert found == repeated_bytes()
+    assert [batches for batches, _, _ in index.levels()] == [1, 4]
+    assert index.add_batch(none).count() == 0
 
 
 def test_exact_dedup(docs, none):
