@@ -15,6 +15,8 @@ a key has one entry per block at most, however many rows hold it.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import uuid
 
@@ -82,6 +84,18 @@ def drop(*tables: DataFrame | str) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """df as a written table dealt by `key` to as many buckets as there are shuffle partitions, so that joins on it move
+    the other side only."""
+    spark, width = df.sparkSession, shuffle_width(df.sparkSession)
+    path = new_path(spark, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    df.repartition(width, key).write.option("compression", "uncompressed").bucketBy(width, key).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out._folio_path = path
+    return out
+
+
 def pieces(batches, rows: int = ARROW_ROWS):
     """Arrow batches cut to `rows` rows, so that a worker's arrays stay small whatever the session's batch size."""
     for batch in batches:
@@ -337,11 +351,27 @@ def block_of(row: dict) -> Block:
     return Block(row["block_id"], np.frombuffer(row["ids"], np.int64), nulls, np.frombuffer(row["lens"], np.int64), data)
 
 
+@functools.lru_cache(maxsize=1)
+def _libc():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return None
+
+
+def trim() -> None:
+    """Gives memory that arrays have left back to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if (release := _libc()) is not None:
+        release(0)
+
+
 def rows_of(batches):
     """Rows of Arrow batches one at a time, so that one block's arrays live at once."""
     for batch in batches:
         for k in range(batch.num_rows):
             yield batch.slice(k, 1).to_pylist()[0]
+            trim()
 
 
 def n_buckets(blocks: DataFrame) -> int:
@@ -369,6 +399,8 @@ def exchange(blocks: DataFrame | None, emit, reduce, more: DataFrame | None = No
         bucket = key[0].as_py()
         got = list(zip(table.column("block_id").to_pylist(), table.column("payload").to_pylist(), strict=True))
         out = list(reduce(bucket, got))
+        del got
+        trim()
         return pa.Table.from_arrays([pa.array([bucket] * len(out), pa.int32()), pa.array([b for b, _ in out], pa.int64()), pa.array([p for _, p in out], pa.binary())], schema=_SENT_ARROW)
 
     sent = blocks.mapInArrow(send, SENT) if blocks is not None else more

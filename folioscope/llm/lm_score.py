@@ -7,11 +7,10 @@ A state's distribution is smoothed with its parent's (Witten-Bell): (c(s,w) + T(
 different next words.  A word is scored in the longest suffix state of what precedes it; a document begins with a
 mark of its own and ends with one end token.
 
-Texts are tokenised once, to packed word numbers.  One block exchange counts words, then each depth takes two: pairs of
-(context, next word) come back with their counts, then contexts with their number of different next words and whether
-they are states.  For those a block adds up over its occurrences of a context 1 / c(s,w), which over all blocks gives
-T(s), and log c(s,w) / P(w|parent), which gives the divergence; c(s) it knows from the depth before.  The second exchange
-of one depth goes with the first of the next.  Depths are added while contexts stay frequent, ``depth`` at most.
+Texts are tokenised once, to packed word numbers.  Each depth takes two block exchanges: pairs of (context, next word) come back with their counts, then
+contexts with their number of different next words and whether they are states.  For those a block adds up over its occurrences of a context 1 / c(s,w), which over all blocks gives
+T(s), and log c(s,w) / P(w|parent), which gives the divergence; c(s) it knows from the depth before.  Words are counted with the
+pairs of depth 1; after that the second exchange of one depth goes with the first of the next.  Depths are added while contexts stay frequent, ``depth`` at most.
 
 Contexts under ``MIN_COUNT`` don't travel; any other word, pair or context has one entry per block at most (held-out ones
 with count 0), whatever its next words, so hot contexts are not gathered anywhere.  Nothing of the tree is broadcast or
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import Block, block_of, dec, drop, enc, exchange, listed, lower_ascii, mix, n_buckets, pack, rows_of, split_sorted, word_hashes, word_spans, written
+from folioscope.llm.common import Block, block_of, bucketed, dec, drop, enc, exchange, listed, lower_ascii, mix, n_buckets, pack, rows_of, split_sorted, word_hashes, word_spans, written
 
 MIN_COUNT, DEPTH = 4, 3
 START, END = np.uint64(1), np.uint64(2)
@@ -47,6 +46,11 @@ class Tokens:
         self.first = np.concatenate([[0], np.cumsum(self.count, dtype=np.int64)])
         self.train = np.repeat(~self.held, self.count)
         self.nth = np.arange(len(self.word)) - np.repeat(self.first[:-1], self.count)
+        self.mixed = mix(self.keys)[self.slot]
+
+    def context(self, depth: int, shorter: np.ndarray | None = None) -> np.ndarray:
+        """Hash of the `depth` words before each token, from the hash of one word less."""
+        return mix((shorter if depth > 1 else np.full(len(self.word), _STEP)) * _STEP + self.back(depth))
 
     def back(self, k: int) -> np.ndarray:
         """The word k places before each token; the mark of the start where there is none."""
@@ -132,12 +136,15 @@ def _words(buckets: int):
     def emit(row):
         t = Tokens(row)
         count = _small(np.bincount(t.slot, t.train, len(t.keys)).astype(np.int64))
-        yield from _sent(t.keys, split_sorted(t.keys, buckets), 0, count)
+        yield from _sent(t.keys, split_sorted(t.keys, buckets), buckets, count)
+        first = Level(t, t.context(1), np.arange(len(t.word)), buckets)
+        yield from _sent(first.pair, first.cut, 0, _small(first.count))
 
     def total(bucket, got):
         parts, slot, n = _counts(got)
         yield from _back(got, parts, slot, _small(n))
-        yield _TOTALS, enc(np.array([n.sum(), (n > 0).sum()], np.int64))
+        if bucket >= buckets:
+            yield _TOTALS, enc(np.array([n.sum(), (n > 0).sum()], np.int64))
 
     return emit, total
 
@@ -172,9 +179,13 @@ class Level:
         self.cut = split_sorted(self.pair, buckets)
         self.ctx, self.buckets = ctx[self.token], buckets
 
-    def contexts(self) -> None:
-        order = np.argsort(self.ctx)
-        c = self.ctx[order]
+    def contexts(self, size: np.ndarray) -> None:
+        """Distinct contexts of the entries (some) whose context is frequent; of: context of each of them."""
+        self.some = np.flatnonzero(size[self.token] >= MIN_COUNT)
+        self.size = size[self.token[self.some]]
+        ctx = self.ctx[self.some]
+        order = np.argsort(ctx)
+        c = ctx[order]
         new = np.concatenate([[True], c[1:] != c[:-1]]) if len(c) else np.zeros(0, bool)
         self.keys, self.of = c[new], np.empty(len(c), np.int32)
         self.of[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
@@ -184,36 +195,36 @@ class Level:
 class Scores:
     """Natural log probabilities of a block's tokens as far as the answers of `passes` exchanges go, and what the next one asks.
 
-    Exchange k answers the pairs of depth k and the contexts of depth k - 1.
+    The first exchange answers words and the pairs of depth 1, the next ones contexts of one depth and pairs of the next.
     """
 
     def __init__(self, row: dict, total: tuple[int, int], passes: int, depth: int, buckets: int, ask: bool) -> None:
         self.t, self.buckets = Tokens(row), buckets
         t = self.t
-        (count,) = _answers(row["a0"], split_sorted(t.keys, buckets), 0, np.int64)
+        (count,) = _answers(row["a0"], split_sorted(t.keys, buckets), buckets, np.int64)
         self.known = count[t.slot] > 0
         self.base = (np.log(count + 1) - np.log(total[0] + total[1] + 1))[t.slot]
         self.p, self.pairs, self.open = self.base.copy(), None, None
-        t.mixed = mix(t.keys)[t.slot]
         size = np.concatenate([[0], count[t.slot][:-1]])
         size[t.first[:-1]] = count[np.searchsorted(t.keys, END)]  # every document has one end token
-        ctx = np.full(len(t.word), _STEP)
+        ctx = None
         for k in range(1, min(depth, passes if ask else passes - 1) + 1 + (ask and passes < depth)):
-            ctx = mix(ctx * _STEP + t.back(k))
-            lv = Level(t, ctx, np.flatnonzero((size >= MIN_COUNT) & (t.nth >= k - 1)), buckets)
+            ctx = t.context(k, ctx)
+            use = np.flatnonzero((size >= MIN_COUNT) & (t.nth >= k - 1))
+            lv = Level(t, ctx, np.arange(len(t.word)) if k == 1 else use, buckets)
             if k > passes:
                 self.pairs = lv
                 break
-            (n,) = _answers(row[f"a{k}"], lv.cut, 0, np.int64)
-            lv.contexts()
+            (n,) = _answers(row[f"a{k - 1}"], lv.cut, 0, np.int64)
+            lv.contexts(size)
             if k == passes:
-                self.open = lv, n, size[lv.token]
+                self.open = lv, n
             else:
-                kinds, keep = _answers(row[f"a{k + 1}"], lv.ctx_cut, buckets, np.int64, np.uint8)
-                up, kinds = self.p[lv.token], kinds[lv.of]
+                kinds, keep = _answers(row[f"a{k}"], lv.ctx_cut, buckets, np.int64, np.uint8)
+                up = self.p[lv.token]
                 on = np.flatnonzero(keep[lv.of])
-                kinds = kinds[on]
-                up[on] = np.log((n[on] + kinds * np.exp(up[on])) / (size[lv.token[on]] + kinds))
+                state, kinds = lv.some[on], kinds[lv.of[on]]
+                up[state] = np.log((n[state] + kinds * np.exp(up[state])) / (lv.size[on] + kinds))
                 self.p[lv.use] = up[lv.at]
             size = np.zeros(len(t.word), np.int64)  # the next context ends with this token: its count is this pair's
             size[lv.use] = n[lv.at]
@@ -222,11 +233,12 @@ class Scores:
 
     def send(self):
         if self.open:
-            lv, n, size = self.open
-            on = lv.count > 0
-            each = lv.count[on] / n[on]
-            gain = lv.count[on] * (np.log(n[on]) - np.log(size[on]) - self.p[lv.token[on]])
-            kinds, gain = (np.bincount(lv.of[on], x, len(lv.keys)) for x in (each, gain))
+            lv, n = self.open
+            on = np.flatnonzero(lv.count[lv.some] > 0)
+            at, of = lv.some[on], lv.of[on]
+            here, n = lv.count[at], n[at]
+            gain = here * (np.log(n) - np.log(lv.size[on]) - self.p[lv.token[at]])
+            kinds, gain = (np.bincount(of, x, len(lv.keys)) for x in (here / n, gain))
             yield from _sent(lv.keys, lv.ctx_cut, self.buckets, kinds, gain.astype(np.float32))
         if self.pairs:
             yield from _sent(self.pairs.pair, self.pairs.cut, 0, _small(self.pairs.count))
@@ -256,7 +268,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
     flag = F.when(F.col(f"`{held_col}`"), F.lit("0")).otherwise(F.lit("1"))
     flagged = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.concat(flag, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("text"))
     blocks = pack(flagged)
-    tokens = written(blocks.mapInArrow(_tokenize, "block_id long, raw long, tokens binary"), "tokens", "uncompressed")
+    tokens = bucketed(blocks.mapInArrow(_tokenize, "block_id long, raw long, tokens binary"), "tokens", "block_id")
     drop(blocks)
     buckets = n_buckets(tokens)
     answers = [written(exchange(tokens, *_words(buckets)), "words", "uncompressed")]
@@ -277,9 +289,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
             lists = got if lists is None else lists.join(got, "block_id", "left")  # every block has words
         return tokens.join(lists, "block_id", "left")
 
-    for k in range(1, depth + 2):
+    for k in range(1, depth + 1):
 
-        def ask(row, passes=k - 1):
+        def ask(row, passes=k):
             yield from Scores(row, total, passes, depth, buckets, True).send()
 
         found = written(exchange(have(), ask, _tree(buckets)), f"depth-{k}", "uncompressed")
@@ -287,4 +299,4 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
             break
         answers.append(found)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return have().mapInArrow(_finish(total, len(answers) - 1, depth, buckets), schema)
+    return have().mapInArrow(_finish(total, len(answers), depth, buckets), schema)

@@ -36,9 +36,9 @@ from folioscope.llm.common import NULL_ID, find_package, new_path, same_words, s
 SHARD_BYTES = 16 << 20
 RANGES = "_ranges"
 #: Pieces a worker remembers before it forgets those it has met only once; changes speed only.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 400_000
 #: Text that is cut to pieces at once.
-ENCODE_BYTES = 2 << 20
+ENCODE_BYTES = 1 << 20
 #: zstd seekable format: skippable-frame magic, seekable magic, descriptor with the checksum flag.
 SKIP_MAGIC, SEEK_MAGIC, SEEK_FLAGS = 0x184D2A5E, 0x8F92EAB1, 0x80
 _LETTERS, _PUNCTUATION = (np.isin(np.arange(256), list(x.encode())) for x in (string.ascii_letters, string.punctuation))
