@@ -233,4 +233,4 @@ def tech_effect_matrix(spark, d):
     return table(spark, d, "part").groupBy("p_type", "p_brand").agg(F.count(F.lit(1)).alias("n"))
 
 
-from folioscope import catalog_documents  # noqa: E402, F401 - registers its queries
+from folioscope import catalog_documents, catalog_filings  # noqa: E402, F401 - register their queries

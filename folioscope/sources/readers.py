@@ -13,8 +13,10 @@ class BadInput(ValueError):
 
 
 def tolerant_json(text: Column) -> Column:
-    """VARIANT of a text: strict, else with control characters blanked, else with stray backslashes doubled, else null."""
-    plain = F.regexp_replace(text, r"[\x00-\x1F]", " ")
+    """VARIANT of a text: strict, else with control characters escaped, else with stray backslashes doubled, else null."""
+    escaped = lambda x: reduce(lambda c, k: F.replace(c, F.lit(chr(k)), F.lit(f"\\u{k:04x}")), range(32), x)
+    parts = F.regexp_extract_all(text, F.lit(r'(?s)"(?:[^"\\]++|\\.)*+"|[^"]++|"'), F.lit(0))
+    plain = F.array_join(F.transform(parts, lambda x: F.when(F.startswith(x, F.lit('"')), escaped(x)).otherwise(x)), "")
     return F.coalesce(F.try_parse_json(text), F.try_parse_json(plain), F.try_parse_json(F.regexp_replace(plain, r'\\(?!["\\/bfnrtu])', r"\\\\")))
 
 

@@ -7,3 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut, in the folder of spark.checkpoint.dir; as it is where a local session has none."""
+    spark = df.sparkSession
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and spark._jsc.sc().getCheckpointDir().isEmpty():
+        return df
+    if path and spark._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(path)
+    return df.checkpoint()
