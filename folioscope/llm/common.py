@@ -371,7 +371,7 @@ def rows_of(batches):
     for batch in batches:
         for k in range(batch.num_rows):
             yield batch.slice(k, 1).to_pylist()[0]
-            trim()
+    trim()
 
 
 def n_buckets(blocks: DataFrame) -> int:
@@ -426,6 +426,17 @@ def runs_from(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
+def covered_by(starts: np.ndarray, width: int, n: int) -> np.ndarray:
+    """Which of n places some window of `width` that begins at one of the starts covers."""
+    mark = np.zeros(n, bool)
+    mark[starts] = True
+    first, last = runs_from(mark)
+    step = np.zeros(n + width + 1, np.int32)
+    np.add.at(step, first, 1)
+    np.subtract.at(step, last - 1 + width, 1)
+    return np.cumsum(step[:n], dtype=np.int32) > 0
+
+
 def group_min(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
     """For each entry the smallest of the values that share its key."""
     order = np.argsort(keys)

@@ -23,6 +23,7 @@ from folioscope.llm.common import (
     Rolling,
     Block,
     block_of,
+    covered_by,
     dec,
     enc,
     exchange,
@@ -153,10 +154,7 @@ def _finish(width: int, buckets: int):
             d = Distinct(w.hash[1][on], w.ids[on])
             smaller, _ = d.answers(row["back2"], buckets)
             hit = w.first[on[sure & (smaller[d.slot] | (d.least[d.slot] < w.ids[on]))]]
-            step = np.zeros(w.bounds[-1] + 1, np.int32)
-            np.add.at(step, hit, 1)
-            np.subtract.at(step, hit + width, 1)
-            covered = np.cumsum(step[:-1]) > 0
+            covered = covered_by(hit, width, w.bounds[-1])
             out = []
             for i in range(len(block.ids)):
                 a, b = w.bounds[i], w.bounds[i + 1]

@@ -34,6 +34,7 @@ from folioscope.llm.common import (
     NULL_ID,
     Block,
     block_of,
+    covered_by,
     dec,
     enc,
     drop,
@@ -332,14 +333,15 @@ def _finish(buckets: int):
             runs, reps, slot, cut, before = _chosen(row, buckets)
             block = runs.block
             (smaller,) = _bits(row, "back2", before[cut], before[-1])
-            n = runs.last - runs.first + 1
-            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            hit = smaller[np.repeat(before[slot], n) + inner] | np.repeat(runs.ids[reps][slot] < runs.ids, n)
-            at = (np.repeat(runs.first, n) + inner)[hit]
-            step = np.zeros(len(block.data) + 1, np.int32)
-            np.add.at(step, at, 1)
-            np.subtract.at(step, at + WIDTH, 1)
-            covered = np.cumsum(step[:-1]) > 0
+            hits = []
+            for k in range(0, len(slot), 1 << 15):  # runs at a time: their windows are as many as the block has bytes
+                part = slice(k, k + (1 << 15))
+                first, s = runs.first[part], slot[part]
+                n = runs.last[part] - first + 1
+                inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                hit = smaller[np.repeat(before[s], n) + inner] | np.repeat(runs.ids[reps][s] < runs.ids[part], n)
+                hits.append((np.repeat(first, n) + inner)[hit])
+            covered = covered_by(np.concatenate(hits) if hits else np.zeros(0, np.int64), WIDTH, len(block.data))
             out = []
             for i in range(len(block.ids)):
                 a, b = block.offs[i], block.offs[i] + block.lens[i]
