@@ -73,5 +73,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: The model of the first stage and the tokenizer are beyond SQL; tests/llm compare the operators, not yet the stages, with brute force.
+#: The model of the first stage and the tokenizer are beyond SQL; tests/llm compare the operators with brute force and the stages with a small table.
 ORACLE_SQL = None
