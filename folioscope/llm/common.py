@@ -123,7 +123,7 @@ def enc(*arrays: np.ndarray) -> bytes:
     parts = [np.uint32(len(arrays)).tobytes()]
     for a in arrays:
         a = np.ascontiguousarray(a)
-        raw = a.view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes() if a.dtype.itemsize > 1 else a.tobytes()
+        raw = (np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.dtype.itemsize).T) if a.dtype.itemsize > 1 else a).tobytes()
         parts += [a.dtype.str[1:].encode().ljust(4), np.uint64(len(raw)).tobytes(), raw]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
@@ -137,7 +137,10 @@ def dec(payload: bytes) -> list[np.ndarray]:
         body = np.frombuffer(raw, np.uint8, size, at + 12)
         at += 12 + size
         if kind.itemsize > 1:
-            body = np.ascontiguousarray(body.reshape(kind.itemsize, -1).T).reshape(-1).view(kind)
+            planes, body = body.reshape(kind.itemsize, -1), np.empty((size // kind.itemsize, kind.itemsize), np.uint8)
+            for k, plane in enumerate(planes):
+                body[:, k] = plane
+            body = body.reshape(-1).view(kind)
         out.append(body if kind.itemsize > 1 else body.view(kind))
     return out
 

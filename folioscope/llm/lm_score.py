@@ -42,21 +42,15 @@ class Tokens:
         by_rank[rank] = np.arange(len(rank))
         self.no_id, self.held = no_id.astype(bool), held.astype(bool)
         self.keys, self.slot = np.cumsum(keys, dtype=np.uint64), by_rank[slot]
-        self.word = self.keys[self.slot]
         self.first = np.concatenate([[0], np.cumsum(self.count, dtype=np.int64)])
         self.train = np.repeat(~self.held, self.count)
-        self.nth = np.arange(len(self.word)) - np.repeat(self.first[:-1], self.count)
         self.mixed = mix(self.keys)[self.slot]
 
-    def context(self, depth: int, shorter: np.ndarray | None = None) -> np.ndarray:
-        """Hash of the `depth` words before each token, from the hash of one word less."""
-        return mix((shorter if depth > 1 else np.full(len(self.word), _STEP)) * _STEP + self.back(depth))
-
-    def back(self, k: int) -> np.ndarray:
-        """The word k places before each token; the mark of the start where there is none."""
-        out = np.full(len(self.word), START, np.uint64)
-        out[k:] = self.word[:-k]
-        out[self.nth < k] = START
+    def later(self, x: np.ndarray, none: int) -> np.ndarray:
+        """What x has for the token before each token; `none` for a document's first."""
+        out = np.empty(len(x), np.int32)
+        out[1:] = x[:-1]
+        out[self.first[:-1]] = none
         return out
 
 
@@ -135,10 +129,10 @@ def _counts(got):
 def _words(buckets: int):
     def emit(row):
         t = Tokens(row)
-        count = _small(np.bincount(t.slot, t.train, len(t.keys)).astype(np.int64))
+        count = _small(np.bincount(t.slot[t.train], minlength=len(t.keys)))
         yield from _sent(t.keys, split_sorted(t.keys, buckets), buckets, count)
-        first = Level(t, t.context(1), np.arange(len(t.word)), buckets)
-        yield from _sent(first.pair, first.cut, 0, _small(first.count))
+        first = Level(t, *_after_words(t), None, buckets)
+        yield from _sent(first.pair, first.cut, 0, _small(first.count()))
 
     def total(bucket, got):
         parts, slot, n = _counts(got)
@@ -165,30 +159,43 @@ def _tree(buckets: int):
     return reduce
 
 
+def _after_words(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """The contexts of depth 1: hashes of the start's mark and of all words, in order, and which of them each token follows."""
+    return np.concatenate([[START], t.keys]), t.later(t.slot + 1, 0)
+
+
 class Level:
-    """Distinct entries (context, next word) of one depth, sorted by hash; at: entry of each used token."""
+    """Distinct entries (context, next word) of one depth, sorted by hash; at: entry of each used token, -1 for others.
+
+    A context is an entry of the depth before, so its hash is that entry's; ctx: which one each entry follows.
+    """
 
-    def __init__(self, t: Tokens, ctx: np.ndarray, use: np.ndarray, buckets: int) -> None:
-        pair = mix(ctx[use] * _STEP ^ t.mixed[use])
+    def __init__(self, t: Tokens, known: np.ndarray, before: np.ndarray, use: np.ndarray | None, buckets: int) -> None:
+        every = use is None
+        pair = mix(known[before if every else before[use]] * _STEP ^ (t.mixed if every else t.mixed[use]))
         order = np.argsort(pair)
         p = pair[order]
+        if not every:
+            order = use[order]
         new = np.concatenate([[True], p[1:] != p[:-1]]) if len(p) else np.zeros(0, bool)
-        self.use, self.at, self.pair, self.token = use, np.empty(len(use), np.int32), p[new], use[order[new]]
+        self.at = np.empty(len(before), np.int32) if every else np.full(len(before), -1, np.int32)
         self.at[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
-        self.count = np.bincount(self.at, t.train[use], len(self.pair)).astype(np.int64)
-        self.cut = split_sorted(self.pair, buckets)
-        self.ctx, self.buckets = ctx[self.token], buckets
+        self.t, self.use, self.known, self.pair, self.token = t, use, known, p[new], order[new]
+        self.ctx, self.buckets, self.cut = before[self.token], buckets, split_sorted(self.pair, buckets)
+
+    def count(self) -> np.ndarray:
+        """Training occurrences of each entry."""
+        at = self.at[self.t.train] if self.use is None else self.at[self.use[self.t.train[self.use]]]
+        return np.bincount(at, minlength=len(self.pair))
 
     def contexts(self, size: np.ndarray) -> None:
         """Distinct contexts of the entries (some) whose context is frequent; of: context of each of them."""
-        self.some = np.flatnonzero(size[self.token] >= MIN_COUNT)
-        self.size = size[self.token[self.some]]
+        self.some = np.flatnonzero(size[self.ctx] >= MIN_COUNT)
         ctx = self.ctx[self.some]
-        order = np.argsort(ctx)
-        c = ctx[order]
-        new = np.concatenate([[True], c[1:] != c[:-1]]) if len(c) else np.zeros(0, bool)
-        self.keys, self.of = c[new], np.empty(len(c), np.int32)
-        self.of[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        self.size = size[ctx]
+        here = np.zeros(len(self.known), bool)
+        here[ctx] = True
+        self.keys, self.of = self.known[here], (np.cumsum(here, dtype=np.int32) - np.int32(1))[ctx]
         self.ctx_cut = split_sorted(self.keys, self.buckets)
 
 
@@ -201,47 +208,53 @@ class Scores:
     def __init__(self, row: dict, total: tuple[int, int], passes: int, depth: int, buckets: int, ask: bool) -> None:
         self.t, self.buckets = Tokens(row), buckets
         t = self.t
-        (count,) = _answers(row["a0"], split_sorted(t.keys, buckets), buckets, np.int64)
-        self.known = count[t.slot] > 0
-        self.base = (np.log(count + 1) - np.log(total[0] + total[1] + 1))[t.slot]
-        self.p, self.pairs, self.open = self.base.copy(), None, None
-        size = np.concatenate([[0], count[t.slot][:-1]])
-        size[t.first[:-1]] = count[np.searchsorted(t.keys, END)]  # every document has one end token
-        ctx = None
+        (self.words,) = _answers(row["a0"], split_sorted(t.keys, buckets), buckets, np.int64)
+        base = np.log(self.words + 1) - np.log(total[0] + total[1] + 1)
+        known, before = _after_words(t)
+        size = np.concatenate([self.words[[np.searchsorted(t.keys, END)]], self.words])  # every document has one end token
+        self.base, self.levels, self.pairs, self.open = base, [], None, None
+        shorter, p = t.slot, base  # each token's entry one depth up, and the entries' log probabilities
         for k in range(1, min(depth, passes if ask else passes - 1) + 1 + (ask and passes < depth)):
-            ctx = t.context(k, ctx)
-            use = np.flatnonzero((size >= MIN_COUNT) & (t.nth >= k - 1))
-            lv = Level(t, ctx, np.arange(len(t.word)) if k == 1 else use, buckets)
+            use = None if k == 1 else np.flatnonzero((before >= 0) & (size >= MIN_COUNT)[before])
+            lv = Level(t, known, before, use, buckets)
             if k > passes:
                 self.pairs = lv
                 break
             (n,) = _answers(row[f"a{k - 1}"], lv.cut, 0, np.int64)
             lv.contexts(size)
+            up = p[shorter[lv.token]]
             if k == passes:
-                self.open = lv, n
+                self.open = lv, n, up
             else:
                 kinds, keep = _answers(row[f"a{k}"], lv.ctx_cut, buckets, np.int64, np.uint8)
-                up = self.p[lv.token]
                 on = np.flatnonzero(keep[lv.of])
                 state, kinds = lv.some[on], kinds[lv.of[on]]
                 up[state] = np.log((n[state] + kinds * np.exp(up[state])) / (lv.size[on] + kinds))
-                self.p[lv.use] = up[lv.at]
-            size = np.zeros(len(t.word), np.int64)  # the next context ends with this token: its count is this pair's
-            size[lv.use] = n[lv.at]
-            size = np.concatenate([[0], size[:-1]])
-            size[t.first[:-1]] = 0
+                self.levels.append((lv, up))
+            known, before, size, shorter, p = lv.pair, t.later(lv.at, -1), n, lv.at, up
+
+    def tokens(self) -> np.ndarray:
+        """Each token's log probability in its longest suffix state."""
+        out = self.base[self.t.slot]
+        for lv, p in self.levels:
+            if lv.use is None:
+                out = p[lv.at]
+            else:
+                out[lv.use] = p[lv.at[lv.use]]
+        return out
 
     def send(self):
         if self.open:
-            lv, n = self.open
-            on = np.flatnonzero(lv.count[lv.some] > 0)
+            lv, n, up = self.open
+            here = lv.count()[lv.some]
+            on = np.flatnonzero(here > 0)
             at, of = lv.some[on], lv.of[on]
-            here, n = lv.count[at], n[at]
-            gain = here * (np.log(n) - np.log(lv.size[on]) - self.p[lv.token[at]])
+            here, n = here[on], n[at]
+            gain = here * (np.log(n) - np.log(lv.size[on]) - up[at])
             kinds, gain = (np.bincount(of, x, len(lv.keys)) for x in (here / n, gain))
             yield from _sent(lv.keys, lv.ctx_cut, self.buckets, kinds, gain.astype(np.float32))
         if self.pairs:
-            yield from _sent(self.pairs.pair, self.pairs.cut, 0, _small(self.pairs.count))
+            yield from _sent(self.pairs.pair, self.pairs.cut, 0, _small(self.pairs.count()))
 
 
 def _finish(total: tuple[int, int], passes: int, depth: int, buckets: int):
@@ -250,8 +263,8 @@ def _finish(total: tuple[int, int], passes: int, depth: int, buckets: int):
             s = Scores(row, total, passes, depth, buckets, False)
             t, at = s.t, s.t.first[:-1]
             cols = [pa.array(t.ids, mask=t.no_id), pa.array(t.held)]
-            cols += [pa.array(np.add.reduceat(x, at)) for x in (np.ones(len(s.p), np.int64), s.known.astype(np.int64))]
-            cols += [pa.array(np.full(len(at), total[0], np.int64)), pa.array(np.add.reduceat(s.base, at) / _LN10), pa.array(np.add.reduceat(s.p, at) / _LN10)]
+            cols += [pa.array(t.count.astype(np.int64)), pa.array(np.add.reduceat((s.words > 0)[t.slot].astype(np.int64), at)), pa.array(np.full(len(at), total[0], np.int64))]
+            cols += [pa.array(np.add.reduceat(x, at) / _LN10) for x in (s.base[t.slot], s.tokens())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
