@@ -161,7 +161,7 @@ def term_top50(spark, d):
 
 @query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events),
 s AS (SELECT event_type, list_sort(list(value)) AS v FROM r WHERE rn <= 1024 GROUP BY event_type)
-SELECT event_type, len(v) AS n, v[1] AS least, v[-1] AS most, v[floor(len(v) * 0.5)::INT + 1] AS p50, v[floor(len(v) * 0.95)::INT + 1] AS p95, v[floor(len(v) * 0.99)::INT + 1] AS p99 FROM s""")
+SELECT event_type, len(v) AS n, v[1] AS least, v[-1] AS most, round(list_sum(v) / len(v), 6) AS mean, v[floor(len(v) * 0.5)::INT + 1] AS p50, v[floor(len(v) * 0.95)::INT + 1] AS p95, v[floor(len(v) * 0.99)::INT + 1] AS p99 FROM s""")
 def percentiles(spark, d):
     return analytics.latency_stats(table(spark, d, "events"), "event_type", "value", ["ts", "event_id"])
 
@@ -233,4 +233,4 @@ def tech_effect_matrix(spark, d):
     return table(spark, d, "part").groupBy("p_type", "p_brand").agg(F.count(F.lit(1)).alias("n"))
 
 
-from folioscope import catalog_documents, catalog_filings  # noqa: E402, F401 - register their queries
+from folioscope import catalog_documents, catalog_filings, catalog_pool  # noqa: E402, F401 - register their queries

@@ -20,3 +20,27 @@ def abstract(html: Column) -> Column:
     """The description meta tag, else the article's text."""
     meta = F.regexp_extract(html, r'<meta name="description" content="([^"]*)"', 1)
     return F.coalesce(F.nullif(meta, F.lit("")), strip(F.regexp_extract(html, r"(?s)<article[^>]*>(.*?)</article>", 1)))
+
+
+_CLAIM = r'<div\s+id="[^"]*"\s+num="(\d+)"\s+class="claim">'
+
+
+def claims(html: Column) -> Column:
+    """(num, text) of every claim of a page's claims section; claims without text are left out."""
+    section = F.regexp_extract(html, r'(?s)itemprop="claims"[^>]*>(.*?)</section>', 1)
+    bodies = F.split(section, _CLAIM.replace("(", "").replace(")", ""))
+    nums = F.regexp_extract_all(section, F.lit(_CLAIM), F.lit(1))
+    rows = F.transform(nums, lambda n, i: F.struct(n.cast("int").alias("num"), strip(F.get(bodies, i + 1)).alias("text")))
+    return F.filter(rows, lambda c: c["text"] != "")
+
+
+def description(html: Column) -> Column:
+    """Text of a page's description section, empty without one."""
+    return strip(F.regexp_extract(html, r'(?s)itemprop="description"[^>]*>(.*?)</section>', 1))
+
+
+def pdf_link(html: Column) -> Column:
+    """The page's link to its document; null without one, or for a guessed one: in a folder pdfs, with a last part under 20 characters."""
+    url = F.nullif(F.regexp_extract(html, r'<meta\s+name="citation_pdf_url"\s+content="([^"]+)"', 1), F.lit(""))
+    guessed = F.contains(url, F.lit("/pdfs/")) & (F.length(F.substring_index(url, "/", -1)) < 20)
+    return F.when(~guessed, url)

@@ -23,11 +23,11 @@ def term_counts(df: DataFrame, text: str, stop: list[str], n: int = 50, cjk: boo
 
 
 def latency_stats(df: DataFrame, by: str, value: str, order: list[str], ring: int = 1024) -> DataFrame:
-    """count, min, max and the elements at int(n * q) of the sorted last ``ring`` samples of each operation."""
+    """count, min, max, mean and the elements at int(n * q) of the sorted last ``ring`` samples of each operation."""
     w = Window.partitionBy(by).orderBy(*[F.desc(c) for c in order])
     s = df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= ring).groupBy(by).agg(F.sort_array(F.collect_list(value)).alias("v"))
     at = lambda q: F.element_at("v", F.floor(F.size("v") * q).cast("int") + 1)
-    return s.select(by, F.size("v").cast("long").alias("n"), F.array_min("v").alias("least"), F.array_max("v").alias("most"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+    return s.select(by, F.size("v").cast("long").alias("n"), F.array_min("v").alias("least"), F.array_max("v").alias("most"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / F.size("v"), 6).alias("mean"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
 
 
 def rigor(log: DataFrame, campaign: str, group: str, code: Column) -> DataFrame:
