@@ -1,4 +1,4 @@
-"""opN_ queries of the ten operators with production parameters, and SQL where SQL can express them."""
+"""opN_ queries of the operators with production parameters, and SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -84,6 +84,20 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs.select("doc_id", "text", held.alias("held_out")))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm.centroids import cluster
+
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm.byte_bpe import decode, encode
+
+    out = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_substring_dedup": op2_substring_dedup,
@@ -95,11 +109,35 @@ QUERIES = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_language_id": op9_language_id,
     "op10_lm_score": op10_lm_score,
+    "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_byte_bpe": op12_byte_bpe,
 }
 
+
+
+def _kmeans_sql(rounds: int = 3) -> str:
+    """Rounds of plain k-means: a row per vector and centroid, the least distance wins."""
+    near = """
+a{i} AS (SELECT vec_id, x, unnest(arg_min(j, (d, j), 1)) AS c, unnest(min(d, 1)) AS d FROM
+  (SELECT v.vec_id, v.x, v.r, c.j, list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))::BIGINT AS d FROM v, c{i} c) GROUP BY vec_id, x, r)"""
+    move = """,
+m{i} AS (SELECT c, p, sum(x[p])::HUGEINT AS s, count(*) AS n FROM a{i}, (SELECT unnest(range(1, 65)) AS p) GROUP BY c, p),
+c{k} AS (SELECT c.j, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN
+  (SELECT c, list((CASE WHEN s % n < 0 THEN s // n - 1 ELSE s // n END)::BIGINT ORDER BY p) AS x FROM m{i} GROUP BY c) m ON m.c = c.j),"""
+    steps = "".join(near.format(i=i) + (move.format(i=i, k=i + 1) if i < rounds else "") for i in range(rounds + 1))
+    return f"""
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(embedding) = 64),
+v AS (SELECT vec_id, list_transform(e, lambda y: floor(64 * y)::BIGINT) AS x, row_number() OVER () AS r FROM e
+  WHERE len(list_filter(e, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(vec_id::VARCHAR, '')), x) - 1 AS j, x FROM v QUALIFY j < 16),{steps}
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(k.x, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} k ON k.j = c"""
+
+
 _VALUES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
 
 ORACLE_SQL = {
+    "op11_centroid_clusters": _kmeans_sql(),
     "op4_url_filter": f"""
 WITH rules(verdict, host, path) AS (VALUES {_VALUES}),
 p AS (SELECT page_id, url,
