@@ -98,6 +98,12 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_substring_dedup": op2_substring_dedup,
@@ -111,6 +117,7 @@ QUERIES = {
     "op10_lm_score": op10_lm_score,
     "op11_centroid_clusters": op11_centroid_clusters,
     "op12_byte_bpe": op12_byte_bpe,
+    "op13_collocations": op13_collocations,
 }
 
 
@@ -138,6 +145,19 @@ _VALUES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
 
 ORACLE_SQL = {
     "op11_centroid_clusters": _kmeans_sql(),
+    "op13_collocations": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS d, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+x AS (SELECT lang, w[i : i + m - 1] AS g, m FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM w), (VALUES (1), (2), (3)) AS s(m) WHERE i + m - 1 <= len(w)),
+f AS (SELECT lang, g, m, count(*) AS f FROM x GROUP BY lang, g, m),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, g, m, f AS a, unnest(range(1, m)) AS k FROM f WHERE m > 1 AND f >= 10),
+s AS (SELECT c.*, l.f AS l, r.f AS r, (1000000::HUGEINT * a * a // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM c JOIN f l ON l.lang = c.lang AND l.g = c.g[1 : c.k] JOIN f r ON r.lang = c.lang AND r.g = c.g[c.k + 1 : c.m]),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+i AS (SELECT b.lang, b.g FROM b JOIN b t ON t.lang = b.lang AND t.m = 3 AND b.m = 2 AND (b.g = t.g[1 : 2] OR b.g = t.g[2 : 3]) AND 100 * t.a >= 50 * b.a)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank, array_to_string(g, ' ') AS phrase, a, l, r, n, score
+FROM b JOIN n ON n.lang = b.lang WHERE (b.lang, b.g) NOT IN (SELECT lang, g FROM i) QUALIFY rank <= 2000""",
     "op4_url_filter": f"""
 WITH rules(verdict, host, path) AS (VALUES {_VALUES}),
 p AS (SELECT page_id, url,
