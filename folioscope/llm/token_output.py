@@ -343,17 +343,20 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def token_output(docs: DataFrame, path: str | None = None, **kw) -> DataFrame:
     """Writes the documents, reads the files back, and gives doc_id, start, n_tokens, ids_crc32, file, at.
 
-    start: ids of all documents before it.  Sums per file are added up over the files (one row per shard), then
-    within each file, so no task sees more than one shard's documents.
+    start: ids of all documents before it.  Sums are added up over the ranges of the shuffle (a row each), over the files
+    of a range in the order they were written, then within each file, so no task sees more than one shard's documents.
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "tokens")
     write_tokens(docs, path, **kw)
     index = written(read_index(spark, path), "index")  # small, and the files are then decoded once
     index.groupBy("file").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).write.parquet(f"{path}/{RANGES}")
-    files = index.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    files = files.select("file", (F.sum("n").over(before) - F.col("n")).alias("base"))
+    number = lambda pattern: F.regexp_extract("file", pattern, 1).cast("long")
+    files = index.groupBy("file").agg(F.sum("n_tokens").alias("n")).select("file", "n", number(r"^part-(\d+)").alias("task"), number(r"-c(\d+)").alias("nth"))
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tasks = files.groupBy("task").agg(F.sum("n").alias("all"))  # a row per range of the shuffle
+    tasks = tasks.select("task", (F.sum("all").over(upto(Window.orderBy("task"))) - F.col("all")).alias("ahead"))
+    files = files.join(tasks, "task").select("file", (F.col("ahead") + F.sum("n").over(upto(Window.partitionBy("task").orderBy("nth"))) - F.col("n")).alias("base"))
     inside = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = index.join(files, "file").withColumn("start", F.col("base") + F.sum("n_tokens").over(inside) - F.col("n_tokens"))
     return out.select("doc_id", "start", "n_tokens", "ids_crc32", "file", "at")
