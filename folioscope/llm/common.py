@@ -18,6 +18,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import os
+import secrets
 import uuid
 
 import numpy as np
@@ -225,19 +226,30 @@ _LENGTH = np.uint64(0x9E3779B97F4A7C15)
 LONG_WORD = 128
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of every word: 8 bytes at a time through the finaliser, so no word structure cancels out."""
+def new_key() -> int:
+    """A secret of one run: what it hashes, nobody can have made to collide."""
+    return secrets.randbits(64)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int = 0) -> np.ndarray:
+    """64-bit hash of every word: 8 bytes at a time through the finaliser, so no word structure cancels out.
+
+    With a key from new_key() words that collide can't be known beforehand, and hashes by two keys collide independently.
+    Without one, equal hashes only bring words together, and bytes must decide.
+    """
     n = ends - starts
+    first, times = mix(np.array([key, key ^ 0xA0761D6478BD642F], np.uint64) + _LENGTH)
+    times |= np.uint64(1)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
-    h = mix(mix(n.astype(np.uint64) * _LENGTH) ^ (eight[starts] & _KEEP[np.minimum(n, 8)]))
+    h = mix((mix(n.astype(np.uint64) * _LENGTH ^ first) ^ (eight[starts] & _KEEP[np.minimum(n, 8)])) * times)
     more, k = np.flatnonzero(n > 8), 8
     while len(more) and k < LONG_WORD:
-        h[more] = mix(h[more] ^ (eight[starts[more] + k] & _KEEP[np.minimum(n[more] - k, 8)]))
+        h[more] = mix((h[more] ^ (eight[starts[more] + k] & _KEEP[np.minimum(n[more] - k, 8)])) * times)
         k += 8
         more = more[n[more] > k]
     for i in more.tolist():
-        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), int(first))
     return h
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import IN_TERM, find_package, lower_ascii, pieces, word_hashes, word_spans, written
+from folioscope.llm.common import IN_TERM, find_package, lower_ascii, new_key, pieces, word_hashes, word_spans, written
 
 WINDOW = 13
 #: Bytes of benchmark text that are broadcast at once.
@@ -27,12 +27,12 @@ _MATCH = pa.list_(pa.struct([("item_id", pa.string()), ("item_at", pa.int64()),
 MATCH = "array<struct<item_id:string,item_at:long,doc_at:long,words:long>>"
 
 
-def terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def terms(texts: list[bytes], key: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, text it is in) of lower-cased texts."""
     data = lower_ascii(np.frombuffer(b" ".join(texts) + b" ", np.uint8))
     starts, ends = word_spans(data, IN_TERM)
     stops = np.cumsum([len(t) + 1 for t in texts])
-    return word_hashes(data, starts, ends), np.searchsorted(stops, starts, "right")
+    return word_hashes(data, starts, ends, key), np.searchsorted(stops, starts, "right")
 
 
 class SuffixArray:
@@ -95,21 +95,23 @@ class SuffixArray:
 class Bench:
     """Benchmark items as windows of word hashes."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int) -> None:
+    def __init__(self, items: list[tuple[str, str]], window: int, key: int = 0) -> None:
+        self.key = key
         self.ids = [i for i, _ in items]
-        words, item = terms([(t or "").encode() for _, t in items])
+        words, item = terms([(t or "").encode() for _, t in items], key)
         counts = np.bincount(item, minlength=len(items)) if len(items) else np.zeros(0, int)
         first = np.concatenate([[0], np.cumsum(counts)])
         self.words, self.windows = words, []
         for i, n in enumerate(counts.tolist()):
             size = min(n, window)
             self.windows += [(i, first[i] + k, k, size) for k in range(n - size + 1)] if n else []
+        self.first_window = np.concatenate([[0], np.cumsum(np.where(counts > 0, np.maximum(counts - window, 0) + 1, 0))]).astype(np.int64)
         self.at = np.array([w[1] for w in self.windows], np.int64)
         self.size = np.array([w[3] for w in self.windows], np.int64)
 
     def matches(self, texts: list[bytes], window: int) -> tuple[np.ndarray, list[list[dict]]]:
         """Words of each text, and its longest verbatim matches."""
-        words, doc = terms(texts)
+        words, doc = terms(texts, self.key)
         counts = np.bincount(doc, minlength=len(texts))
         out: list[list[dict]] = [[] for _ in texts]
         if not len(words) or not len(self.windows):
@@ -119,27 +121,39 @@ class Bench:
         rank = np.where(sa.alphabet[slot] == self.words, slot + 1, 0).astype(np.uint64)
         head = sa.keys(np.concatenate([rank, np.zeros(sa.per, np.uint64)]))[self.at]
         lo, hi = np.searchsorted(sa.head, head, "left"), np.searchsorted(sa.head, head, "right")
-        hits = []
+        hits, item, last, places, begun = [], -1, -1, np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def ended(which: np.ndarray) -> None:
+            """Matches whose last window is item's at `last`; a place and one number each stay open, whatever the windows."""
+            if which.any():
+                long = last - begun[which]
+                hits.append(np.stack([places[which] - long, np.full(len(long), item), begun[which], self.size[self.first_window[item]] + long]))
+
         for k in np.flatnonzero((hi > lo) | (self.size < sa.per)):
             i, at, offset, size = self.windows[k]
             pattern = rank[at : at + size]
             if not pattern.all():
                 continue
             a, b = sa.find(pattern, int(lo[k]), int(hi[k]), sa.per) if size >= sa.per else sa.find(pattern, 0, len(sa.order), 0)
-            if a < b:
-                places = sa.order[a:b]
-                hits.append(np.stack([places, np.full(b - a, i), np.full(b - a, offset), np.full(b - a, size)]))
+            if a == b:
+                continue
+            if (i, offset) != (item, last + 1):
+                ended(np.ones(len(places), bool))
+                places = begun = np.zeros(0, np.int64)
+            now, start = np.sort(sa.order[a:b]), np.full(b - a, offset)
+            slot = np.searchsorted(now, places + 1)
+            goes_on = np.append(now, -1)[slot] == places + 1
+            ended(~goes_on)
+            start[slot[goes_on]] = begun[goes_on]
+            item, last, places, begun = i, offset, now, start
+        ended(np.ones(len(places), bool))
         if hits:
-            place, item, offset, size = np.concatenate(hits, axis=1)
+            place, item, offset, words = np.concatenate(hits, axis=1)
             d = np.searchsorted(sa.first, place, "right") - 1
             place = place - sa.first[d]
             order = np.lexsort((offset, place - offset, item, d))
-            place, item, offset, size, d = (x[order] for x in (place, item, offset, size, d))
-            new = np.concatenate([[True], (d[1:] != d[:-1]) | (item[1:] != item[:-1]) | (place[1:] - offset[1:] != place[:-1] - offset[:-1]) | (offset[1:] != offset[:-1] + 1)])
-            starts = np.flatnonzero(new)
-            lengths = np.diff(np.append(starts, len(new))) - 1
-            for s, more in zip(starts.tolist(), lengths.tolist(), strict=True):
-                out[d[s]].append({"item_id": self.ids[item[s]], "item_at": int(offset[s]), "doc_at": int(place[s]), "words": int(size[s]) + more})
+            for s in order.tolist():
+                out[d[s]].append({"item_id": self.ids[item[s]], "item_at": int(offset[s]), "doc_at": int(place[s]), "words": int(words[s])})
         return counts, out
 
 
@@ -180,7 +194,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
             done = written(out, "matched")
             last.destroy()
             out = done
-        last = spark.sparkContext.broadcast(Bench(items, window))
+        last = spark.sparkContext.broadcast(Bench(items, window, new_key()))
         out = out.mapInArrow(_scan(last, base.columns.index(text_col), len(base.columns), window), schema)
     return out
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import Block, block_of, bucketed, dec, drop, enc, exchange, listed, lower_ascii, mix, n_buckets, pack, rows_of, split_sorted, word_hashes, word_spans, written
+from folioscope.llm.common import Block, block_of, bucketed, dec, drop, enc, exchange, listed, lower_ascii, mix, n_buckets, new_key, pack, rows_of, split_sorted, word_hashes, word_spans, written
 
 MIN_COUNT, DEPTH = 4, 3
 START, END = np.uint64(1), np.uint64(2)
@@ -54,8 +54,16 @@ class Tokens:
         return out
 
 
-def _tokenize(batches):
+def _tokenize(key: int):
     """The words of packed documents as packed numbers; the first byte of a text says if it is for training."""
+
+    def run(batches):
+        yield from _tokens(batches, key)
+
+    return run
+
+
+def _tokens(batches, key: int):
     for row in rows_of(batches):
         block: Block = block_of(row)
         words, docs = [], []
@@ -64,7 +72,7 @@ def _tokenize(batches):
             data = lower_ascii(block.data[block.offs[a] : block.offs[b]])
             data[offs[:-1]] = 32
             starts, ends = word_spans(data)
-            words.append(word_hashes(data, starts, ends))
+            words.append(word_hashes(data, starts, ends, key))
             docs.append(np.searchsorted(offs[1:], starts, "right") + a)
         words, doc = np.concatenate(words), np.concatenate(docs)
         count = np.bincount(doc, minlength=len(block.ids)) + 1
@@ -215,7 +223,7 @@ class Scores:
         self.base, self.levels, self.pairs, self.open = base, [], None, None
         shorter, p = t.slot, base  # each token's entry one depth up, and the entries' log probabilities
         for k in range(1, min(depth, passes if ask else passes - 1) + 1 + (ask and passes < depth)):
-            use = None if k == 1 else np.flatnonzero((before >= 0) & (size >= MIN_COUNT)[before])
+            use = None if k == 1 else np.flatnonzero(np.append(size >= MIN_COUNT, False)[before])  # -1: no context
             lv = Level(t, known, before, use, buckets)
             if k > passes:
                 self.pairs = lv
@@ -281,7 +289,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
     flag = F.when(F.col(f"`{held_col}`"), F.lit("0")).otherwise(F.lit("1"))
     flagged = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.concat(flag, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("text"))
     blocks = pack(flagged)
-    tokens = bucketed(blocks.mapInArrow(_tokenize, "block_id long, raw long, tokens binary"), "tokens", "block_id")
+    tokens = bucketed(blocks.mapInArrow(_tokenize(new_key()), "block_id long, raw long, tokens binary"), "tokens", "block_id")
     drop(blocks)
     buckets = n_buckets(tokens)
     answers = [written(exchange(tokens, *_words(buckets)), "words", "uncompressed")]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import block_of, drop, lower_ascii, mix, pack, pieces, rows_of, word_hashes, word_spans, written
+from folioscope.llm.common import block_of, drop, lower_ascii, mix, new_key, pack, pieces, rows_of, word_hashes, word_spans, written
 
 WIDTH, PERCENT = 2, 80
 BANDS, ROWS = 48, 6
@@ -38,11 +38,11 @@ _STEP = np.uint64(0xD6E8FEB86659FD93)
 _OUT = pa.schema([("block_id", pa.int64()), ("at", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64())), ("sig", pa.binary())])
 
 
-def shingles(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def shingles(data: np.ndarray, offs: np.ndarray, width: int, key: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, document) of the distinct shingles, sorted by document and hash; offs: where documents start, and the end."""
     data = lower_ascii(data)
     starts, ends = word_spans(data)
-    words, doc = word_hashes(data, starts, ends), np.searchsorted(offs[1:], starts, "right")
+    words, doc = word_hashes(data, starts, ends, key), np.searchsorted(offs[1:], starts, "right")
     count = np.bincount(doc, minlength=len(offs) - 1)
     first = np.concatenate([[0], np.cumsum(count)])
     found, owner = [], []
@@ -83,13 +83,13 @@ def band_keys(minima: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _sign(width: int):
+def _sign(width: int, key: int):
     def run(batches):
         for row in rows_of(batches):
             block = block_of(row)
             for a, b in block.chunks():
                 offs = block.offs[a : b + 1] - block.offs[a]
-                h, d = shingles(block.data[block.offs[a] : block.offs[b]], offs, width)
+                h, d = shingles(block.data[block.offs[a] : block.offs[b]], offs, width, key)
                 n = np.bincount(d, minlength=b - a)
                 cls, keys, sig = [None] * (b - a), [None] * (b - a), [None] * (b - a)
                 if len(h):
@@ -112,22 +112,22 @@ def _agree(batches):
             yield batch.select([0, 1]).filter(pa.array((x == y).mean(axis=1) >= SIGNATURE))
 
 
-def sets(texts: list[bytes], width: int) -> list[np.ndarray]:
+def sets(texts: list[bytes], width: int, key: int) -> list[np.ndarray]:
     """The sorted shingle hashes of each text."""
     offs = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-    h, d = shingles(np.frombuffer(b" ".join(texts) + b" ", np.uint8), offs, width)
+    h, d = shingles(np.frombuffer(b" ".join(texts) + b" ", np.uint8), offs, width, key)
     return np.split(h, np.cumsum(np.bincount(d, minlength=len(texts)))[:-1])
 
 
-def _confirm(width: int, percent: int):
+def _confirm(width: int, percent: int, key: int):
     def run(batches):
         hub, have = None, None
         for batch in pieces(batches, 16):
             ok = []
-            hubs, members = batch.column(3).to_pylist(), sets(batch.column(2).to_pylist(), width)
+            hubs, members = batch.column(3).to_pylist(), sets(batch.column(2).to_pylist(), width, key)
             for text, x in zip(hubs, members, strict=True):
                 if text != hub:
-                    hub, have = text, sets([text], width)[0]
+                    hub, have = text, sets([text], width, key)[0]
                 both = len(np.intersect1d(have, x, assume_unique=True))
                 ok.append(100 * both >= percent * (len(have) + len(x) - both))
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
@@ -135,12 +135,12 @@ def _confirm(width: int, percent: int):
     return run
 
 
-def _spell(width: int):
+def _spell(width: int, key: int):
     """(cls, root, n, shingle) of (cls, root, text)."""
 
     def run(batches):
         for batch in pieces(batches, 16):
-            found = sets(batch.column(2).to_pylist(), width)
+            found = sets(batch.column(2).to_pylist(), width, key)
             n = np.array([len(x) for x in found], np.int64)
             cols = [np.repeat(batch.column(k).to_numpy(zero_copy_only=False), n) for k in (0, 1)] + [np.repeat(n, n), np.concatenate(found).view(np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["cls", "root", "n", "shingle"])
@@ -176,8 +176,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of null ids alone has a null component_id and all its rows stay.  Rows that repeat a doc_id are linked by
     their texts only.  An empty table gives an empty result; other columns don't take part.
     """
-    blocks = pack(docs, id_col, text_col)
-    rows = written(blocks.mapInArrow(_sign(width), "block_id long, at long, doc_id long, n_shingles long, digest binary, keys array<long>, sig binary"), "minima")
+    blocks, key = pack(docs, id_col, text_col), new_key()
+    rows = written(blocks.mapInArrow(_sign(width, key), "block_id long, at long, doc_id long, n_shingles long, digest binary, keys array<long>, sig binary"), "minima")
     some = rows.where("digest is not null")
     classes = some.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first(F.struct("block_id", "at", "n_shingles", "keys", "sig")).alias("one"))
     classes = written(classes.select(F.monotonically_increasing_id().alias("cls"), "digest", "least", "one.*"), "classes")
@@ -198,7 +198,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         pairs = pairs.join(side(sigs, "a", "sig"), "a").join(side(sigs, "b", "sig"), "b")
         likely = written(pairs.select("a", "b", "a_sig", "b_sig").mapInArrow(_agree, "a long, b long"), name)
         full = likely.join(side(texts, "a", "text"), "a").join(side(texts, "b", "text"), "b")
-        out = written(full.select("a", "b", "a_text", "b_text").mapInArrow(_confirm(width, percent), "a long, b long"), name)
+        out = written(full.select("a", "b", "a_text", "b_text").mapInArrow(_confirm(width, percent, key), "a long, b long"), name)
         drop(likely)
         return out
 
@@ -208,7 +208,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = members.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
     parts = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("all")).where("low != high and all > 2")
     open_ = written(placed.join(parts.select("key"), "key").select("cls", "root").distinct(), "open")
-    more = verified(_by_prefix(open_.join(texts, "cls").select("cls", "root", "text"), width, percent), "more")
+    more = verified(_by_prefix(open_.join(texts, "cls").select("cls", "root", "text"), width, percent, key), "more")
     if not more.isEmpty():
         comp = components(first.unionByName(more))
     roots = classes.select("cls", "digest", "least").join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("digest", "least", F.coalesce("root", "cls").alias("root"))
@@ -220,9 +220,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _by_prefix(open_: DataFrame, width: int, percent: int) -> DataFrame:
+def _by_prefix(open_: DataFrame, width: int, percent: int, key: int) -> DataFrame:
     """(a, b) of the (cls, root, text) rows in different components that may have the wanted similarity."""
-    words = written(open_.mapInArrow(_spell(width), "cls long, root long, n long, shingle long"), "spelled")
+    words = written(open_.mapInArrow(_spell(width, key), "cls long, root long, n long, shingle long"), "spelled")
     often = words.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # shingles of one set only come first in every prefix and join with nothing: they count, but don't travel
     common = words.join(often, "shingle")

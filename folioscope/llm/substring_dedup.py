@@ -3,8 +3,8 @@
 1. Every block hashes all its windows and sends each distinct hash once with the smallest doc_id that holds it.  A
    bucket takes the smallest doc_id of each hash over all blocks and answers two bits per entry: a smaller document
    has it, several documents have it.
-2. Windows that several documents have are confirmed by a second Rabin-Karp hash of other base and other word hashes,
-   in an exchange of their own.  A window counts as repeated if a smaller document has it by both hashes.
+2. Windows that several documents have are confirmed by a second Rabin-Karp hash of other base over words hashed by
+   another key, in an exchange of their own.  Both keys are secrets of the run.  A window counts as repeated if a smaller document has it by both hashes.
 3. The block marks those windows and merges them to maximal intervals of words.
 
 With n windows, of which r repeat, about n^2 / 2^65 meet by the first hash alone and r / 2^64 of those by the second: for
@@ -31,6 +31,7 @@ from folioscope.llm.common import (
     listed,
     mix,
     n_buckets,
+    new_key,
     pack,
     rows_of,
     runs_from,
@@ -44,27 +45,25 @@ WIDTH = 50
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept_text", pa.string())])
 
 
-#: Two independent polynomials, each over its own hash of the words.
+#: Two independent polynomials, each over its own hash of the words by a key of its own.
 BASES = (Rolling(0xD1342543DE82EF95), Rolling(0xAF251AF3B0F025B5))
-_SALTS = (np.uint64(0), np.uint64(0x94D049BB133111EB))
 
 
 class Windows:
     """All windows of a block: two hashes, first word and document of each; words count through the block."""
 
-    def __init__(self, block: Block, width: int, other: bool = True) -> None:
+    def __init__(self, block: Block, width: int, keys: tuple[int, ...]) -> None:
         hashes: tuple[list, list] = ([], [])
         firsts, docs, counts, base = [], [], [], 0
         for a, b in block.chunks():
             data = block.data[block.offs[a] : block.offs[b]]
             starts, ends = word_spans(data)
-            words = word_hashes(data, starts, ends)
             doc = np.searchsorted(block.offs[a + 1 : b + 1] - block.offs[a], starts, "right")
             counts.append(np.bincount(doc, minlength=b - a))
-            n = max(len(words) - width + 1, 0)
+            n = max(len(starts) - width + 1, 0)
             at = np.flatnonzero(doc[:n] == doc[len(doc) - n :])
-            for k in range(1 + other):
-                hashes[k].append(mix(BASES[k].windows(mix(words ^ _SALTS[k]), width)[at]))
+            for k, key in enumerate(keys):
+                hashes[k].append(mix(BASES[k].windows(word_hashes(data, starts, ends, key), width)[at]))
             firsts.append(at + base)
             docs.append(doc[at] + a)
             base += len(starts)
@@ -105,18 +104,18 @@ class Distinct:
         return out
 
 
-def _first(width: int, buckets: int):
+def _first(width: int, buckets: int, keys: tuple[int, int]):
     def emit(row):
-        w = Windows(block_of(row), width, other=False)
+        w = Windows(block_of(row), width, keys[:1])
         yield from Distinct(w.hash[0], w.ids).send(buckets)
 
     return emit
 
 
-def _repeated(row, width: int, buckets: int):
+def _repeated(row, width: int, buckets: int, keys: tuple[int, int]):
     """The block, its windows, those that several documents have by the first hash, and if a smaller one is among them."""
     block = block_of(row)
-    w = Windows(block, width)
+    w = Windows(block, width, keys)
     d = Distinct(w.hash[0], w.ids)
     smaller, shared = d.answers(row["back"], buckets)
     on = np.flatnonzero((shared | d.several)[d.slot])
@@ -124,9 +123,9 @@ def _repeated(row, width: int, buckets: int):
     return block, w, on, smaller[slot] | (d.least[slot] < w.ids[on])
 
 
-def _second(width: int, buckets: int):
+def _second(width: int, buckets: int, keys: tuple[int, int]):
     def emit(row):
-        _, w, on, _ = _repeated(row, width, buckets)
+        _, w, on, _ = _repeated(row, width, buckets, keys)
         yield from Distinct(w.hash[1][on], w.ids[on]).send(buckets)
 
     return emit
@@ -147,10 +146,10 @@ def _reduce(bucket, got):
         yield block_id, enc(np.packbits(smaller[a:b]), np.packbits(shared[a:b]))
 
 
-def _finish(width: int, buckets: int):
+def _finish(width: int, buckets: int, keys: tuple[int, int]):
     def run(batches):
         for row in rows_of(batches):
-            block, w, on, sure = _repeated(row, width, buckets)
+            block, w, on, sure = _repeated(row, width, buckets, keys)
             d = Distinct(w.hash[1][on], w.ids[on])
             smaller, _ = d.answers(row["back2"], buckets)
             hit = w.first[on[sure & (smaller[d.slot] | (d.least[d.slot] < w.ids[on]))]]
@@ -182,12 +181,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each other's words.  Texts under ``width`` words stay whole.  Other columns don't take part.
     """
     blocks = pack(docs, id_col, text_col)
-    buckets = n_buckets(blocks)
+    buckets, keys = n_buckets(blocks), (new_key(), new_key())
 
     def asked(emit, source: DataFrame, name: str) -> DataFrame:
-        return written(exchange(source, emit(width, buckets), _reduce), name, "uncompressed")
+        return written(exchange(source, emit(width, buckets, keys), _reduce), name, "uncompressed")
 
     back = listed(asked(_first, blocks, "windows"), "back")
     back2 = listed(asked(_second, blocks.join(back, "block_id", "left"), "confirmed"), "back2")
     schema = "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept_text string"
-    return blocks.join(back.join(back2, "block_id", "full"), "block_id", "left").mapInArrow(_finish(width, buckets), schema)
+    return blocks.join(back.join(back2, "block_id", "full"), "block_id", "left").mapInArrow(_finish(width, buckets, keys), schema)

@@ -14,7 +14,8 @@
 matched against all levels and itself, becomes a level, and levels of one size merge.  It has no sieve, as any anchor
 may come up again.  ``suffix_dedup`` is the case of one batch that no other follows.
 
-Equal contexts settle most copies; they are found by 64-bit hashes and compared byte by byte, and windows by their bytes.
+Equal contexts settle most copies; they are found by 64-bit hashes and compared byte by byte, and hashed anew by another key as long
+as any two with one hash differ.  Windows are compared by their bytes.
 The suffixes are those at anchors, to the depth of a window, not at every byte.  Scale: texts are packed once; anchors are
 about one in 13 bytes and cost about 6 bytes each in the shuffle; contexts travel only for passages in two documents at
 least, to buckets that have room for six bytes of context per byte of text.  An anchor that more than ``HOT_BLOCKS``
@@ -132,7 +133,7 @@ class Runs:
         """Distinct contexts: first run of each in order of anchor and bytes' hash, with the least doc_id; context of each run."""
         text, end, salt = None, self.last + WIDTH, 0
         while text is None or not same_words(self.block.data, self.first, end, order[new][slot]):  # noqa: F821
-            text, salt = mix(word_hashes(self.block.data, self.first, end) + np.uint64(salt)) ^ self.anchor, salt + 1
+            text, salt = word_hashes(self.block.data, self.first, end, salt) ^ self.anchor, salt + 1
             order = np.lexsort((self.ids, text, self.anchor))
             a, t = self.anchor[order], text[order]
             new = np.concatenate([[True], (a[1:] != a[:-1]) | (t[1:] != t[:-1])]) if len(order) else np.zeros(0, bool)
@@ -266,8 +267,8 @@ def _contexts_of(got):
         for a in range(0, len(size), 1 << 15):
             b = min(a + (1 << 15), len(size))
             piece = data[start[a] : start[b - 1] + size[b - 1]]
-            name[a:b] = word_hashes(piece, start[a:b] - start[a], start[a:b] - start[a] + size[a:b])
-        name = mix(name + np.uint64(salt)) ^ mix(anchor)
+            name[a:b] = word_hashes(piece, start[a:b] - start[a], start[a:b] - start[a] + size[a:b], salt)
+        name ^= mix(anchor)
         order = np.lexsort((ids, name))
         n = name[order]
         new = np.concatenate([[True], n[1:] != n[:-1]])
