@@ -209,7 +209,7 @@ class Trie:
         for m in range(2, longest + 1):
             here = self.at[m - 1]
             on = np.flatnonzero((here[:-1] >= 0) & (here[1:] >= 0) & ~w.first[1:])
-            key = here[on] * base + t[on + m - 1]
+            key = here[on].astype(np.int64) * base + t[on + m - 1]
             order = np.argsort(key)
             k = key[order]
             new = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)

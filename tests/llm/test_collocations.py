@@ -79,3 +79,10 @@ def test_scores_pass_64_bits():
     a = 4 * 10**12
     assert scored(a, [(a * 3, a * 5), (a * 2, a * 9), (a * 15, a)]) == (1000000 // 18, a * 2, a * 9)
     assert scored(a, [(a * 3, a * 5), (a * 15, a)])[1:] == (a * 3, a * 5)
+
+
+def test_many_words(spark):
+    """More pairs times words than 32 bits hold, in one block."""
+    words = [f"w{k}" for k in range(50_000)]
+    rows = [("en", " ".join(words)), ("en", " ".join(words[::-1]))]
+    assert run(spark, rows, parts=1, least=1, top=10**6) == plain(rows, least=1, top=10**6)
