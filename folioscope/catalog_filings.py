@@ -87,7 +87,7 @@ def claims_numbering(spark, d):
 @query("WITH RECURSIVE " + _CLAIMS[5:] + """, u AS (SELECT filing, claim, claim AS at, 0 AS depth FROM c UNION ALL SELECT u.filing, u.claim, c.depends_on, u.depth + 1 FROM u JOIN c ON u.filing = c.filing AND u.at = c.claim WHERE c.depends_on IS NOT NULL)
 SELECT u.filing, u.claim, u.at AS root, u.depth::INT AS depth FROM u JOIN c ON u.filing = c.filing AND u.at = c.claim WHERE c.depends_on IS NULL""")
 def claim_ancestors(spark, d):
-    return filings.ancestors(_claims(spark, d), "filing", "claim", "depends_on", most=16)
+    return filings.ancestors(_claims(spark, d), "filing", "claim", "depends_on")
 
 
 @query(r"""WITH e AS (SELECT DISTINCT array_to_string(list_slice(regexp_extract_all(lower(text), '[a-z0-9]{4,}'), 1, 2), ' ') AS element FROM benchmark),

@@ -118,14 +118,15 @@ def sorted_issues(issues: DataFrame, key: str, number: str, severity: str = "sev
     return issues.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(place, number, "issue_type", "term")))
 
 
-def ancestors(claims: DataFrame, key: str, number: str, parent: str, most: int = 64) -> DataFrame:
-    """key, number, root, depth: the claim that each claim goes back to; a cycle ends where it closes (root null).
+def ancestors(claims: DataFrame, key: str, number: str, parent: str) -> DataFrame:
+    """key, number, root, depth: the claim that each claim goes back to; a cycle, or a parent that isn't there, has no root.
 
-    Rows double their reach in every round, so a chain of n claims takes log2(n) joins.
+    Rows double their reach in every round until that covers the largest filing, so a chain of n claims takes log2(n) joins.
     """
     from folioscope.sources.tables import checkpointed
 
     up = claims.select(key, number, F.coalesce(parent, number).alias("at"), F.col(parent).isNotNull().cast("int").alias("steps"))
+    most = claims.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     reach = 1
     while reach < most:
         far = up.select(F.col(key).alias("_k"), F.col(number).alias("_n"), F.col("at").alias("_at"), F.col("steps").alias("_steps"))

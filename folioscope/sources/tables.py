@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -10,11 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the folder of spark.checkpoint.dir; as it is where a local session has none."""
+    """df with its lineage cut, in the folder of spark.checkpoint.dir.  A local session may leave that unset."""
     spark = df.sparkSession
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path and spark._jsc.sc().getCheckpointDir().isEmpty():
-        return df
-    if path and spark._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(path)
+    if spark._jsc.sc().getCheckpointDir().isEmpty():
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(path or f"file://{tempfile.mkdtemp(prefix='checkpoints-')}")
     return df.checkpoint()
