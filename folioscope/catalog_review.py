@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioscope.operators import antecedents, figures
+from folioscope import catalog_filings
+from folioscope.operators import antecedents, citations, figures, trigram_index
 from folioscope.registry import query
-from folioscope.sources.tables import table
+from folioscope.sources.tables import scratch, table
 
 # filings of ten claims made of parts: claim k goes back to k - 1, or to an earlier one
 _BODIES = {
@@ -96,3 +97,35 @@ def drawing_sections(spark, d):
     s = F.col("s")
     found = F.transform(figures.drawing_issues(s, F.col("doc_id") % 3 != 0, "ep"), lambda x: x["problem"])
     return _specs(spark, d).select("doc_id", F.array_join(found, ",").alias("ep_issues"), F.array_join(figures.missing_sections(s), ",").alias("missing"))
+
+
+@query(catalog_filings._FTS)
+def fts_index(spark, d):
+    path = scratch(spark, "trigrams")
+    trigram_index.build(table(spark, d, "documents"), "doc_id", ["text", "source"], ["doc_id", "lang"], path)
+    return trigram_index.search(spark, path, ["ation", "the "], "doc_id", ["doc_id", "lang"]).withColumn("rank", F.round("rank", 6))
+
+
+# a network of parts: each cites the one at a third of its number, small ones also one ten sizes before
+_EDGES = """WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey // 3 AS b FROM part WHERE p_partkey > 0 UNION SELECT p_partkey, p_partkey - 10 * p_size FROM part WHERE p_size <= 10 AND p_partkey >= 10 * p_size),
+f AS (SELECT DISTINCT a AS v FROM e WHERE a NOT IN (SELECT b FROM e) UNION ALL SELECT b FROM f JOIN e ON e.a = f.v),
+g AS (SELECT DISTINCT b AS v FROM e WHERE b NOT IN (SELECT a FROM e) UNION ALL SELECT a FROM g JOIN e ON e.b = g.v),
+w AS (SELECT a, b, (x.n * y.n)::BIGINT AS weight FROM e JOIN (SELECT v, count(*) AS n FROM f GROUP BY v) x ON x.v = a JOIN (SELECT v, count(*) AS n FROM g GROUP BY v) y ON y.v = b)"""
+
+
+def _network(spark, d):
+    part = table(spark, d, "part")
+    edges = part.where("p_partkey > 0").select(F.col("p_partkey").alias("a"), F.floor(F.col("p_partkey") / 3).alias("b"))
+    far = part.where("p_size <= 10 AND p_partkey >= 10 * p_size").select(F.col("p_partkey").alias("a"), (F.col("p_partkey") - 10 * F.col("p_size")).alias("b"))
+    return citations.path_counts(edges.union(far), "a", "b")[0]
+
+
+@query(_EDGES + " SELECT a, b, weight FROM w")
+def citation_paths(spark, d):
+    return _network(spark, d).select("a", "b", F.col("weight").cast("long").alias("weight"))
+
+
+@query(_EDGES + """, h AS (SELECT a, b, weight FROM w QUALIFY row_number() OVER (PARTITION BY a ORDER BY weight DESC, b) = 1),
+m AS (SELECT * FROM (SELECT 0 AS step, a, b, weight FROM h WHERE a NOT IN (SELECT b FROM e) ORDER BY weight DESC, a LIMIT 1) UNION ALL SELECT step + 1, h.a, h.b, h.weight FROM m JOIN h ON h.a = m.b) SELECT step, a, b, weight FROM m""")
+def citation_main_path(spark, d):
+    return citations.main_path(_network(spark, d), "a", "b").withColumn("weight", F.col("weight").cast("long"))
