@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 import re
+from itertools import accumulate
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Field tag at the end of a number query, a list of numbers, pages.
-NUMBER_TAG = re.compile(r"@(PN|AN|PD)\s*$", re.I)
+AXIS = re.compile(r"(?s)\s*(?P<body>.*?)\s*(?P<tag>@(?:PN|AN|PD))?\s*", re.I)
 NUMBER_LIST = re.compile(r"^[\w\-/]+(\s+or\s+[\w\-/]+)*$", re.I)
 DEFAULT_ROWS, SHORT_TERM = 30, 3
 # Argument names that are never shown.
@@ -42,50 +43,59 @@ def as_list(x) -> list:
     return [] if x is None else x if isinstance(x, list) else [x]
 
 
-def encloses(text: str) -> bool:
-    """Whether the first and last parenthesis are one pair."""
-    if not (text.startswith("(") and text.endswith(")")):
-        return False
-    depth = 0
-    for k, c in enumerate(text):
-        depth += (c == "(") - (c == ")")
-        if depth == 0 and k < len(text) - 1:
-            return False
-    return depth == 0
+def closing(text: str) -> int:
+    """Where the parenthesis that the text begins with is closed; -1 if it begins with none, or none closes it."""
+    marks = [(m.start(), 1 if m.group() == "(" else -1) for m in re.finditer("[()]", text)] if text.startswith("(") else []
+    return next((at for (at, _), open_ in zip(marks, accumulate(step for _, step in marks), strict=True) if not open_), -1)
+
+
+def number_axis(keyword: str) -> dict:
+    """A keyword as numbers, tag and wrapped: what is left of it, the field tag at its end, whether one pair of parentheses was around it all."""
+    body, tag = AXIS.fullmatch(keyword).group("body", "tag")
+    wrapped = bool(body) and closing(body) == len(body) - 1
+    return {"numbers": body[1:-1].strip() if wrapped else body, "tag": tag, "wrapped": wrapped}
 
 
 def clean_number_axis(keyword: str) -> tuple[str, list[str]]:
-    """The keyword without a field tag at its end and without its outermost parentheses, and what went."""
-    gone, text = [], keyword
-    if tag := NUMBER_TAG.search(text):
-        text, gone = NUMBER_TAG.sub("", text).strip(), [tag.group().strip()]
-    if encloses(text):
-        text, gone = text[1:-1].strip(), [*gone, "outer_parens"]
-    return (text, gone) if gone else (keyword, [])
+    """The keyword without a field tag at its end and without its outermost parentheses, and what went; else as it was."""
+    axis = number_axis(keyword)
+    gone = [x for x, there in ((axis["tag"], axis["tag"]), ("outer_parens", axis["wrapped"])) if there]
+    return axis["numbers"] if gone else keyword, gone
 
 
 def looks_like_numbers(keyword: str | None) -> bool:
-    """Whether a query without hits was a list of numbers."""
-    if not keyword:
-        return False
-    core = keyword.strip()
-    core = core[1:-1].strip() if core.startswith("(") and core.endswith(")") else core
-    return bool(NUMBER_TAG.search(keyword) or NUMBER_LIST.match(core) and re.search(r"\d", core))
+    """Whether a query without hits was a list of numbers: it has a field tag, or is words joined by or, and a digit."""
+    axis = number_axis((keyword or "").strip())
+    return bool(axis["tag"]) or bool(NUMBER_LIST.match(axis["numbers"]) and re.search(r"\d", axis["numbers"]))
+
+
+def _keyword(q: dict) -> str | None:
+    """The keyword; on a number axis without what only forms take, and an error if then no list of numbers is left."""
+    word = q.get("keyword")
+    if not word or not (number_axis(word)["tag"] or str(q.get("keyword_field") or "").upper() == "PN"):
+        return word
+    numbers, gone = clean_number_axis(word)
+    if gone and not NUMBER_LIST.match(numbers):
+        raise QueryError(f"no list of numbers is left of {word!r}")
+    return numbers
+
+
+#: What each part of a query becomes; a rule sees the whole query.
+RULES = {
+    "keyword": _keyword,
+    "keyword_field": lambda q: q.get("keyword_field") or "TI/AB",
+    "num": lambda q: max(1, int(q.get("num") or DEFAULT_ROWS)),
+    "skip": lambda q: max(0, int(q.get("skip") or 0)),
+    "date_from": lambda q: date_digits(q.get("date_from")),
+    "date_to": lambda q: date_digits(q.get("date_to")),
+    "databases": lambda q: list(filter(None, (str(d).strip() for d in q.get("databases") or ()))) or None,
+}
 
 
 def normalise(**query) -> dict:
     """A query with trimmed strings (blank: None), at least one row, no negative skip, digits for dates, clean databases."""
-    q = {k: (v.strip() or None) if isinstance(v, str) else v for k, v in query.items()}
-    q["keyword_field"] = q.get("keyword_field") or "TI/AB"
-    if q.get("keyword") and (NUMBER_TAG.search(q["keyword"]) or q["keyword_field"].upper() == "PN"):
-        cleaned, gone = clean_number_axis(q["keyword"])
-        if gone and not NUMBER_LIST.match(cleaned):
-            raise QueryError(f"no list of numbers is left of {q['keyword']!r}")
-        q["keyword"] = cleaned
-    q["num"], q["skip"] = max(1, int(q.get("num") or DEFAULT_ROWS)), max(0, int(q.get("skip") or 0))
-    q["date_from"], q["date_to"] = date_digits(q.get("date_from")), date_digits(q.get("date_to"))
-    q["databases"] = [d for x in q.get("databases") or [] if (d := str(x).strip())] or None
-    return q
+    trimmed = {k: (v.strip() or None) if isinstance(v, str) else v for k, v in query.items()}
+    return trimmed | {k: rule(trimmed) for k, rule in RULES.items() if k != "keyword" or k in trimmed}
 
 
 def check_expression(text: str | None, fields: set[str]) -> str | None:
@@ -162,20 +172,21 @@ def checked(value, name: str, kind: type, low=None, high=None, choices=None):
     return value
 
 
+#: How a value is shown, by the first of these types that it is of.
+SHOWN = [
+    (str, lambda v: v[:80] + "…" * (len(v) > 80)),
+    ((int, float, type(None)), lambda v: v),
+    ((list, tuple), lambda v: f"<{type(v).__name__} len={len(v)}>"),
+    (dict, lambda v: f"<dict keys={len(v)}>"),
+    (object, lambda v: f"<{type(v).__name__}>"),
+]
+
+
 def summarise(arguments: dict, cap: int = 300) -> str:
     """Arguments as a short JSON text: secrets masked, strings cut at 80, containers as their size, the whole at ``cap``."""
-
-    def short(k, v):
-        if k.lower() in SECRET:
-            return "***"
-        if isinstance(v, str):
-            return v if len(v) <= 80 else v[:80] + "…"
-        if isinstance(v, int | float | bool) or v is None:
-            return v
-        return f"<{type(v).__name__} len={len(v)}>" if isinstance(v, list | tuple) else f"<dict keys={len(v)}>" if isinstance(v, dict) else f"<{type(v).__name__}>"
-
-    text = json.dumps({k: short(k, v) for k, v in arguments.items()}, ensure_ascii=False, default=str)
-    return text if len(text) <= cap else text[:cap] + "…"
+    shown = {k: "***" if k.lower() in SECRET else next(show for kind, show in SHOWN if isinstance(v, kind))(v) for k, v in arguments.items()}
+    text = json.dumps(shown, ensure_ascii=False, default=str)
+    return text[:cap] + "…" * (len(text) > cap)
 
 
 def fetch_size(top_k: int, asked: int | None = None) -> int:
