@@ -220,7 +220,7 @@ f AS (SELECT doc_id, len(b.w) AS len, coalesce(sum(q.w * len(list_filter(b.w, la
 SELECT doc_id, round(score, 6) AS score FROM f""")
 def okapi_scores(spark, d):
     docs = table(spark, d, "documents")
-    return fulltext.okapi(docs, ["the", "que", "und"], 1 << 30)
+    return fulltext.okapi(docs, ["the", "que", "und"])
 
 
 @query("SELECT user_id, round(sum(value), 9) AS value, max(event_id) AS event_id, count(*) AS queries FROM events GROUP BY user_id")
@@ -273,10 +273,11 @@ def biblio_records(spark, d):
     return adapters.biblio_record(rows, "n", "b").select("pubno", "ipc", "title", "assignee")
 
 
-@query("""WITH t AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'What is claimed is:' WHEN 1 THEN 'x 1. ' || text || ' 2. rest' WHEN 2 THEN '' ELSE text END AS t FROM conversations WHERE NOT regexp_matches(text, '[0-9][.、]'))
-SELECT conv_id, turn, turn % 4 IN (0, 2) OR regexp_matches(t, '^\\s*$') AS empty, CASE turn % 4 WHEN 0 THEN t WHEN 1 THEN trim(regexp_replace(trim(text_), '\\s+', ' ', 'g')) WHEN 2 THEN 'Claim 1 not found.' ELSE trim(t) END AS claim FROM t JOIN (SELECT conv_id, turn, text AS text_ FROM conversations) USING (conv_id, turn)""")
+@query("""WITH n AS (SELECT conv_id, turn, regexp_replace(text, '([0-9])[.、]', '\\1;', 'g') AS text FROM conversations), t AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'What is claimed is:' WHEN 1 THEN 'x 1. ' || text || ' 2. rest' WHEN 2 THEN '' ELSE text END AS t FROM n)
+SELECT conv_id, turn, turn % 4 IN (0, 2) OR regexp_matches(t, '^\\s*$') AS empty, CASE turn % 4 WHEN 0 THEN t WHEN 1 THEN trim(regexp_replace(trim(text_), '\\s+', ' ', 'g')) WHEN 2 THEN 'Claim 1 not found.' ELSE trim(t) END AS claim FROM t JOIN (SELECT conv_id, turn, text AS text_ FROM n) USING (conv_id, turn)""")
 def claim_texts(spark, d):
-    k, text = F.col("turn") % 4, F.col("text")
+    # numbers that end in a stop would be claims themselves
+    k, text = F.col("turn") % 4, F.regexp_replace("text", "([0-9])[.、]", "$1;")
     t = F.when(k == 0, "What is claimed is:").when(k == 1, F.concat(F.lit("x 1. "), text, F.lit(" 2. rest"))).when(k == 2, "").otherwise(text)
-    rows = table(spark, d, "conversations").where(~text.rlike("[0-9][.、]")).select("conv_id", "turn", t.alias("t"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", t.alias("t"))
     return rows.select("conv_id", "turn", patent_text.claim1_empty(F.col("t")).alias("empty"), patent_text.claim1(F.col("t")).alias("claim"))

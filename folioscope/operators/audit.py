@@ -84,11 +84,13 @@ def fill_rate(df: DataFrame, value: str, by: str | None = None) -> DataFrame:
 
 def error_counts(df: DataFrame, by: str, failed: Column, order: str, message: str, samples: int = 10) -> DataFrame:
     """by, errors, successes, and the first ``samples`` messages of errors in order."""
-    place = F.row_number().over(Window.partitionBy(by, failed).orderBy(order))
-    marked = df.withColumn("_failed", failed).withColumn("_n", place)
-    few = F.when(F.col("_failed") & (F.col("_n") <= samples), F.struct(F.col("_n"), F.col(message).alias("m")))
-    out = marked.groupBy(by).agg(F.count_if("_failed").alias("errors"), F.count_if(~F.col("_failed")).alias("successes"), F.array_sort(F.collect_list(few)).alias("s"))
-    return out.select(by, "errors", "successes", F.array_join(F.transform("s", lambda x: x["m"].cast("string")), ",").alias("samples"))
+    marked = df.withColumn("_failed", failed)
+    counts = marked.groupBy(by).agg(F.count_if("_failed").alias("errors"), F.count_if(~F.col("_failed")).alias("successes"))
+    # a limit on the rank: each partition keeps its first rows before any are sorted together
+    few = marked.where("_failed").withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(F.col("_n") <= samples)
+    few = few.groupBy(F.col(by).alias("_by")).agg(F.array_sort(F.collect_list(F.struct("_n", F.col(message).alias("m")))).alias("s"))
+    out = counts.join(few, counts[by].eqNullSafe(few["_by"]), "left")
+    return out.select(by, "errors", "successes", F.coalesce(F.array_join(F.transform("s", lambda x: x["m"].cast("string")), ","), F.lit("")).alias("samples"))
 
 
 def fuse(df: DataFrame, by: str, order: list[str], failure: Column, limit: int = 8) -> DataFrame:

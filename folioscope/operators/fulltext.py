@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 K1, B, RRF = 1.2, 0.75, 60
@@ -74,8 +74,8 @@ def graded(objects: DataFrame, edges: DataFrame, key: str, kinds: list[str]) ->
     return objects.join(best, key, "left")
 
 
-def okapi(docs: DataFrame, terms: list[str], n: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The n best documents, those without a score included: BM25Okapi over lower-cased white-space words.
+def okapi(docs: DataFrame, terms: list[str], n: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The n best documents, or all in no order, those without a score included: BM25Okapi over lower-cased white-space words.
 
     Its idf is log((N - df + 0.5) / (df + 0.5)); where that is negative it is a quarter of the mean idf of all words.  The
     mean comes from one count of words by document, which combines on the map side.
@@ -92,7 +92,8 @@ def okapi(docs: DataFrame, terms: list[str], n: int, key: str = "doc_id", text:
     for i, t in enumerate(terms):
         f, w = F.col("_tf")[t], F.coalesce(F.when(F.col(f"_i{i}") < 0, OKAPI_EPSILON * F.col("_mean")).otherwise(F.col(f"_i{i}")), F.lit(0.0))
         score = score + w * f * (OKAPI_K1 + 1) / (f + OKAPI_K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
-    return out.select(key, F.round(score, 6).alias("score")).orderBy(F.desc("score"), key).limit(n)
+    out = out.select(key, F.round(score, 6).alias("score"))
+    return out if n is None else out.orderBy(F.desc("score"), key).limit(n)
 
 
 def fuse_weighted(lists: dict[str, tuple[DataFrame, float]], key: str, n: int, allowed: DataFrame | None = None) -> DataFrame:
@@ -116,7 +117,8 @@ def accumulate(hits: DataFrame, key: str, score: str, subs: list[str]) -> DataFr
 def merge_hits(hits: DataFrame, number: str, link: str, title: str, order: list[str]) -> DataFrame:
     """The first hit of each patent: by number, else link, else the first 120 characters of the title."""
     name = F.coalesce(F.nullif(F.trim(F.col(number)), F.lit("")), F.nullif(F.trim(F.col(link)), F.lit("")), F.substring(title, 1, 120))
-    return hits.withColumn("_key", name).withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy(*order))).where("_n = 1").drop("_key", "_n")
+    rest = F.struct(*[F.col(f"`{c}`") for c in hits.columns])
+    return hits.groupBy(name.alias("_key")).agg(F.min_by(rest, F.struct(*order)).alias("x")).select("x.*")
 
 
 def fan_out(ranked: dict[str, DataFrame], key: str, n: int) -> DataFrame:

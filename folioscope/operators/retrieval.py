@@ -24,8 +24,8 @@ def _is(term: str):
 def bm25(docs: DataFrame, terms: list[str], n: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The n best documents by BM25 over lower-cased white-space words; statistics cover all documents."""
     words = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+")
-    tf = [F.size(F.filter(words, _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
-    base = docs.select(key, F.size(words).alias("len"), *tf)
+    counted = lambda w: F.struct(F.size(w).alias("len"), *[F.size(F.filter(w, _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)])
+    base = docs.select(key, F.inline(F.transform(F.array(words), counted)))  # the words are split once
     stats = base.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     score = F.lit(0.0)
     for i in range(len(terms)):

@@ -97,7 +97,12 @@ def matches(query: str, field: Column) -> Column:
 
 
 def near(field: Column, first: str, second: str, low: int, high: int) -> Column:
-    """Whether ``second`` stands low..high words after ``first`` (negative: before)."""
+    """Whether ``second`` stands low..high words after ``first`` (negative: before): its places meet those reached from the other's in a hashed set."""
     words = F.split(F.lower(F.coalesce(field, F.lit(""))), r"\W+")
-    at = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-    return F.exists(F.filter(at, lambda x: x["w"] == first), lambda x: F.exists(F.filter(at, lambda y: y["w"] == second), lambda y: (y["i"] - x["i"]).between(low, high)))
+
+    def meets(words: Column) -> Column:
+        at = lambda term: F.filter(F.transform(words, lambda w, i: F.when(w == term, i)), lambda i: i.isNotNull())
+        reached = F.flatten(F.transform(at(first), lambda i: F.sequence(i + low, i + high)))
+        return F.arrays_overlap(reached, at(second))
+
+    return F.transform(F.array(words), meets)[0]  # the words are split once
