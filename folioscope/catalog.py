@@ -233,4 +233,4 @@ def tech_effect_matrix(spark, d):
     return table(spark, d, "part").groupBy("p_type", "p_brand").agg(F.count(F.lit(1)).alias("n"))
 
 
-from folioscope import catalog_answers, catalog_documents, catalog_filings, catalog_pool, catalog_records, catalog_review, catalog_search, catalog_support  # noqa: E402, F401 - register their queries
+from folioscope import catalog_answers, catalog_desk, catalog_documents, catalog_filings, catalog_pool, catalog_records, catalog_review, catalog_search, catalog_support  # noqa: E402, F401 - register their queries

@@ -25,8 +25,10 @@ def rendered(df: DataFrame, headers: dict[str, str]) -> DataFrame:
     return df.select(*[cell(n).alias(h) for n, h in headers.items()])
 
 
-def write_csv(df: DataFrame, path: str, headers: dict[str, str]) -> None:
-    """Files with headers, cells quoted where needed; rows end by CR LF."""
+def write_csv(df: DataFrame, path: str, headers: dict[str, str], mark: bool = False) -> None:
+    """Files with headers, cells quoted where needed; rows end by CR LF.  mark: a byte-order mark before the headers."""
+    first = next(iter(headers))
+    headers = {k: f"\ufeff{h}" if mark and k == first else h for k, h in headers.items()}
     rendered(df, headers).write.option("header", True).option("escape", '"').option("emptyValue", "").option("lineSep", "\r\n").csv(path)
 
 

@@ -171,3 +171,17 @@ def test_odd_answers(spark):
     assert not any(r["found"] for r in out) and {(r["title"], r["abstract"], r["apply_no"], tuple(r["ipc"])) for r in out} == {("", "", "", ())}
     assert {tuple(map(str, r["f"])) for r in df.select(exchange.family(F.col("j")).alias("f")).collect()} == {("None", "[]")}
     assert Counter(r["id"] for r in exchange.family_ids(spark.createDataFrame([(1, None), (2, "<exchange-document >"), (3, '<exchange-document family-id="7">')], "k int, x string"), "k", "x").collect()) == {}
+
+
+def test_desk(spark):
+    from folioscope.operators import desk
+
+    assert desk.query_groups("(A OR B OR C) and (D OR E) not (F OR G)") == {"positive": [["A", "B", "C"], ["D", "E"]], "not": [["F", "G"]]}
+    assert desk.query_groups('("vital sign" OR radar) not (vehicle)') == {"positive": [['"vital sign"', "radar"]], "not": [["vehicle"]]}
+    assert desk.query_groups("radar and (fall OR drop) not noise") == {"positive": [["radar"], ["fall", "drop"]], "not": [["noise"]]}
+    f = value(spark, desk.claims_format(F.lit("")))
+    assert (f["numbers"], f["none"], f["not_consecutive"]) == ([], True, False)
+    heads = desk.heads(spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, None)], "k int, f string"), F.col("f"), "k", "k").orderBy("k").collect()
+    assert [(r["k"], r["n"], r["members"]) for r in heads] == [(1, 2, [2]), (3, 1, []), (4, 1, [])]
+    empty = desk.rerank(spark.createDataFrame([(1, 2, None)], "k int, s int, t string"), "k", "s", "t", "", 5, 5).collect()
+    assert [(r["k"], r["rerank"]) for r in empty] == [(1, 0.0)]
