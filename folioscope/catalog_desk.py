@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from folioscope.functions import office_lists
 from folioscope.operators import desk, filings
 from folioscope.registry import query
 from folioscope.sources import readers, sinks
@@ -137,3 +139,44 @@ def two_part_independent(spark, d):
     size, name = F.col("p_size"), F.col("p_name")
     body = F.when(size % 4 == 0, F.concat(F.lit("A thing, characterised in that "), name)).when(size % 4 == 1, F.concat(F.lit("wherein the improvement comprises "), name)).otherwise(name)
     return table(spark, d, "part").where(size % 3 == 0).where(~filings.two_part(body)).select("p_partkey")
+
+
+_ABSTRACTS = "a AS (SELECT doc_id, replace(replace(text, '. ', '.' || chr(10)), ' the ', ' means ') AS t FROM documents)"
+
+
+@query(rf"""WITH {_ABSTRACTS}, c AS (SELECT doc_id, t, len(regexp_extract_all(t, '[^ \t\n\r\f]+')) AS n, len(string_split(t, chr(10))) AS l, array_to_string(list_filter([{', '.join(rf"CASE WHEN regexp_matches(t, '(?i)\b{t}\b') THEN '{t}' END" for t in filings.CLAIM_TERMS)}], lambda x: x IS NOT NULL), ',') AS terms FROM a)
+SELECT doc_id, unnest(list_filter([CASE WHEN n < 50 THEN 'WARNING:short:' || n WHEN n > 150 THEN 'WARNING:long:' || n END, CASE WHEN l > 15 THEN 'WARNING:lines:' || l END, CASE WHEN terms <> '' THEN 'INFO:terms:' || terms END, CASE WHEN contains(t, chr(10) || chr(10)) THEN 'INFO:paragraphs:' END], lambda x: x IS NOT NULL)) AS issue FROM c""")
+def us_abstract_checks(spark, d):
+    t = F.replace(F.replace("text", F.lit(". "), F.lit(".\n")), F.lit(" the "), F.lit(" means "))
+    rows = table(spark, d, "documents").select("doc_id", F.inline(filings.us_abstract_issues(t)))
+    return rows.select("doc_id", F.concat_ws(":", "severity", "problem", "detail").alias("issue"))
+
+
+_PARTS_OF = {" of ": " Technical  field ", " la ": " prior art ", " und ": " object of the invention ", " the ": " best mode ", " der ": " description of figures ", " in ": " industrial applicability "}
+
+
+@query("WITH s AS (SELECT doc_id, " + "".join("replace(" for _ in _PARTS_OF) + "text" + "".join(f", '{a}', '{b}')" for a, b in _PARTS_OF.items()) + " AS s FROM documents) SELECT doc_id, unnest(list_filter([" + ", ".join(f"CASE WHEN NOT regexp_matches(s, '(?i){'|'.join(f'(?:{p})' for p in ps)}') THEN '{'IMPORTANT' if n.startswith('Indus') else 'CRITICAL'}:{n}' END" for n, ps in filings.EP_DESCRIPTION.items()) + "], lambda x: x IS NOT NULL)) AS missing FROM s")
+def ep_description(spark, d):
+    s = F.col("text")
+    for a, b in _PARTS_OF.items():
+        s = F.replace(s, F.lit(a), F.lit(b))
+    return table(spark, d, "documents").select("doc_id", F.inline(filings.ep_missing_parts(s))).select("doc_id", F.concat_ws(":", "severity", "part").alias("missing"))
+
+
+# result lists of suppliers by nation, in three layouts; behind a link's number stands its title's first letter, which the number's kind takes
+@query("""WITH s AS (SELECT s_nationkey AS nation, s_nationkey % 3 AS layout, s_name, 'CN' || (100000000 + s_suppkey) AS number, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS nth FROM supplier)
+SELECT nation, 'Title of ' || s_name AS title, CASE layout WHEN 0 THEN number || 'A' WHEN 1 THEN number || 'B' ELSE number || 'T' END AS pub_number, CASE layout WHEN 1 THEN CASE WHEN nth % 2 = 0 THEN 'http://lists.example/patent/' || number || 'B' ELSE 'http://other.example/patent/' || number || 'B' END WHEN 0 THEN 'http://lists.example/x/' || number ELSE 'http://lists.example/patent/' || number END AS link, CASE WHEN layout = 1 AND nth % 3 > 0 THEN 'What it is about' END AS abstract FROM s""")
+def office_hits(spark, d):
+    s = table(spark, d, "supplier").withColumn("nth", F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")))
+    number = F.concat(F.lit("CN"), (F.col("s_suppkey") + 100000000).cast("string"))
+    join = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    title = join("Title of ", F.col("s_name"))
+    row = join('<tr><td><a href="/x/', number, '" title="', title, '">', "go", "</a><td>", F.substring(number, 1, 2), " ", F.substr(number, F.lit(3)), "A </tr>")
+    own = F.when(F.col("nth") % 2 == 0, join("<dl><dt>申请公布号：</dt><dd> ", number, "B </dd></dl>")).otherwise(join('<div title="http://other.example/patent/', number, 'B"></div>'))
+    card = join('<div class="item"><h1 class="title"> ', title, " \n</h1>", own, F.when(F.col("nth") % 3 > 0, "<dl><dt>摘要：</dt><dd>What <b>it</b> is\n about</dd></dl>").otherwise("<dl><dt>摘要：</dt><dd>no</dd></dl>"))
+    link = join('<a class=x href="/patent/', number, '">', title, '</a><a href="/patent/', number, '">again</a><a href="/about">no</a><a href="javascript:show()">no</a>')
+    layout = F.col("s_nationkey") % 3
+    piece = F.when(layout == 0, F.concat(row, row)).when(layout == 1, card).otherwise(link)
+    pages = s.groupBy("s_nationkey").agg(F.array_join(F.array_sort(F.collect_list(F.struct("nth", piece.alias("h")))).getField("h"), "\n").alias("h"))
+    html = F.concat(F.lit("<table><tr><td>indexQuery form of this page</tr><tr>short</tr></table>"), "h")
+    return pages.select(F.col("s_nationkey").alias("nation"), F.inline(office_lists.hits(html, "http://lists.example/")))

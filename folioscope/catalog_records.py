@@ -67,7 +67,7 @@ def _raws(spark, d):
 
 @query(f"""WITH {_RAWS}, c AS (SELECT *, upper(regexp_replace(raw, '[ /-]', '', 'g')) AS compact FROM f)
 SELECT p_partkey, compact, country || body AS key, CASE WHEN compact = country || body THEN compact ELSE country || body || ',' || compact END AS variants, regexp_extract(body, '^[IMD]?[0-9]+') AS web, 'pub' AS axis FROM c""")
-def number_forms(spark, d):
+def number_keys(spark, d):
     raw = F.col("raw")
     web = pubno.web_form(raw)
     return _raws(spark, d).select("p_partkey", pubno.compact(raw).alias("compact"), pubno.key(raw).alias("key"), F.array_join(pubno.key_variants(raw), ",").alias("variants"), web["number"].alias("web"), web["axis"].alias("axis"))

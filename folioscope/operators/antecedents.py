@@ -34,7 +34,7 @@ def plural(word: Column) -> Column:
 
 def occurrences(text: Column, pattern: str, group: int) -> Column:
     """(at, name) of every match of a pattern, in order; at counts characters from 0."""
-    found = lambda g: F.regexp_extract_all(text, F.lit(f"(?si)(.*?)(?:{pattern})"), F.lit(g))
+    found = lambda g: F.regexp_extract_all(text, F.lit(rf"(?si)\G(.*?)(?:{pattern})"), F.lit(g))
     rows = F.arrays_zip(found(1).alias("gap"), found(0).alias("all"), found(group + 1).alias("name"))
     none = F.from_json(F.lit("[]"), "array<struct<at:int,name:string>>")
     step = lambda s, x: F.struct((s["to"] + F.length(x["all"])).alias("to"), F.concat(s["out"], F.array(F.struct((s["to"] + F.length(x["gap"])).alias("at"), normal(x["name"]).alias("name")))).alias("out"))

@@ -158,3 +158,28 @@ def support(elements: DataFrame, paras: DataFrame, element: str, key: list[str],
     hits = asked.join(index, "_word").groupBy(element, "_n", *key).agg(F.count(F.lit(1)).alias("_m")).where("_m = _n").groupBy(element).agg(F.count(F.lit(1)).alias("n_paragraphs"))
     out = wanted.select(element).join(hits, element, "left").na.fill(0, ["n_paragraphs"])
     return out.withColumn("severity", F.when(F.col("n_paragraphs") == 0, "CRITICAL").when(F.col("n_paragraphs") == 1, "IMPORTANT"))
+
+
+# Lines and terms of a United States abstract, and the parts of a European description.
+ABSTRACT_LINES, CLAIM_TERMS = 15, ["means", "said", "whereby"]
+EP_DESCRIPTION = {
+    "Technical field": [r"technical\s+field", r"field\s+of\s+(?:the\s+)?invention"],
+    "Background art": [r"background\s+(?:art|of\s+(?:the\s+)?invention)", r"prior\s+art", r"related\s+art"],
+    "Disclosure of the invention": [r"(?:disclosure|summary)\s+of\s+(?:the\s+)?invention", r"technical\s+problem", r"object\s+of\s+(?:the\s+)?invention"],
+    "Brief description of drawings": [r"brief\s+description\s+of\s+(?:the\s+)?(?:drawings?|figures?)", r"description\s+of\s+(?:the\s+)?(?:drawings?|figures?)"],
+    "Detailed description": [r"detailed\s+description", r"description\s+of\s+(?:the\s+)?(?:preferred\s+)?embodiments?", r"modes?\s+(?:of|for)\s+carrying\s+out\s+(?:the\s+)?invention", r"best\s+mode"],
+    "Industrial applicability": [r"industrial\s+applicab", r"(?:technical\s+)?application\s+(?:of|in)\s+industry"],
+}
+
+
+def us_abstract_issues(text: Column, least: int = 50, most: int = 150) -> Column:
+    """(severity, problem, detail) of an abstract: words, lines, terms of claims, paragraphs."""
+    issue = lambda test, severity, problem, detail: F.when(test, F.struct(F.lit(severity).alias("severity"), F.lit(problem).alias("problem"), detail.cast("string").alias("detail")))
+    n, lines = words(text), F.size(F.split(text, "\n"))
+    terms = F.array_compact(F.array(*[F.when(text.rlike(rf"(?i)\b{t}\b"), t) for t in CLAIM_TERMS]))
+    return F.array_compact(F.array(issue(n < least, "WARNING", "short", n), issue(n > most, "WARNING", "long", n), issue(lines > ABSTRACT_LINES, "WARNING", "lines", lines), issue(F.size(terms) > 0, "INFO", "terms", F.array_join(terms, ",")), issue(F.contains(text, F.lit("\n\n")), "INFO", "paragraphs", F.lit(""))))
+
+
+def ep_missing_parts(text: Column) -> Column:
+    """(severity, part) of the parts that a European description hasn't; industrial applicability is only IMPORTANT."""
+    return F.transform(missing_parts(text, EP_DESCRIPTION), lambda p: F.struct(F.when(p == "Industrial applicability", "IMPORTANT").otherwise("CRITICAL").alias("severity"), p.alias("part")))
