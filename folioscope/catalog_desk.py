@@ -180,3 +180,37 @@ def office_hits(spark, d):
     pages = s.groupBy("s_nationkey").agg(F.array_join(F.array_sort(F.collect_list(F.struct("nth", piece.alias("h")))).getField("h"), "\n").alias("h"))
     html = F.concat(F.lit("<table><tr><td>indexQuery form of this page</tr><tr>short</tr></table>"), "h")
     return pages.select(F.col("s_nationkey").alias("nation"), F.inline(office_lists.hits(html, "http://lists.example/")))
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders WHERE contains(o_orderpriority, '2-H') ORDER BY o_orderkey LIMIT 25")
+def section_lookup(spark, d):
+    return desk.section(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "2-H", "o_orderkey", 25)
+
+
+_CLAIM1 = "c AS (SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN 'What is claimed is:' WHEN 1 THEN ' 　 ' WHEN 2 THEN NULL WHEN 3 THEN 'We Claim' ELSE 'A thing. ' || text END AS c FROM conversations)"
+
+
+def _claim1(spark, d):
+    k = F.col("turn") % 5
+    c = F.when(k == 0, "What is claimed is:").when(k == 1, "   ").when(k == 2, None).when(k == 3, "We Claim").otherwise(F.concat(F.lit("A thing. "), "text"))
+    return desk.claim1_audit(table(spark, d, "conversations").select("conv_id", "turn", c.alias("c")), "conv_id", "turn", "c")
+
+
+@query(f"WITH {_CLAIM1} SELECT conv_id, count(*) AS n, count(*) FILTER (turn % 5 < 4) AS empty FROM c GROUP BY conv_id")
+def claim1_counts(spark, d):
+    return _claim1(spark, d)[0]
+
+
+@query(f"WITH {_CLAIM1} SELECT conv_id, turn FROM c WHERE turn % 5 < 4")
+def claim1_missing(spark, d):
+    return _claim1(spark, d)[1]
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN array_to_string([lang, source], ',') END AS names, CASE WHEN doc_id % 3 < 2 THEN n_chars END AS size, sha256(coalesce(text, '')) AS content FROM documents")
+def json_cells(spark, d):
+    """Lists and structs written as JSON cells and read back; every third cell is damaged or blank."""
+    docs = table(spark, d, "documents").select("doc_id", F.array("lang", "source").alias("names"), F.struct("n_chars").alias("size"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("content"))
+    cells = desk.as_json(docs, ["names", "size"])
+    bad = F.col("doc_id") % 3 == 2
+    cells = cells.withColumns({"names": F.when(bad, F.lit("[oops")).otherwise(F.col("names")), "size": F.when(bad, F.lit(" ")).otherwise(F.col("size"))})
+    return cells.select("doc_id", F.array_join(desk.from_json_text(F.col("names"), "array<string>"), ",").alias("names"), desk.from_json_text(F.col("size"), "struct<n_chars:bigint>")["n_chars"].alias("size"), "content")

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.functions.patent_text import claim1_empty
 from folioscope.operators.retrieval import chunks
 from folioscope.plans.boolean_query import parse
 
@@ -122,9 +123,30 @@ def flattened(df: DataFrame, key: str, items: Column) -> DataFrame:
 
 
 def ordered_distinct(df: DataFrame, key: str, order: str) -> DataFrame:
-    """Each key once, with the place where it came first and its rank among them."""
-    first = df.groupBy(key).agg(F.min(order).alias("first"))
-    return first
+    """Each key once, with the place where it came first."""
+    return df.groupBy(key).agg(F.min(order).alias("first"))
+
+
+def section(pieces: DataFrame, label: str, wanted: str, order: str, most: int) -> DataFrame:
+    """The first pieces whose label has the wanted section in it."""
+    return pieces.where(F.contains(label, F.lit(wanted))).orderBy(order).limit(most)
+
+
+def claim1_audit(records: DataFrame, by: str, key: str, claim: str) -> tuple[DataFrame, DataFrame]:
+    """(by, n, empty; by, key): how many records have no claim 1, or a header in its place, and which."""
+    marked = records.select(by, key, claim1_empty(F.col(claim)).alias("empty"))
+    return marked.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count_if("empty").alias("empty")), marked.where("empty").select(by, key)
+
+
+def as_json(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Lists, structs and maps of some columns as JSON text, other values as they are; null stays null."""
+    nested = {f.name: f.dataType.typeName() in ("array", "struct", "map") for f in df.schema.fields}
+    return df.withColumns({c: F.to_json(c) if nested[c] else F.col(c).cast("string") for c in columns})
+
+
+def from_json_text(column: Column, schema: str) -> Column:
+    """A JSON cell as the type asked for; what can't be read, or is blank, is null."""
+    return F.try_variant_get(F.try_parse_json(F.nullif(F.trim(column), F.lit(""))), "$", schema)
 
 
 def jurisdiction(code: Column) -> Column:
