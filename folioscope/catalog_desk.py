@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from folioscope.functions import office_lists
-from folioscope.operators import desk, filings
+from folioscope.functions import markup, office_lists, pubno
+from folioscope.operators import desk, filings, pool
 from folioscope.registry import query
 from folioscope.sources import readers, sinks
 from folioscope.sources.tables import scratch, table
@@ -214,3 +214,37 @@ def json_cells(spark, d):
     bad = F.col("doc_id") % 3 == 2
     cells = cells.withColumns({"names": F.when(bad, F.lit("[oops")).otherwise(F.col("names")), "size": F.when(bad, F.lit(" ")).otherwise(F.col("size"))})
     return cells.select("doc_id", F.array_join(desk.from_json_text(F.col("names"), "array<string>"), ",").alias("names"), desk.from_json_text(F.col("size"), "struct<n_chars:bigint>")["n_chars"].alias("size"), "content")
+
+
+@query("""SELECT p_partkey // 20 AS page, p_partkey, CASE WHEN p_partkey % 4 < 3 THEN '/record?n=' || p_partkey END AS link FROM part""")
+def page_links(spark, d):
+    """The link of a number among those of its page, found by digits; every fourth number isn't there."""
+    k = F.col("p_partkey")
+    number = F.concat(F.lit("US"), F.lpad((k + 100000).cast("string"), 8, "0"), F.lit("B"))
+    anchor = F.when(k % 4 < 3, F.concat(F.lit('<a class=x href="/record?n='), k.cast("string"), F.lit('">US <b>'), F.lpad((k + 100000).cast("string"), 8, "0"), F.lit("</b></a><a href=/other>none</a>"))).otherwise("<p>")
+    rows = table(spark, d, "part").select(F.floor(k / 20).alias("page"), "p_partkey", number.alias("number"), anchor.alias("a"))
+    pages = rows.groupBy("page").agg(F.array_join(F.array_sort(F.collect_list(F.struct("p_partkey", "a"))).getField("a"), "").alias("h"))
+    return rows.join(pages, "page").select("page", "p_partkey", markup.link_of(F.col("h"), F.col("number")).alias("link"))
+
+
+_META = """WITH p AS (SELECT s_suppkey, ['US', 'TW', 'EP', 'CN'][s_suppkey % 4 + 1] || lpad(s_suppkey::VARCHAR, 7, '0') AS pubno FROM supplier),
+a AS (SELECT pubno, '' AS country, s_suppkey::VARCHAR AS title FROM p WHERE s_suppkey % 3 = 0), b AS (SELECT pubno, 'XX' AS country, '' AS title FROM p WHERE s_suppkey % 2 = 0),
+m AS (SELECT p.pubno, CASE WHEN a.pubno IS NULL AND b.pubno IS NOT NULL THEN 'XX' ELSE left(p.pubno, 2) END AS country, coalesce(nullif(CASE WHEN a.pubno IS NOT NULL THEN a.title ELSE b.title END, ''), 'Unknown') AS title, CASE WHEN a.pubno IS NOT NULL THEN 0 WHEN b.pubno IS NOT NULL THEN 1 END AS level FROM p LEFT JOIN a ON a.pubno = p.pubno LEFT JOIN b ON b.pubno = p.pubno)
+"""
+
+
+def _metadata(spark, d):
+    s = table(spark, d, "supplier").select("s_suppkey", "s_name", F.concat(F.element_at(F.array(*map(F.lit, ("US", "TW", "EP", "CN"))), (F.col("s_suppkey") % 4 + 1).cast("int")), F.lpad(F.col("s_suppkey").cast("string"), 7, "0")).alias("pubno"))
+    first = s.where("s_suppkey % 3 = 0").select("pubno", F.lit("").alias("country"), F.col("s_suppkey").cast("string").alias("title"))
+    second = s.where("s_suppkey % 2 = 0").select("pubno", F.lit("XX").alias("country"), F.lit("").alias("title"))
+    return pool.metadata(s, "pubno", [(first, None), (second, None)], ["country", "title"], ["title"], {"country": pubno.country(F.col("pubno"))})
+
+
+@query(_META + "SELECT pubno, country, title, level FROM m")
+def metadata_defaults(spark, d):
+    return _metadata(spark, d)
+
+
+@query(_META + "SELECT pubno, CASE WHEN level IS NULL THEN 'no record' ELSE 'no fields' END AS reason FROM m WHERE level IS NULL OR title = 'Unknown'")
+def metadata_gaps(spark, d):
+    return pool.gaps(_metadata(spark, d), "pubno", ["title"])

@@ -44,3 +44,11 @@ def pdf_link(html: Column) -> Column:
     url = F.nullif(F.regexp_extract(html, r'<meta\s+name="citation_pdf_url"\s+content="([^"]+)"', 1), F.lit(""))
     guessed = F.contains(url, F.lit("/pdfs/")) & (F.length(F.substring_index(url, "/", -1)) < 20)
     return F.when(~guessed, url)
+
+
+def link_of(html: Column, number: Column) -> Column:
+    """The address of the page's first link whose text has the digits of a number; null without one, whatever place it has."""
+    digits = lambda c: F.regexp_replace(F.regexp_replace(c, r"\D", ""), "^0+", "")
+    anchors = F.regexp_extract_all(html, F.lit(r'(?is)<a\s[^>]*href="?[^\s">]+"?[^>]*>.*?</a>'), F.lit(0))
+    wanted = F.filter(anchors, lambda a: (digits(number) != "") & (digits(F.regexp_replace(a, r"<[^>]+>", " ")) == digits(number)))
+    return F.nullif(F.regexp_extract(F.get(wanted, F.lit(0)), r'(?i)href="?([^\s">]+)', 1), F.lit(""))

@@ -60,18 +60,28 @@ def first_form(requests: DataFrame, key: str, tried: Column, store: DataFrame, s
     return hits.groupBy(key).agg(F.min(F.struct("attempt", "form")).alias("x")).select(key, "x.form", "x.attempt")
 
 
-def metadata(pool: DataFrame, key: str, levels: list[tuple[DataFrame, Column | None]], fields: list[str], unknown: list[str]) -> DataFrame:
+def metadata(pool: DataFrame, key: str, levels: list[tuple[DataFrame, Column | None]], fields: list[str], unknown: list[str], defaults: dict[str, Column] | None = None) -> DataFrame:
     """key, fields, level for every row of the pool: the record of the first source that has the key.
 
     levels: (records, condition on the key or None) in the order of trying.  A key that no source has is a gap: level null,
     the fields in ``unknown`` hold "Unknown" and the others are blank.  Blank values of a found record count likewise.
+    defaults: what a field is where no source tells it, such as the country that a number begins with.
     """
     every = reduce(DataFrame.unionByName, [(d if when is None else d.where(when)).select(key, F.struct(F.lit(i).alias("level"), *fields).alias("x")) for i, (d, when) in enumerate(levels)])
     best = every.groupBy(key).agg(F.min("x").alias("x"))
-    said = [F.coalesce(F.nullif(F.col(f"x.{f}"), F.lit("")), F.lit("Unknown" if f in unknown else "")).alias(f) for f in fields]
+    told = lambda f: [F.nullif(F.col(f"x.{f}"), F.lit("")), *([F.nullif(defaults[f], F.lit(""))] if f in (defaults or {}) else [])]
+    said = [F.coalesce(*told(f), F.lit("Unknown" if f in unknown else "")).alias(f) for f in fields]
     return pool.select(key).join(best, key, "left").select(key, *said, "x.level")
 
 
+def gaps(filled: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """key, reason of the rows of ``metadata`` that no source had (no record), or whose fields are all blank or unknown (no fields)."""
+    bare = F.lit(True)
+    for f in fields:
+        bare = bare & F.col(f).isin("", "Unknown")
+    return filled.select(key, F.when(F.col("level").isNull(), "no record").when(bare, "no fields").alias("reason")).where("reason is not null")
+
+
 def fill_claims(records: DataFrame, found: DataFrame, key: str, source: str = "fallback") -> DataFrame:
     """records with claim1, claim1_empty and claim1_source: an empty claim takes the one found for its key, where that isn't blank."""
     other = found.groupBy(key).agg(F.min("claim1").alias("_claim"))
