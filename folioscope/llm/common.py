@@ -93,6 +93,7 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     table = path.rsplit("/", 1)[1].replace("-", "_")
     df.repartition(width, key).write.option("compression", "uncompressed").bucketBy(width, key).option("path", path).saveAsTable(table)
     out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # an external table: the entry goes, the files and what is known of their buckets stay
     out._folio_path = path
     return out
 

@@ -113,3 +113,12 @@ def test_repeated_words_take_little_memory():
     assert peak < 60e6 and counts.tolist() == [n, 12, 60]
     assert _hit_words(n, found[0]) == n and {m_["item_id"] for m_ in found[0]} == {"z"} and max(m_["words"] for m_ in found[0]) == m
     assert len(found[0]) == (n - 12) + (m - 12) - 1 and not found[1] and _hit_words(60, found[2]) == 60
+
+
+def test_no_table_stays(spark):
+    """Scoring leaves nothing in the catalog."""
+    from folioscope.llm.lm_score import score
+
+    before = {t.name for t in spark.catalog.listTables()}
+    df = spark.createDataFrame([(1, "a b a b a b", False), (2, "a b", True)], "doc_id long, text string, held_out boolean")
+    assert score(df).count() == 2 and {t.name for t in spark.catalog.listTables()} == before
