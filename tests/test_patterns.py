@@ -23,6 +23,6 @@ def same(spark, tmp_path, name, table, rows, schema):
     return got
 
 
-@pytest.mark.parametrize("name", ["claim_rules"])
+@pytest.mark.parametrize("name", ["claim_rules", "claim_scores"])
 def test_claims_beyond_ascii(spark, tmp_path, name):
     assert same(spark, tmp_path, name, "conversations", TURNS, "conv_id long, turn long, role string, text string")
