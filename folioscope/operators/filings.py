@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.functions.patterns import as_sql
+
 # Marks of trade names, longest titles, abstract sizes and the number of claims without a fee.
 TRADEMARKS = ["(TM)", "(R)", "(c)", "™", "®", "©"]
 TITLE_CRITICAL, TITLE_INFO = 500, 100
@@ -44,7 +46,7 @@ def words(text: Column) -> Column:
 
 def unit_counts(text: Column) -> list[Column]:
     """Occurrences of each unit that should be metric."""
-    return [F.size(F.regexp_extract_all(text, F.lit(f"(?i){p}"), F.lit(0))).alias(name) for name, p in UNITS.items()]
+    return [F.size(F.regexp_extract_all(text, F.lit(as_sql(p, fold=True)), F.lit(0))).alias(name) for name, p in UNITS.items()]
 
 
 def missing_parts(text: Column, parts: dict[str, list[str]] | None = None) -> Column:

@@ -26,3 +26,14 @@ def same(spark, tmp_path, name, table, rows, schema):
 @pytest.mark.parametrize("name", ["claim_rules", "claim_scores"])
 def test_claims_beyond_ascii(spark, tmp_path, name):
     assert same(spark, tmp_path, name, "conversations", TURNS, "conv_id long, turn long, role string, text string")
+
+
+UNITS = [
+    (1, "é5 ft 5 ftä 6 feet, ß7 in. 8 in.x", 7), (2, "5\x0bft 5\n inches_ 5 inches", 7), (3, "6 lbſ 7 mile\u017f 8 yard\u017f. 9 degree\u017f F 9 degreeS fahrenheit 9Fü", 7), (4, None, 7),
+    (5, "x5 ft _6 ft 7ft8 ft 9 ° F 9° Fß 32 F\u212a", 7), (6, "１２ ft ٣ ft 3 gal.é 3 gal. 4 galé", 7), (7, "", 7),
+]
+
+
+def test_units_beyond_ascii(spark, tmp_path):
+    got = same(spark, tmp_path, "unit_terms", "documents", UNITS, "doc_id long, text string, n_chars long")
+    assert sum(sum(r[1:]) for r in got if r[0] != 4) > 15
