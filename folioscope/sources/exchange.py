@@ -68,20 +68,29 @@ def biblio(df: DataFrame, key: str, answer: str) -> DataFrame:
     )
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), where the value is worked out once, however often it stands there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def family(answer: Column) -> Column:
     """family_id, members of a family answer: numbers in the order met, of each country and number the first one with its kind.
 
-    The id stands on the family, else on its first member.
+    The id stands on the family, else on its first member.  Time grows with the members as a sort does.
     """
-    fam = _at(F.try_parse_json(answer), "$['ops:world-patent-data']['ops:patent-family']")
-    members = many(fam, "$['ops:family-member']")
-    ids = F.flatten(F.transform(members, lambda m: many(m, "$['publication-reference']['document-id']")))
     there = lambda d: (_attribute(d, "document-id-type") == "docdb") & (said(_at(d, "$.country")) != "") & (said(_at(d, "$['doc-number']")) != "")
-    own = F.transform(F.filter(ids, there), lambda d: F.struct(F.concat(said(_at(d, "$.country")), said(_at(d, "$['doc-number']"))).alias("key"), _number(d).alias("number")))
-    keys = F.transform(own, lambda x: x["key"])
-    first = F.filter(own, lambda x, i: F.array_position(keys, x["key"]) == i + 1)
-    name = F.coalesce(F.nullif(_attribute(fam, "family-id"), F.lit("")), F.nullif(_attribute(F.get(members, F.lit(0)), "family-id"), F.lit("")))
-    return F.struct(name.alias("family_id"), F.coalesce(F.transform(first, lambda x: x["number"]), F.array().cast("array<string>")).alias("members"))
+    own = lambda d, i: F.struct(F.concat(said(_at(d, "$.country")), said(_at(d, "$['doc-number']"))).alias("key"), i.alias("i"), _number(d).alias("number"))
+    leads = lambda x: F.filter(x, lambda e, i: (i == 0) | (F.get(x, i - 1)["key"] != e["key"]))  # noqa: E731 - of each key, when sorted
+
+    def found(fam, members):
+        ids = F.flatten(F.transform(members, lambda m: many(m, "$['publication-reference']['document-id']")))
+        first = _let(F.sort_array(F.transform(F.filter(ids, there), own)), leads)
+        numbers = F.transform(F.sort_array(F.transform(first, lambda x: F.struct(x["i"].alias("i"), x["number"].alias("number")))), lambda x: x["number"])
+        name = F.coalesce(F.nullif(_attribute(fam, "family-id"), F.lit("")), F.nullif(_attribute(F.get(members, F.lit(0)), "family-id"), F.lit("")))
+        return F.struct(name.alias("family_id"), F.coalesce(numbers, F.array().cast("array<string>")).alias("members"))
+
+    fam = _at(F.try_parse_json(answer), "$['ops:world-patent-data']['ops:patent-family']")
+    return _let(fam, lambda f: _let(many(f, "$['ops:family-member']"), lambda m: found(f, m)))
 
 
 def family_ids(df: DataFrame, key: str, xml: str) -> DataFrame:
