@@ -41,6 +41,11 @@ def occurrences(text: Column, pattern: str, group: int) -> Column:
     return F.aggregate(rows, F.struct(F.lit(0).alias("to"), none.alias("out")), step, lambda s: s["out"])
 
 
+def _sorted(side: DataFrame) -> DataFrame:
+    """A side that grows with the claims, for a join by sorting: by its compressed size it would be broadcast, whole on the driver."""
+    return side.hint("merge")
+
+
 def lineage(claims: DataFrame, key: str, number: str, parent: str) -> DataFrame:
     """key, number, ancestor, steps: every claim with itself (0) and all claims it goes back to; the least steps count.
 
@@ -49,11 +54,11 @@ def lineage(claims: DataFrame, key: str, number: str, parent: str) -> DataFrame:
     """
     known = claims.select(F.col(key).alias("key"), F.col(number).alias("number")).distinct()
     up = claims.where(F.col(parent).isNotNull()).select(F.col(key).alias("key"), F.col(number).alias("number"), F.col(parent).alias("ancestor"), F.lit(1).alias("steps"))
-    pairs = checkpointed(up.join(known.withColumnRenamed("number", "ancestor"), ["key", "ancestor"]).groupBy("key", "number", "ancestor").agg(F.min("steps").alias("steps")))
+    pairs = checkpointed(up.join(_sorted(known.withColumnRenamed("number", "ancestor")), ["key", "ancestor"]).groupBy("key", "number", "ancestor").agg(F.min("steps").alias("steps")))
     n = pairs.count()
     while n:
         far = pairs.select("key", F.col("number").alias("ancestor"), F.col("ancestor").alias("beyond"), F.col("steps").alias("more"))
-        further = pairs.join(far, ["key", "ancestor"]).select("key", "number", F.col("beyond").alias("ancestor"), (F.col("steps") + F.col("more")).alias("steps"))
+        further = pairs.join(_sorted(far), ["key", "ancestor"]).select("key", "number", F.col("beyond").alias("ancestor"), (F.col("steps") + F.col("more")).alias("steps"))
         pairs = checkpointed(pairs.unionByName(further).groupBy("key", "number", "ancestor").agg(F.min("steps").alias("steps")))
         before, n = n, pairs.count()
         if n == before:
@@ -79,16 +84,16 @@ def missing_basis(claims: DataFrame, key: str, number: str, parent: str, body: s
     new = two.select("key", F.col("number").alias("ancestor"), F.inline(occurrences(F.col("body"), INTRODUCES, 2)))
     new = new.groupBy("key", "ancestor", "name").agg(F.min("at").alias("since"))
     ancestors = lineage(claims, key, number, parent).select(F.col(key).alias("key"), F.col(number).alias("number"), "ancestor", "steps")
-    known = ancestors.join(new, ["key", "ancestor"])
+    known = ancestors.join(_sorted(new), ["key", "ancestor"])
     known = known.groupBy("key", "number", F.col("name").alias("form")).agg(F.min(F.when(F.col("steps") > 0, -1).otherwise(F.col("since"))).alias("since"))
     said = lambda word, pattern: F.transform(occurrences(F.col("body"), pattern, 1), lambda x: F.struct(F.lit(word).alias("word"), x["at"].alias("at"), x["name"].alias("name")))
     uses = two.select("key", "number", "body", F.explode(F.concat(said("the", THE), said("said", SAID))).alias("u"))
     uses = uses.select("key", "number", "u.*", place(F.col("body"), F.col("u.at")).alias("location"))
     forms = F.when(F.col("word") == "the", F.array(F.col("name"), singular(F.col("name")), plural(F.col("name")))).otherwise(F.array("name"))
     asked = uses.withColumn("form", F.explode(F.array_distinct(forms)))
-    met = asked.join(known, ["key", "number", "form"])
+    met = asked.join(_sorted(known), ["key", "number", "form"])
     if ordered:
         met = met.where("since < at")
     met = met.select("key", "number", "word", "at").distinct()
-    out = uses.join(met, ["key", "number", "word", "at"], "left_anti")
+    out = uses.join(_sorted(met), ["key", "number", "word", "at"], "left_anti")
     return out.select(F.col("key").alias(key), F.col("number").alias(number), F.concat_ws(" ", "word", "name").alias("term"), "at", "location")

@@ -62,3 +62,12 @@ def test_figures(spark):
     assert issues("see FIG. 1", False) == issues("see FIG. 1", False, "ep") == [("CRITICAL", "no_drawings", None), ("CRITICAL", "no_brief_description", None)]
     assert issues("description of figures FIG. 1", True, "ep") == [] and issues("", False) == [] and value(spark, figures.coverage(F.lit("FIG. 1"))) is None
     assert value(spark, figures.missing_sections(F.lit("Background of the invention. Summary."))) == ["BRIEF DESCRIPTION OF DRAWINGS", "DETAILED DESCRIPTION"]
+
+
+def test_basis_is_not_broadcast(spark):
+    """Tables that grow with the claims stay out of the driver, however small they look."""
+    df = spark.createDataFrame([(1, 1, None, "A lid comprising a box that turns"), (1, 2, 1, "The lid with the box and the cup is red")], "f int, n int, up int, body string")
+    for out in (antecedents.missing_basis(df, "f", "n", "up", "body"), antecedents.missing_basis(df, "f", "n", "up", "body", True), antecedents.lineage(df, "f", "n", "up")):
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastExchange" not in plan and ("SortMergeJoin" in plan or "steps" in out.columns)
