@@ -1,7 +1,7 @@
 """A positional trigram index in Parquet: substring search that reads the postings of its terms only.
 
-``postings`` has a row per trigram and document with the trigram's places, clustered by trigram in ranges that part a frequent
-trigram by document; ``rows`` has what a hit shows; ``stats`` the number of documents and their mean length.  A term is the
+``postings`` has a row per trigram and document with the trigram's places, in segments: a file holds all trigrams of some documents,
+sorted by trigram, so that a search skips the pages of others and no posting is ever shuffled; ``rows`` has what a hit shows; ``stats`` the number of documents and their mean length.  A term is the
 intersection of its trigrams' places, each moved back by the trigram's place in the term.
 """
 
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from folioscope.operators.fulltext import K1, B, _text
 
 WIDTH = 3
+#: Characters of a segment's documents, about: a task sorts their trigrams.
+SEGMENT = 4_000_000
 
 
 def grams(text: Column) -> Column:
@@ -28,9 +30,11 @@ def build(store: DataFrame, key: str, fields: list[str], keep: list[str], path:
     """Writes the index of the fields of a store whose key is unique; nulls are empty."""
     size = reduce(lambda a, b: a + b, [F.greatest(F.length(F.coalesce(F.col(f).cast("string"), F.lit(""))) - 2, F.lit(0)) for f in fields])
     low = store.select(F.col(key).alias("doc"), _text(fields).alias("low"))
-    each = low.select("doc", F.posexplode(grams(F.col("low"))).alias("at", "gram"))
-    postings = each.groupBy("gram", "doc").agg(F.array_sort(F.collect_list("at")).alias("places"))
-    postings.repartitionByRange("gram", "doc").sortWithinPartitions("gram", "doc").write.parquet(f"{path}/postings")
+    chars = low.agg(F.sum(F.length("low").cast("double"))).first()[0] or 0
+    # a document's trigrams stay where it is: grouping by doc and gram is met by the partitions of doc
+    each = low.repartition(int(chars // SEGMENT) + 1, "doc").select("doc", F.posexplode(grams(F.col("low"))).alias("at", "gram"))
+    postings = each.groupBy("doc", "gram").agg(F.sort_array(F.collect_list("at")).alias("places"))
+    postings.select("gram", "doc", "places").sortWithinPartitions("gram", "doc").write.option("compression", "zstd").parquet(f"{path}/postings")
     rows = store.select(F.col(key).alias("doc"), *[F.col(c) for c in keep if c != key], size.alias("_len"))
     rows.write.parquet(f"{path}/rows")
     rows.agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg")).write.parquet(f"{path}/stats")

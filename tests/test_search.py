@@ -39,6 +39,21 @@ def test_trigram_index(spark, tmp_path):
     assert "PushedFilters: [In(gram" in plan
 
 
+def test_trigram_segments(spark, tmp_path, monkeypatch):
+    """All trigrams of a document are in one file, in order, and several files give what one gives."""
+    monkeypatch.setattr(trigram_index, "SEGMENT", 500, raising=False)
+    df = spark.createDataFrame([(i, f"escrow {i} the lid " * (i % 7), None) for i in range(60)], "k int, t string, s string")
+    path = str(tmp_path / "ix")
+    trigram_index.build(df, "k", ["t", "s"], ["k"], path)
+    files = defaultdict(list)
+    for r in spark.read.parquet(f"{path}/postings").select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("nth"), "gram", "doc").orderBy("nth").collect():
+        files[r["file"]].append((r["gram"].encode(), r["doc"]))
+    assert len(files) > 3 and all(rows == sorted(rows) for rows in files.values())
+    assert sum(len({doc for _, doc in rows}) for rows in files.values()) == sum(i % 7 > 0 for i in range(60))
+    rounded = lambda out: sorted((r["k"], round(r["rank"], 9)) for r in out.collect())
+    assert rounded(trigram_index.search(spark, path, ["row 1", "the "], "k", ["k"])) == rounded(fulltext.search(df, ["t", "s"], ["row 1", "the "], ["k"]))
+
+
 def plain_counts(edges):
     edges = {e for e in edges if None not in e and e[0] != e[1]}
     out, into, nodes = defaultdict(list), defaultdict(list), {n for e in edges for n in e}
