@@ -352,7 +352,7 @@ def token_output(docs: DataFrame, path: str | None = None, **kw) -> DataFrame:
     index = written(read_index(spark, path), "index")  # small, and the files are then decoded once
     index.groupBy("file").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).write.parquet(f"{path}/{RANGES}")
     number = lambda pattern: F.regexp_extract("file", pattern, 1).cast("long")
-    files = index.groupBy("file").agg(F.sum("n_tokens").alias("n")).select("file", "n", number(r"^part-(\d+)").alias("task"), number(r"-c(\d+)").alias("nth"))
+    files = index.groupBy("file").agg(F.sum("n_tokens").alias("n")).select("file", "n", number(r"^part-(\d+)").alias("task"), number(r"-c(\d+)\.[^-]*$").alias("nth"))  # the job's id in between may hold -c1, too
     upto = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     tasks = files.groupBy("task").agg(F.sum("n").alias("all"))  # a row per range of the shuffle
     tasks = tasks.select("task", (F.sum("all").over(upto(Window.orderBy("task"))) - F.col("all")).alias("ahead"))

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import tracemalloc
 
 import numpy as np
@@ -100,6 +101,22 @@ def test_many_shards_in_a_task(spark, tmp_path):
     assert len(rows) == n and len({r["file"] for r in rows}) == n
 
 
+def test_shards_of_a_job_whose_id_looks_like_a_number(spark, tmp_path, monkeypatch):
+    """Files are in order whatever the id of the job that wrote them."""
+    from folioscope.llm import token_output as t
+
+    def named(docs, path, write=t.write_tokens, **kw):
+        write(docs, path, **kw)
+        for f in list((tmp_path / "t").iterdir()):
+            f.rename(f.with_name(re.sub(r"-[0-9a-f-]{36}-", "-c6c093ad-c043-43ea-91b1-c152d8d9673f-", f.name)))
+
+    monkeypatch.setattr(t, "write_tokens", named)
+    df = spark.range(60).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab "), (F.col("id") % 5 + 1).cast("int")).alias("text"))
+    rows = sorted(map(tuple, t.token_output(df.coalesce(1), str(tmp_path / "t"), shard_bytes=1).select("doc_id", "start", "n_tokens", "file").collect()))
+    assert all(r[3].startswith("part-") and "-c6c093ad-" in r[3] for r in rows) and len({r[3] for r in rows}) == 60
+    assert [r[1] for r in rows] == [sum(r[2] for r in rows[:k]) for k in range(60)]
+
+
 def test_repeated_words_take_little_memory():
     """Places times windows are worked through, not kept."""
     from folioscope.llm.decontaminate import Bench, _hit_words
