@@ -54,6 +54,30 @@ def test_trigram_segments(spark, tmp_path, monkeypatch):
     assert rounded(trigram_index.search(spark, path, ["row 1", "the "], "k", ["k"])) == rounded(fulltext.search(df, ["t", "s"], ["row 1", "the "], ["k"]))
 
 
+def test_trigram_build_time(spark, tmp_path):
+    """Forty million characters: a row for each took minutes."""
+    word = F.transform(F.sequence(F.lit(1), F.lit(1250)), lambda x: F.hex(F.xxhash64("k", x)))
+    df = spark.range(2000).select(F.col("id").alias("k"), F.array_join(word, " ").alias("t"))
+    began = time.monotonic()
+    trigram_index.build(df, "k", ["t"], ["k"], str(tmp_path / "ix"))
+    assert time.monotonic() - began < 60
+    rounded = lambda out: sorted((r["k"], round(r["rank"], 9)) for r in out.collect())
+    assert rounded(trigram_index.search(spark, str(tmp_path / "ix"), ["abcd", "77 "], "k", ["k"])) == rounded(fulltext.search(df, ["t"], ["abcd", "77 "], ["k"]))
+
+
+def test_trigram_keys_and_letters(spark, tmp_path):
+    """So many letters that a trigram and its place do not fit one number; a null key, NUL characters, and stores without a trigram."""
+    many = "".join(map(chr, [*range(0x3000, 0xD800), *range(0x10000, 0x28000)]))
+    rows = [(None, many + "the cat\0\0\0the ", ""), (7, many[::-1] + "the ", None), (-7, "the \0\0 the ", "the x"), (0, "no", None)]
+    rounded = lambda out: sorted((str(r["k"]), round(r["rank"], 9)) for r in out.collect())
+    for n in (4, 0, 1):
+        df = spark.createDataFrame(rows[len(rows) - n :], "k int, t string, s string")
+        path = str(tmp_path / f"ix{n}")
+        trigram_index.build(df, "k", ["t", "s"], ["k"], path)
+        for terms in (["the "], ["\0\0\0", "cat"], [many[500:509]], [many[-4:]], [many[20:16:-1], "the"]):
+            assert rounded(trigram_index.search(spark, path, terms, "k", ["k"])) == rounded(fulltext.search(df, ["t", "s"], terms, ["k"])), (n, terms[0][:3])
+
+
 def plain_counts(edges):
     edges = {e for e in edges if None not in e and e[0] != e[1]}
     out, into, nodes = defaultdict(list), defaultdict(list), {n for e in edges for n in e}
