@@ -101,8 +101,12 @@ def build(store: DataFrame, key: str, fields: list[str], keep: list[str], path:
     rows.write.parquet(f"{path}/rows")
     rows = store.sparkSession.read.parquet(f"{path}/rows")
     rows.agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg")).write.parquet(f"{path}/stats")
-    chars = rows.agg(F.sum(F.col("_len").cast("double"))).first()[0] or 0
-    low = store.select(F.col(key).alias("doc"), _text(fields).alias("low")).repartition(int(chars // (2 * SEGMENT)) + 1, "doc")
+    by_task = rows.groupBy(F.input_file_name()).agg(F.sum(F.col("_len").cast("double")).alias("n"))
+    chars, most = (x or 0 for x in by_task.agg(F.sum("n"), F.max("n")).first())
+    low = store.select(F.col(key).alias("doc"), _text(fields).alias("low"))
+    if most > max(4 * SEGMENT, 2 * chars / store.sparkSession.sparkContext.defaultParallelism):
+        # a task reads more than two cores' share; else texts stay where they are read and take no room in a shuffle
+        low = low.repartition(int(chars // (2 * SEGMENT)) + 1, "doc")
     # a row is a file: the writer of lines ends each with the last bytes of a Parquet file
     files = low.mapInArrow(_files(SEGMENT), "file binary").select(F.col("file").cast("string").alias("value"))
     files.write.option("lineSep", _TAIL.decode()).option("encoding", "ISO-8859-1").option("compression", "none").option("maxRecordsPerFile", 1).text(f"{path}/postings")
